@@ -6,15 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, counts, quality, sentencepieces, urls
+from . import chat, counts, minhash, pii, quality, sentencepieces, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_chat_formatting": chat.op1_chat_formatting,
         "op2_url_filters": urls.op2_url_filters,
+        "op3_minhash": minhash.op3_minhash,
         "op4_quality_rules": quality.op4_quality_rules,
         "op6_sentencepiece": sentencepieces.op6_sentencepiece,
+        "op9_pii": pii.op9_pii,
         "op10_token_counts": counts.op10_token_counts,
     }
 
