@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, counts, minhash, pii, quality, sentencepieces, urls
+from . import chat, counts, decontaminate, minhash, packing, pii, quality, sentencepieces, substrings, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,7 +15,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_url_filters": urls.op2_url_filters,
         "op3_minhash": minhash.op3_minhash,
         "op4_quality_rules": quality.op4_quality_rules,
+        "op5_repeated_substrings": substrings.op5_repeated_substrings,
         "op6_sentencepiece": sentencepieces.op6_sentencepiece,
+        "op7_decontamination": decontaminate.op7_decontamination,
+        "op8_token_packing": packing.op8_token_packing,
         "op9_pii": pii.op9_pii,
         "op10_token_counts": counts.op10_token_counts,
     }
