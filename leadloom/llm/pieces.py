@@ -9,9 +9,9 @@
   adjacent pairs: the pair of lowest rank is popped again and again, the
   leftmost first where ranks are equal.
 
-Texts are cut before white-space marks ahead of merging, if no piece of the
-vocabulary reaches over such a cut (checked when the model is loaded); a merge
-can then never reach over it either. Results of short cuts are kept in a cache
+Texts are cut ahead of merging where no piece of the vocabulary has the two
+characters side by side (checked when the model is loaded); a merge can then
+never reach over the cut either. Results of short cuts are kept in a cache
 of bounded size, as words recur.
 """
 
@@ -144,9 +144,48 @@ class PieceModel:
         self.byte_ids = {int(p[3:5], 16): i for i, (p, k) in enumerate(zip(self.pieces, self.kinds)) if k == BYTE}
         #: no normalised text differs from its source but by marks for spaces
         self.plain = not self.map.units and not self.trim and self.escape
-        over_mark = any(MARK in p.lstrip(MARK) for p in self.ids)
-        over_space = any(len(p) > 1 and re.search(r"\s", p) for p in self.ids)
-        self.cut = None if over_mark else re.compile(f"{MARK}*[^{MARK}]+|{MARK}+" if over_space else rf"{MARK}*[^{MARK}\s]+|{MARK}+|\s")
+        self.cut = self._cut()
+        # merges by the numbers of both symbols; characters that are no piece have numbers from n on
+        self.n = len(self.pieces)
+        loose = sorted({c for p in self.ids for c in p} - self.ids.keys())
+        self.symbol = _Symbols({c: self.ids[c] for c in self.ids if len(c) == 1} | {c: self.n + k for k, c in enumerate(loose)} | {"": self.n + len(loose)})
+        self.span = self.n + len(loose) + 1
+        order = {r: k for k, r in enumerate(sorted(set(self.rank.values())))}
+        self.key = [order[self.rank[p]] << 32 if p in self.rank else 0 for p in self.pieces]
+        number = self.ids | {c: self.symbol[c] for c in loose}
+        self.pair = {
+            number[p[:k]] * self.span + number[p[k:]]: i for p, i in self.ids.items() for k in range(1, len(p)) if p[:k] in number and p[k:] in number
+        }
+
+    def _cut(self) -> re.Pattern | None:
+        """Where texts can be cut before merging: between characters that stand side by side in no piece.
+
+        Characters are put into two classes, letters and the rest; one that
+        touches the other class in some piece changes sides. White space that
+        is in no longer piece stands alone. A pattern is used only if it cuts
+        no piece; whether it cuts depends on two neighbours alone.
+        """
+        long = [p for p in self.ids if len(p) > 1]
+        held = {c for p in long for c in p}
+        alone = "".join(c for c in "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\u2028\u2029" if c not in held)
+        word = re.compile(r"[^\W\d_]")
+        more: set[str] = set()
+        less: set[str] = set()
+        for _ in range(8):
+            letter = lambda c: c in more or c not in less and word.match(c) is not None
+            clash = {(a, b) if letter(a) else (b, a) for p in long for a, b in zip(p, p[1:]) if MARK not in (a, b) and letter(a) != letter(b)}
+            if not clash:
+                break
+            less |= {a for a, _ in clash if not a.isalpha()}
+            more |= {b for a, b in clash if a.isalpha()}
+        quoted = lambda chars: "".join(map(re.escape, sorted(chars)))
+        one = f"(?:[^\\W\\d_{quoted(less)}]" + (f"|[{quoted(more)}])" if more else ")")
+        fine = rf"{MARK}*{one}+|{MARK}*(?:(?!{one})[^{MARK}{quoted(alone)}])+|{MARK}+|[{quoted(alone)}]"
+        coarse = rf"{MARK}*[^{MARK}{quoted(alone)}]+|{MARK}+|[{quoted(alone)}]"
+        for pattern in map(re.compile, (fine, coarse)):
+            if alone and all(pattern.findall(p) == [p] for p in long):
+                return pattern
+        return None
 
     # normalisation
 
@@ -208,67 +247,65 @@ class PieceModel:
 
     # merging
 
-    def merge(self, word: str) -> list[str]:
-        """The symbols of ``word`` after all merges."""
-        rank = self.rank
+    def _merged(self, word: str) -> tuple[list[int], int]:
+        """Symbols of ``word`` after all merges (-1 where one was merged into an earlier one), and the number of merges."""
+        pair, key, span = self.pair.get, self.key, self.span
         n = len(word)
-        symbols: list[str] = list(word)
-        left = list(range(-1, n - 1))
-        right = list(range(1, n + 1))
-        heap = []
-        for i in range(n - 1):
-            r = rank.get(symbols[i] + symbols[i + 1])
-            if r is not None:
-                heap.append((r, i, 2))
+        symbols = list(map(self.symbol.__getitem__, word))
+        left, right = list(range(-1, n - 1)), list(range(1, n + 1))
+        heap = [key[m] | i for i in range(n - 1) if (m := pair(symbols[i] * span + symbols[i + 1])) is not None]
         heapq.heapify(heap)
+        pop, push = heapq.heappop, heapq.heappush
+        merges = 0
         while heap:
-            _, i, size = heapq.heappop(heap)
+            entry = pop(heap)
+            i = entry & 0xFFFFFFFF
             j = right[i]
-            if j >= n or not symbols[i] or len(symbols[i]) + len(symbols[j]) != size:
+            if j >= n or symbols[i] < 0:
+                continue
+            m = pair(symbols[i] * span + symbols[j])
+            if m is None or key[m] | i != entry:
                 continue  # one of the two has been merged since
-            symbols[i] += symbols[j]
-            symbols[j] = ""
-            right[i] = k = right[j]
-            if k < n:
-                left[k] = i
-                r = rank.get(symbols[i] + symbols[k])
-                if r is not None:
-                    heapq.heappush(heap, (r, i, len(symbols[i]) + len(symbols[k])))
-            k = left[i]
-            if k >= 0:
-                r = rank.get(symbols[k] + symbols[i])
-                if r is not None:
-                    heapq.heappush(heap, (r, k, len(symbols[k]) + len(symbols[i])))
-        return [s for s in symbols if s]
+            merges += 1
+            symbols[i], symbols[j] = m, -1
+            right[i] = j = right[j]
+            if j < n:
+                left[j] = i
+                if (x := pair(m * span + symbols[j])) is not None:
+                    push(heap, key[x] | i)
+            j = left[i]
+            if j >= 0 and (x := pair(symbols[j] * span + m)) is not None:
+                push(heap, key[x] | j)
+        return symbols, merges
+
+    def encode(self, word: str) -> list[int]:
+        """Ids of ``word``; a character that is no piece is written as its bytes."""
+        symbols, _ = self._merged(word)
+        if max(symbols, default=-1) < self.n:
+            return [s for s in symbols if s >= 0]
+        out: list[int] = []
+        for c, s in zip(word, symbols):
+            if s >= self.n:
+                out += [self.byte_ids[b] for b in c.encode()]
+            elif s >= 0:
+                out.append(s)
+        return out
 
     def count(self, word: str) -> int:
         """Tokens of ``word``: initial symbols less merges; no identifier is looked up."""
-        rank, ids = self.rank, self.ids
-        n = len(word)
-        # a character that is no piece is written as its bytes
-        initial = n if self.known.issuperset(word) else sum(1 if c in ids else len(c.encode()) for c in word)
-        merges = 0
-        size = [1] * n
-        left = list(range(-1, n - 1))
-        right = list(range(1, n + 1))
-        heap = [(r, i, 2) for i in range(n - 1) if (r := rank.get(word[i : i + 2])) is not None]
-        heapq.heapify(heap)
-        while heap:
-            _, i, both = heapq.heappop(heap)
-            j = right[i]
-            if j >= n or not size[i] or size[i] + size[j] != both:
-                continue
-            merges += 1
-            size[i], size[j] = both, 0
-            right[i] = k = right[j]
-            if k < n:
-                left[k] = i
-                if (r := rank.get(word[i : k + size[k]])) is not None:
-                    heapq.heappush(heap, (r, i, both + size[k]))
-            k = left[i]
-            if k >= 0 and (r := rank.get(word[k : i + both])) is not None:
-                heapq.heappush(heap, (r, k, both + size[k]))
-        return initial - merges
+        initial = len(word)
+        if not self.known.issuperset(word):
+            symbols, merges = self._merged(word)
+            # a character that stays alone and is no piece is written as its bytes
+            return initial - merges + sum(len(c.encode()) - 1 for c, s in zip(word, symbols) if s >= self.n)
+        return initial - self._merged(word)[1]
+
+
+class _Symbols(dict):
+    """Numbers of characters; one number for all that no piece holds."""
+
+    def __missing__(self, c: str) -> int:
+        return self[""]
 
 
 @functools.lru_cache(maxsize=2)

@@ -17,8 +17,8 @@ from __future__ import annotations
 
 import functools
 from collections.abc import Iterator
-from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,23 +33,15 @@ class Encoder:
 
     def __init__(self, model: PieceModel):
         self.model = model
-        self.cache = Cache(self.word_ids)
+        #: the ids of a word as little-endian 32-bit numbers, so that those of a text are one join
+        self.cache = Cache(lambda word: np.array(model.encode(word), dtype="<i4").tobytes())
         self.width = [len(p.replace(MARK, " ").encode()) for p in model.pieces]
 
-    def word_ids(self, word: str) -> list[int]:
-        ids = self.model.ids
-        out: list[int] = []
-        for s in self.model.merge(word):
-            i = ids.get(s)
-            if i is None:
-                out += [self.model.byte_ids[b] for b in s.encode()]
-            else:
-                out.append(i)
-        return out
+    def packed(self, text: str | None) -> bytes:
+        return b"".join(map(self.cache.__getitem__, self.model.words(self.model.normalized(text or ""))))
 
     def ids(self, text: str | None) -> list[int]:
-        words = self.model.words(self.model.normalized(text or ""))
-        return list(chain.from_iterable(map(self.cache.__getitem__, words)))
+        return np.frombuffer(self.packed(text), dtype="<i4").tolist()
 
     def spans(self, text: str | None, ids: list[int]) -> tuple[list[int], list[int]]:
         """First byte and end of each piece in the UTF-8 of ``text``."""
@@ -90,8 +82,10 @@ class Decoder:
         ]
 
     def decode(self, ids: list[int]) -> str:
+        return self.joined(ids, list(map(self.bytes.__getitem__, ids)))
+
+    def joined(self, ids: list[int], parts: list[bytes]) -> str:
         kinds = self.model.kinds
-        parts = [self.bytes[i] for i in ids]
         if self.model.dummy_prefix or self.model.trim:
             for k, i in enumerate(ids):
                 if kinds[i] == CONTROL:
@@ -153,9 +147,11 @@ def encode(df: DataFrame, text: str = "text", model: str | None = None, spans: b
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 texts = part.column(text).to_pylist()
-                found = [encoder.ids(x) for x in texts]
-                new = {ids: pa.array(found, kind)}
+                packed = [encoder.packed(x) for x in texts]
+                ends = np.cumsum([0, *[len(x) // 4 for x in packed]]).astype(np.int32)
+                new = {ids: pa.ListArray.from_arrays(ends, np.frombuffer(b"".join(packed), dtype="<i4"))}
                 if spans:
+                    found = [np.frombuffer(x, dtype="<i4").tolist() for x in packed]
                     both = [encoder.spans(x, y) for x, y in zip(texts, found)]
                     new |= {"starts": pa.array([x[0] for x in both], kind), "ends": pa.array([x[1] for x in both], kind)}
                 yield _added(part, new)
@@ -172,7 +168,10 @@ def decode(df: DataFrame, ids: str = "ids", model: str | None = None, text: str
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                yield _added(part, {text: pa.array([decoder.decode(x or []) for x in part.column(ids).to_pylist()], pa.string())})
+                column = part.column(ids)
+                flat = column.flatten().to_numpy(zero_copy_only=False).tolist()
+                ends = np.cumsum([0, *[x or 0 for x in column.value_lengths().to_pylist()]]).tolist()
+                yield _added(part, {text: pa.array([decoder.decode(flat[a:b]) for a, b in zip(ends, ends[1:])], pa.string())})
 
     return df.mapInArrow(run, _schema(df, {text: T.StringType()}))
 
