@@ -20,21 +20,24 @@ def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
     padded = np.concatenate([text, np.zeros(8, np.uint8)])
     key = np.zeros(n, np.uint64)
     for k in range(8):
-        key = (key << np.uint64(8)) | padded[k : n + k].astype(np.uint64)
-    order = np.argsort(key, kind="stable")
+        key <<= np.uint64(8)
+        key |= padded[k : n + k]
     size = 8
     while True:
-        sorted_key = key[order]
-        new = np.concatenate([[0], np.cumsum(sorted_key[1:] != sorted_key[:-1])])
+        order = np.argsort(key)
+        new = np.concatenate([[0], np.cumsum(np.diff(key[order]) != 0)])
         if size >= depth or new[-1] == n - 1:
             return order
-        rank = np.empty(n, np.int64)
+        # ranks of the parts of a prefix side by side: three of them where they fit
+        rank = np.zeros(n + 2 * size, np.uint64)
         rank[order] = new + 1
-        later = np.zeros(n, np.int64)
-        later[: n - size] = rank[size:]
-        key = rank * (n + 1) + later
-        order = np.argsort(key, kind="stable")
-        size *= 2
+        bits = np.uint64(int(n).bit_length())
+        key = (rank[:n] << bits) | rank[size : n + size]
+        if 3 * bits <= 64 and 2 * size < depth:
+            key = (key << bits) | rank[2 * size : n + 2 * size]
+            size *= 3
+        else:
+            size *= 2
 
 
 def repeated_starts(blocks: list[bytes], length: int) -> list[np.ndarray]:

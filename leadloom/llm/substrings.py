@@ -46,7 +46,7 @@ from .bwt import repeated_starts
 from .common import table, written
 from .shingles import mixed
 
-LENGTH, GRAM, HOT = 200, 40, 1000
+LENGTH, GRAM, HOT = 200, 40, 16_000
 #: Strings in a run, strings of a text handled at a time, and bytes of blocks in one transform.
 RUN, SEGMENT, CHUNK = 256, 1 << 19, 1 << 20
 _LOW = np.uint64((1 << 20) - 1)
