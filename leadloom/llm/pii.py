@@ -136,6 +136,10 @@ def base_spans(text: Column) -> Column:
     return F.when(text.rlike("[0-9@]"), F.array_sort(F.concat(*found), _by_place)).otherwise(F.array().cast(_SPAN))
 
 
+def _check(kind: str):
+    return lambda v: _valid(kind, v)
+
+
 def _test(kind: str):
     return lambda m: _valid(kind, m["value"])
 
@@ -150,7 +154,7 @@ def _by_place(a: Column, b: Column) -> Column:
 
 
 def candidates(text: Column) -> Column:
-    """Identifier-like tokens that hold no base match, with a context."""
+    """Identifier-like tokens that hold no valid base match, with a context."""
 
     def cut(m: Column) -> Column:
         # without the edges of the token
@@ -162,7 +166,7 @@ def candidates(text: Column) -> Column:
     def wanted(s: Column) -> Column:
         known = F.lit(False)
         for kind in KINDS:
-            known = known | s["value"].rlike(PATTERNS[kind])
+            known = known | F.exists(F.regexp_extract_all(s["value"], F.lit(PATTERNS[kind]), F.lit(0)), _check(kind))
         return s["context"].isNotNull() & (F.length(s["value"]) >= 5) & ~known
 
     found = F.filter(F.transform(_matches(text, CANDIDATE), cut), wanted)
