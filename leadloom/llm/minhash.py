@@ -15,13 +15,19 @@ Candidates. Signatures are cut into bands; documents that agree in a band
 share a bucket. 40 bands of 8 find a pair of similarity 0.8 with a chance of
 0.9994, 0.85 with 0.99999. Exact copies are one node from the start.
 
-Links. A bucket emits no pairs within the group. First every member is
-compared with the least node of its bucket, then, in buckets that still hold
-several components, with the greatest. What still differs is compared in full:
-each pair of members whose components differ, less those that were compared
-before and those whose lengths rule out the threshold. So each pair that
-shares a bucket is in one component or was verified, and the class of every
-document is that of the whole graph of verified links.
+Links. A bucket emits no pairs within the group. Every member is compared with
+one center of its bucket, links give components, and members of buckets that
+still hold several components are compared with another center, ``STARS``
+times. Buckets that are still open may hide a link between components. Their
+documents go through an exact filter: shingles are put in one order for all,
+rarest first, and two bags of similarity t or more share a shingle among the
+first few of each, as many as their sizes leave room for. Only pairs of
+different components that do are compared. A document whose edits alone exceed
+that room, the usual case in a large group of loose copies, meets nobody. So
+each pair that shares a bucket is in one component, is verified, or cannot
+reach the threshold, and classes are those of the graph of all such links.
+The order comes from a histogram of 2^18 cells, whose size is fixed; any order
+gives the same links.
 
 Verification computes the overlap of both bags of the whole texts: a link has
 5 * |intersection| >= 4 * |union| at the threshold of 0.8.
@@ -49,9 +55,9 @@ from .common import table, written
 from .components import components
 from .shingles import bags, mixed, overlap
 
-BANDS, ROWS = 40, 8
+BANDS, ROWS, STARS = 40, 8, 3
 #: Texts are signed in groups of so many characters or documents.
-CHUNK_CHARS, CHUNK_DOCS = 1_500_000, 256
+CHUNK_CHARS, CHUNK_DOCS = 800_000, 160
 
 
 def signatures(found: list[tuple[np.ndarray, np.ndarray]], m: int = BANDS * ROWS) -> np.ndarray:
@@ -175,11 +181,78 @@ def _verified(numerator: int, denominator: int):
                 for a, b, x, y in zip(*(part.column(c) for c in ("a", "b", "text_a", "text_b"))):
                     both, either = overlap(bag(a.as_py(), x.as_py()), bag(b.as_py(), y.as_py()))
                     good.append(either > 0 and both * denominator >= numerator * either)
-                yield part.select(["a", "b"]).filter(pa.array(good))
+                yield part.drop_columns(["text_a", "text_b"]).filter(pa.array(good))
 
     return run
 
 
+CELLS = 1 << 18
+
+
+def _tokens(text: str | None) -> np.ndarray:
+    """Shingles of a text as a set: the second of equal ones is another token, and so on."""
+    items, counts = bags([text])[0]
+    if not len(items) or counts.max() == 1:
+        return items
+    which = np.repeat(np.arange(len(items)), counts)
+    turn = np.arange(len(which)) - np.repeat(np.cumsum(counts) - counts, counts)
+    return np.where(turn == 0, items[which], mixed(items[which] ^ mixed(turn.astype(np.uint64))))
+
+
+def _histogram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counts = np.zeros(CELLS, np.int64)
+    for batch in batches:
+        for text in batch.column("text"):
+            np.add.at(counts, (_tokens(text.as_py()) % np.uint64(CELLS)).astype(np.int64), 1)
+    cells = np.flatnonzero(counts)
+    yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(counts[cells])], names=["cell", "n"])
+
+
+def _prefixes(shared, numerator: int, denominator: int):
+    """The rarest tokens of each text that can decide, with their places."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(CELLS, np.int64)
+        cells = np.array(shared.value, np.int64).reshape(-1, 2)
+        counts[cells[:, 0]] = cells[:, 1]
+        for batch in batches:
+            node, component, size, token, place = [], [], [], [], []
+            for k, text in enumerate(batch.column("text")):
+                t = _tokens(text.as_py())
+                n = len(t)
+                first = n - -(-n * numerator // denominator) + 1
+                t = t[np.lexsort((t, counts[(t % np.uint64(CELLS)).astype(np.int64)]))][:first]
+                node += [k] * len(t)
+                size.append(np.full(len(t), n))
+                token.append(t.view(np.int64))
+                place.append(np.arange(len(t)))
+            at = pa.array(node, pa.int64())
+            if len(at):
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("node").take(at), batch.column("component").take(at), *(pa.array(np.concatenate(x)) for x in (size, token, place))],
+                    names=["node", "component", "size", "token", "place"],
+                )
+
+    return run
+
+
+def _decisive(texts: DataFrame, numerator: int, denominator: int) -> DataFrame:
+    """a, b and their components ca, cb: pairs of ``texts`` (node, component, text) of different components that can reach the similarity."""
+    cells = texts.select("text").mapInArrow(_histogram, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n"))
+    # one number for each cell: at most CELLS rows
+    shared = texts.sparkSession.sparkContext.broadcast([(r.cell, r.n) for r in cells.collect()])
+    prefix = texts.mapInArrow(_prefixes(shared, numerator, denominator), "node binary, component binary, size bigint, token bigint, place bigint")
+    both = prefix.groupBy("token").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).filter("c1 < c2").select(F.col("token").alias("t"))
+    prefix = written(prefix.join(both, F.col("token") == F.col("t")).drop("t"))
+    other = prefix.select("token", *[F.col(c).alias(f"{c}_b") for c in ("node", "component", "size", "place")])
+    # the least overlap that reaches numerator / denominator of the union
+    total = numerator + denominator
+    need = F.ceil((F.col("size") + F.col("size_b")) * numerator / total)
+    near = (F.col("place") <= F.col("size") - need) & (F.col("place_b") <= F.col("size_b") - need)
+    pairs = prefix.join(other, "token").filter((F.col("node") < F.col("node_b")) & (F.col("component") != F.col("component_b")) & near)
+    return pairs.select(F.col("node").alias("a"), F.col("node_b").alias("b"), F.col("component").alias("ca"), F.col("component_b").alias("cb")).distinct()
+
+
 def node_of(text: Column) -> Column:
     """16 bytes that stand for a text; null has its own."""
     return F.unhex(F.md5(F.coalesce(F.concat(F.lit("t"), text), F.lit("null"))))
@@ -196,50 +269,44 @@ def classes(
     nodes = written(signed.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("size").alias("size"), F.min("buckets").alias("buckets")))
 
     entries = nodes.select("node", "size", F.explode("buckets").alias("bucket"))
-    shared = entries.groupBy("bucket").agg(F.min(F.struct("node", "size")).alias("low"), F.max(F.struct("node", "size")).alias("high")).filter("low.node < high.node")
-    members = written(entries.join(shared, "bucket"))
-
-    def fits(x: Column, y: Column) -> Column:
-        return F.least(x, y) * den >= F.greatest(x, y) * num
-
-    def stars(members: DataFrame, center: str) -> DataFrame:
-        c = F.col(center)
-        pairs = members.filter((F.col("node") != c["node"]) & fits(F.col("size"), c["size"]))
-        return pairs.select(F.least("node", c["node"]).alias("a"), F.greatest("node", c["node"]).alias("b")).distinct()
+    shared = entries.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").select("bucket")
+    members = written(entries.join(shared, "bucket").withColumn("component", F.col("node")))
 
-    wanted = members.select("node").distinct().join(nodes.select("node", "doc_id"), "node").select("node", F.col("doc_id").alias("__id"))
-    texts = plain.join(wanted.withColumnRenamed("node", "__node"), (F.col("node") == F.col("__node")) & F.col("doc_id").eqNullSafe(F.col("__id")))
+    # the text of every node that shares a bucket, once
+    wanted = members.select("node").distinct().join(nodes.select("node", "doc_id"), "node").select(F.col("node").alias("__node"), F.col("doc_id").alias("__id"))
+    texts = plain.join(wanted, (F.col("node") == F.col("__node")) & F.col("doc_id").eqNullSafe(F.col("__id")))
     texts = written(texts.groupBy("node", "doc_id").agg(F.first("text").alias("text")).select("node", "text"))
 
     def verified(pairs: DataFrame) -> DataFrame:
         x = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
         y = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-        return written(pairs.join(y, "b").join(x, "a").select("a", "b", "text_a", "text_b").mapInArrow(_verified(num, den), "a binary, b binary"))
-
-    def labelled(links: DataFrame) -> DataFrame:
-        found = components(links)
-        out = members.join(found.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left")
-        return out.select("bucket", "node", "size", "low", "high", F.coalesce("component", "node").alias("component"))
-
-    def open_buckets(members: DataFrame) -> DataFrame:
-        left = members.groupBy("bucket").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).filter("c1 < c2").select("bucket")
-        return members.join(left, "bucket")
-
-    pairs = written(stars(members, "low"))
-    links = verified(pairs)
-    tested = pairs
-    rest = written(open_buckets(labelled(links)))
-    if not rest.isEmpty():
-        pairs = written(stars(rest, "high").join(tested, ["a", "b"], "left_anti"))
-        links, tested = written(links.unionByName(verified(pairs))), tested.unionByName(pairs)
-        rest = written(open_buckets(labelled(links)).select("bucket", "node", "size", "component"))
-    if not rest.isEmpty():
-        other = rest.select("bucket", F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("component").alias("component_b"))
-        pairs = rest.join(other, "bucket").filter((F.col("node") < F.col("b")) & (F.col("component") != F.col("component_b")) & fits(F.col("size"), F.col("size_b")))
-        pairs = written(pairs.select(F.col("node").alias("a"), "b").distinct().join(tested, ["a", "b"], "left_anti"))
-        links = written(links.unionByName(verified(pairs)))
-    found = components(links).withColumnRenamed("node", "n")
-    out = nodes.join(found, F.col("node") == F.col("n"), "left").select("node", "doc_id", F.coalesce("component", "node").alias("component"))
+        both = pairs.join(y, "b").join(x, "a").select(*pairs.columns, "text_a", "text_b")
+        return written(both.mapInArrow(_verified(num, den), pairs.schema))
+
+    # components of nodes so far; what links join is components, so those are the nodes of each further graph
+    out = nodes.select("node", "doc_id", F.col("node").alias("component"))
+
+    def joined(rows: DataFrame, links: DataFrame) -> DataFrame:
+        top = links.select(F.col("node").alias("c"), F.col("component").alias("top"))
+        return rows.join(top, F.col("component") == F.col("c"), "left").withColumn("component", F.coalesce("top", "component")).drop("c", "top")
+
+    def open_(rows: DataFrame, *centers: Column) -> DataFrame:
+        """Members of buckets that hold several components."""
+        several = rows.groupBy(F.col("bucket").alias("k")).agg(F.min("component").alias("c1"), F.max("component").alias("c2"), *centers).filter("c1 < c2").drop("c1", "c2")
+        return rows.join(several, F.col("bucket") == F.col("k")).drop("k")
+
+    for turn in range(STARS):
+        center = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("by"), "node", "size", "component")).alias("center")
+        members = open_(members, center)
+        c = F.col("center")
+        fits = F.least("size", c["size"]) * den >= F.greatest("size", c["size"]) * num
+        pairs = members.filter((F.col("component") != c["component"]) & fits)
+        pairs = pairs.select(c["node"].alias("a"), F.col("node").alias("b"), c["component"].alias("ca"), F.col("component").alias("cb")).distinct()
+        links = components(verified(pairs).select("ca", "cb").distinct(), "ca", "cb")
+        out, members = joined(out, links), written(joined(members.drop("center"), links))
+    rest = open_(members).select(F.col("node").alias("o"), "component").distinct()
+    rest = written(texts.join(rest, F.col("node") == F.col("o")).select("node", "component", "text"))
+    out = joined(out, components(verified(_decisive(rest, num, den)).select("ca", "cb").distinct(), "ca", "cb"))
     # a null id comes last, not first
     least = out.groupBy(F.col("component").alias("c")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("least"))
     out = out.join(least, F.col("component") == F.col("c"))
