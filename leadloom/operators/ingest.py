@@ -3,8 +3,9 @@
 Submissions count in the order of ``pos``: one sees what earlier ones created
 or filled in. What one can change for another is little: a created lead, a
 phone number that was missing, or the hint in the notes. Two submissions are in
-one group only if such a change could bring a match over the threshold, i.e. if
-they score each other, or the same lead, at most ``REACH`` below it. In every
+one group only if such a change could bring a match over the threshold: they
+score each other, or the same lead, high enough, counting in a phone number
+only if the batch holds the submission's own number twice. In every
 round all groups match at once, with the joins and scores of a full resolution;
 of each group those up to the first that changes something are final, the rest
 is matched again. A batch takes as many rounds as its busiest group has changes.
@@ -71,10 +72,25 @@ def _form(text: Column) -> Column:
 def _groups(probes: DataFrame, leads: DataFrame, threshold: float) -> DataFrame:
     """pos, component of every submission; those that no other can affect are alone."""
     me = lambda c: F.concat(F.lit("s:"), F.col(c).cast("string"))
-    pairs = lambda other: probe_pairs(probes, other).select(F.col("probe").alias("lead_id_1"), F.col("id").alias("lead_id_2"))
-    near = lambda p, other: scored(p, probes, other, at_least=threshold - REACH).select("lead_id_1", "lead_id_2")
-    by_lead = near(pairs(leads), leads).select(me("lead_id_1").alias("a"), F.concat(F.lit("l:"), F.col("lead_id_2").cast("string")).alias("b"))
-    by_sub = near(pairs(probes).filter("lead_id_1 < lead_id_2"), probes).select(me("lead_id_1").alias("a"), me("lead_id_2").alias("b"))
+    tail = F.right("phone_normalized", F.lit(10)).alias("tail")
+    twice = probes.select(tail).groupBy("tail").agg(F.count("*").alias("n")).filter("n > 1 AND tail IS NOT NULL").select("tail")
+    twice = written(probes.select(F.col("id").alias("t_id"), tail).join(twice, "tail").select("t_id"))
+
+    def near(other: DataFrame, later: str, target: str, flipped: bool) -> DataFrame:
+        """Pairs of a submission and a lead (or an earlier submission, whose lead is created) that may come to match."""
+        pairs = probe_pairs(probes, other)
+        first, second = ("id", "probe") if flipped else ("probe", "id")
+        pairs = pairs.select(F.col(first).alias("lead_id_1"), F.col(second).alias("lead_id_2"))
+        if flipped:
+            pairs = pairs.filter("lead_id_1 < lead_id_2")
+        out = scored(pairs, probes, other, at_least=threshold - REACH) if not flipped else scored(pairs, other, probes, at_least=threshold - REACH)
+        out = out.join(twice, F.col(later) == F.col("t_id"), "left")
+        empty = F.col("b" if target == "lead_id_2" else "a")["phone"] == ""
+        gain = F.when(empty & F.col("t_id").isNotNull(), WEIGHTS["phone"]).otherwise(0.0) + F.when(F.col("notes_hint") == 0, WEIGHTS["notes_hint"]).otherwise(0.0)
+        return out.filter(F.col("confidence") + gain >= threshold - 1e-9).select("lead_id_1", "lead_id_2")
+
+    by_lead = near(leads, "lead_id_1", "lead_id_2", False).select(me("lead_id_1").alias("a"), F.concat(F.lit("l:"), F.col("lead_id_2").cast("string")).alias("b"))
+    by_sub = near(probes, "lead_id_2", "lead_id_1", True).select(me("lead_id_1").alias("a"), me("lead_id_2").alias("b"))
     found = components(by_lead.unionByName(by_sub), "a", "b").withColumnRenamed("id", "node")
     out = probes.select(F.col("id").alias("pos"), me("id").alias("me")).join(found, F.col("me") == F.col("node"), "left")
     return out.select("pos", F.coalesce("component", "me").alias("component"))
