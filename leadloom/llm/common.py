@@ -31,10 +31,19 @@ def written(df: DataFrame) -> DataFrame:
     """``df`` as a table in the shared folder: cuts lineage, and survives the loss of executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    # small row groups: a task holds one in memory while it writes
+    df.write.option("parquet.block.size", 1 << 25).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_side(df: DataFrame, most_rows: int) -> DataFrame:
+    """``df`` written once, and marked for broadcast only if it has ``most_rows`` rows or fewer; else joins shuffle."""
+    from pyspark.sql import functions as F
+
+    df = written(df)
+    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
+
+
 def tokenizer_path(name: str = DEFAULT_TOKENIZER) -> str:
     import public_tokenizers
 

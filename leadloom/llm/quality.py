@@ -13,8 +13,9 @@ shrunk rate exceeds ``max_host_rate`` is rejected with all its documents.
 
 The measures go to a table in the shared folder, since two things read them:
 the counts by host (partial sums before the shuffle, so a hot host is one row
-per task) and the join that brings verdicts back (Spark broadcasts the hosts
-only below its size threshold and splits skewed partitions beyond it).
+per task) and the join that brings verdicts back. Verdicts are broadcast if
+they are of ``BROADCAST_HOSTS`` hosts or fewer, which is counted first; beyond
+that Spark shuffles both sides and splits skewed partitions.
 
 Cases: a null text has no words and fails; documents with a null host are
 judged by their own rules only, and are no part of the prior; repeated rows
@@ -27,10 +28,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import small_side, table, written
 
 SPACE = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
+#: Verdicts of so many hosts are a few MB and go to every executor; more are joined by a shuffle.
+BROADCAST_HOSTS = 50_000
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -102,7 +105,7 @@ def host_verdicts(measured: DataFrame, host: str = "source", max_host_rate: floa
 def judge(docs: DataFrame, text: str = "text", host: str = "source", max_host_rate: float = 0.8) -> DataFrame:
     """``docs`` without the text, with the measures, base_failed, host_rate and kept."""
     measured = written(measure(docs, text))
-    verdicts = host_verdicts(measured, host, max_host_rate).select("host", F.col("shrunk_rate").alias("host_rate"), "rejected")
+    verdicts = small_side(host_verdicts(measured, host, max_host_rate).select("host", F.col("shrunk_rate").alias("host_rate"), "rejected"), BROADCAST_HOSTS)
     out = measured.join(verdicts, measured[host] == verdicts["host"], "left")
     return out.withColumn("kept", ~F.col("base_failed") & ~F.coalesce("rejected", F.lit(False))).drop("rejected", verdicts["host"])
 
@@ -117,10 +120,10 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     The judged documents are written once with their columns; only the hosts
     that are rejected meet them again, so no text is shuffled unless those
-    exceed Spark's broadcast threshold.
+    hosts are too many to broadcast.
     """
     judged = written(measure(docs.withColumn("__copy", F.col("text")), "__copy"))
-    bad = host_verdicts(judged).filter("rejected").select(F.col("host").alias("__host"))
+    bad = small_side(host_verdicts(judged).filter("rejected").select(F.col("host").alias("__host")), BROADCAST_HOSTS)
     return judged.filter(~F.col("base_failed")).join(bad, F.col("source") == F.col("__host"), "left_anti").select(*docs.columns)
 
 
