@@ -121,6 +121,8 @@ def _context(before: Column) -> Column:
     return F.when(words != "", plain)
 
 
+#: So many discovered spans are a few MB and go to every executor; more are joined by a shuffle.
+BROADCAST_SPANS = 100_000
 _SPAN = "array<struct<start:bigint,end:bigint,kind:int,value:string,context:string>>"
 
 
@@ -209,8 +211,10 @@ def find(docs: DataFrame, text: str = "text", rounds: int = 3, min_seeds: int =
     edges = written(both.select("context", F.lower("value").alias("value"), "kind").distinct())
     patterns = scored_patterns(edges, rounds, min_seeds, min_score)
     best = patterns.groupBy("context").agg(F.max_by("kind", F.struct("score", -F.col("kind"))).alias("as_kind"))
-    new = both.filter("kind = -1").join(best, "context")
+    new = written(both.filter("kind = -1").join(best, "context"))
+    few = new.limit(BROADCAST_SPANS + 1).count() <= BROADCAST_SPANS
     new = new.groupBy(F.col("__row").alias("__r")).agg(F.array_sort(F.collect_list(F.struct("start", "end", F.col("as_kind").alias("kind")))).alias("__new"))
+    new = F.broadcast(new) if few else new
     out = rows.join(new, F.col("__row") == F.col("__r"), "left")
     place = lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))
     clear = F.filter("__new", lambda n: ~F.exists("__base", lambda b: (b["start"] < n["end"]) & (n["start"] < b["end"])))
