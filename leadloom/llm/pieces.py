@@ -25,8 +25,8 @@ import struct
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
-#: Words kept by a worker (in two generations), and the longest that is kept: some 100 MB at most.
-CACHE_WORDS, CACHE_CHARS = 500_000, 48
+#: Words kept by a worker (in two generations), and the longest that is kept: some 30 MB at most.
+CACHE_WORDS, CACHE_CHARS = 120_000, 48
 
 
 class Cache(dict):
