@@ -156,6 +156,27 @@ def test_recall_of_leaks(sf):
     assert total > 300 and found >= 0.99 * total and not false
 
 
+def test_long_leaks_at_the_greatest_distance():
+    rng = random.Random(11)
+    sizes = [size for size in (100, 150, 200, 300, 500) for _ in range(4)]
+    items = [(k, " ".join(f"i{k}w{j}" for j in range(size))) for k, size in enumerate(sizes)]
+    detector = decontaminate.Detector(items)
+    for kind in ("deletions", "insertions", "mixed"):
+        docs = []
+        for k, size in enumerate(sizes):
+            copy, most = decontaminate.words(items[k][1]), size // 5
+            places = sorted(rng.sample(range(1, size - 1), most), reverse=True)
+            for n, at in enumerate(places):
+                change = kind if kind != "mixed" else ("deletions", "insertions")[n % 2]
+                copy[at : at + (change == "deletions")] = [] if change == "deletions" else [f"new{k}x{n}"]
+            docs.append([f"f{k}w{j}" for j in range(30)] + copy + [f"g{k}w{j}" for j in range(30)])
+        for k, hits in enumerate(detector.detect([" ".join(d) for d in docs])):
+            # without keys: the least distance to any run of the whole text
+            distance, end = decontaminate.fit_distance(detector.words[k], decontaminate._hashes(docs[k]))
+            assert distance <= sizes[k] // 5 and (kind == "mixed" or distance == sizes[k] // 5)
+            assert hits == [{"item_id": k, "n_edits": distance, "end_word": end}], (kind, sizes[k])
+
+
 def test_leaks_of_defined_cases(spark, sf):
     bench = spark.createDataFrame([(1, "alpha beta gamma delta epsilon zeta eta theta iota kappa"), (2, None), (3, ""), (4, "solo"), (None, "one two three four five six")], "item_id long, text string")
     rows = [(1, "x Alpha beta, gamma delta epsilon zeta eta theta iota kappa! y", "c"), (2, None, "c"), (3, "alpha beta gamma", "c"), (None, "a solo b", "c"), (5, "one two three four five six", "c"), (5, "one two three four five six", "c")]
