@@ -6,7 +6,8 @@ by byte-pair merging of the normalised text are then projected to spans of
 bytes of the original text (end exclusive). Of a character that is written as
 bytes, the last byte piece has the whole character as its span and the others
 are empty. Where the model has no character map, the projection is read from
-the lengths of the pieces, with no array for each byte.
+the lengths of the pieces, for many texts at once, with no array for each byte.
+The digest of spans is that of all starts, a semicolon and all ends.
 
 Cases: a null text counts as empty and has no pieces; texts are encoded whole;
 repeated rows stay; an empty table gives an empty result; all columns of the
@@ -35,7 +36,9 @@ class Encoder:
         self.model = model
         #: the ids of a word as little-endian 32-bit numbers, so that those of a text are one join
         self.cache = Cache(lambda word: np.array(model.encode(word), dtype="<i4").tobytes())
-        self.width = [len(p.replace(MARK, " ").encode()) for p in model.pieces]
+        #: bytes of the source that a piece covers (byte pieces: none yet), and the byte of a byte piece, else -1
+        self.width = np.array([0 if k == BYTE else len(p.replace(MARK, " ").encode()) for p, k in zip(model.pieces, model.kinds)], np.int32)
+        self.byte = np.array([int(p[3:5], 16) if k == BYTE else -1 for p, k in zip(model.pieces, model.kinds)], np.int16)
 
     def packed(self, text: str | None) -> bytes:
         return b"".join(map(self.cache.__getitem__, self.model.words(self.model.normalized(text or ""))))
@@ -45,29 +48,42 @@ class Encoder:
 
     def spans(self, text: str | None, ids: list[int]) -> tuple[list[int], list[int]]:
         """First byte and end of each piece in the UTF-8 of ``text``."""
-        text = text or ""
+        starts, ends = self.all_spans([text], np.array(ids, "<i4"), np.array([0, len(ids)]))
+        return starts.tolist(), ends.tolist()
+
+    def all_spans(self, texts: list[str | None], ids: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``spans`` of many texts, one after the other; the ids of text k are ``ids[cuts[k] : cuts[k + 1]]``."""
+        width, byte = self.width[ids], self.byte[ids]
+        lead = np.flatnonzero((byte >= 0) & (byte & 0xC0 != 0x80))
+        size = 1 + sum((byte[lead] >= b).astype(np.int32) for b in (0xC0, 0xE0, 0xF0))
+        width[lead + size - 1] = size
+        ends = np.cumsum(width, dtype=np.int32)
+        before = np.concatenate([np.zeros(1, np.int32), ends])[cuts[:-1]] + np.int32(self.model.dummy_prefix)
+        ends -= np.repeat(before, np.diff(cuts))
+        starts = np.maximum(ends - width, 0)
+        ends = np.maximum(ends, 0)
+        for k, text in enumerate(texts):
+            if not self.model.plain or MARK in (text or ""):
+                mine = slice(cuts[k], cuts[k + 1])
+                starts[mine], ends[mine] = self._aligned(text or "", ids[mine].tolist())
+        return starts, ends
+
+    def _aligned(self, text: str, ids: list[int]) -> tuple[list[int], list[int]]:
+        """Spans by the source byte of every normalised byte."""
         kinds, pieces = self.model.kinds, self.model.pieces
-        source = None
-        if not self.model.plain or MARK in text:
-            source = self.model.normalize(text)[1]
+        normal, source = self.model.normalize(text)
         starts, ends, at, i = [], [], 0, 0
-        if source is None and ids and self.model.dummy_prefix:
-            at = -1
-        data = text.encode() if any(kinds[x] == BYTE for x in set(ids)) else b""
-        place = (lambda x: max(x, 0)) if source is None else source.__getitem__
-        normal = data if source is None else self.model.normalize(text)[0]
         while i < len(ids):
             if kinds[ids[i]] != BYTE:
-                size = self.width[ids[i]] if source is None else len(pieces[ids[i]].encode())
-                starts.append(place(at))
-                at += size
-                ends.append(place(at))
+                starts.append(source[at])
+                at += len(pieces[ids[i]].encode())
+                ends.append(source[at])
                 i += 1
                 continue
             b = normal[at]
             size = 1 if b < 0x80 else 2 if b < 0xE0 else 3 if b < 0xF0 else 4
-            starts += [place(at)] * size
-            ends += [place(at)] * (size - 1) + [place(at + size)]
+            starts += [source[at]] * size
+            ends += [source[at]] * (size - 1) + [source[at + size]]
             at += size
             i += size
         return starts, ends
@@ -142,18 +158,17 @@ def encode(df: DataFrame, text: str = "text", model: str | None = None, spans: b
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(path)
-        kind = pa.list_(pa.int32())
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 texts = part.column(text).to_pylist()
                 packed = [encoder.packed(x) for x in texts]
-                ends = np.cumsum([0, *[len(x) // 4 for x in packed]]).astype(np.int32)
-                new = {ids: pa.ListArray.from_arrays(ends, np.frombuffer(b"".join(packed), dtype="<i4"))}
+                cuts = np.cumsum([0, *[len(x) // 4 for x in packed]]).astype(np.int32)
+                flat = np.frombuffer(b"".join(packed), dtype="<i4")
+                new = {ids: pa.ListArray.from_arrays(cuts, flat)}
                 if spans:
-                    found = [np.frombuffer(x, dtype="<i4").tolist() for x in packed]
-                    both = [encoder.spans(x, y) for x, y in zip(texts, found)]
-                    new |= {"starts": pa.array([x[0] for x in both], kind), "ends": pa.array([x[1] for x in both], kind)}
+                    starts, ends = encoder.all_spans(texts, flat, cuts)
+                    new |= {"starts": pa.ListArray.from_arrays(cuts, starts), "ends": pa.ListArray.from_arrays(cuts, ends)}
                 yield _added(part, new)
 
     return df.mapInArrow(run, schema)
@@ -176,21 +191,25 @@ def decode(df: DataFrame, ids: str = "ids", model: str | None = None, text: str
     return df.mapInArrow(run, _schema(df, {text: T.StringType()}))
 
 
-def _digests(docs: DataFrame) -> DataFrame:
-    out = decode(encode(docs, spans=False).drop("text"))
+def _digests(docs: DataFrame, keep_spans: bool) -> DataFrame:
+    joined = lambda c: F.array_join(F.col(c).cast("array<string>"), ",")
+    out = encode(docs).drop("text").withColumn("spans_sha256", F.sha2(F.concat_ws(";", joined("starts"), joined("ends")), 256))
+    # spans that are not returned need not pass the decoder
+    out = decode(out if keep_spans else out.drop("starts", "ends"))
     return out.withColumns({
         "n_tokens": F.size("ids").cast("long"),
-        "ids_sha256": F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256),
+        "ids_sha256": F.sha2(joined("ids"), 256),
         "decoded_sha256": F.sha2("decoded", 256),
     })
 
 
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return _digests(docs).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+    return _digests(docs, False).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "spans_sha256")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The columns of ``docs`` but the text, with its ids and the digests of ids and decoded text."""
-    names = [c for c in docs.columns if c not in ("text", "ids", "decoded", "n_tokens", "ids_sha256", "decoded_sha256")]
-    return _digests(docs.select(*names, "text")).select(*names, "n_tokens", "ids", "ids_sha256", "decoded_sha256")
+    """The columns of ``docs`` but the text, with its ids and their spans, and the digests of ids, decoded text and spans."""
+    new = ("n_tokens", "ids", "starts", "ends", "ids_sha256", "decoded_sha256", "spans_sha256")
+    names = [c for c in docs.columns if c not in ("text", "decoded", *new)]
+    return _digests(docs.select(*names, "text"), True).select(*names, *new)

@@ -63,6 +63,19 @@ def test_queries(spark, sf):
         assert (ten[d].n_bytes, ten[d].n_tokens, ten[d].over_limit) == (len((text or "").encode()), len(ids), len(ids) > 4096)
 
 
+def test_queries_return_spans(spark, sf):
+    library = sentencepiece.SentencePieceProcessor(model_file=tokenizer_path())
+    docs = duckdb.sql(f"SELECT doc_id, text FROM '{sf}/documents.parquet' WHERE length(text) < 3000").fetchall()
+    want = {d: [(p.begin, p.end) for p in library.encode(t, return_type="proto").pieces] for d, t in docs}
+    joined = {d: ";".join(",".join(str(x[k]) for x in w) for k in (0, 1)) for d, w in want.items()}
+    six = {r.doc_id: r.spans_sha256 for r in sentencepieces.op6_sentencepiece(spark, sf).collect()}
+    assert all(six[d] == hashlib.sha256(x.encode()).hexdigest() for d, x in joined.items())
+    odd = [(k, t) for k, t in enumerate([*ODD, None]) if "\0" not in (t or "")]
+    for r in sentencepieces.stage(spark, spark.createDataFrame(odd, "doc_id long, text string"), sf).collect():
+        assert list(zip(r.starts, r.ends)) == [(p.begin, p.end) for p in library.encode(dict(odd)[r.doc_id] or "", return_type="proto").pieces]
+    assert len(want) > 50
+
+
 def test_defined_cases(spark):
     rows = [(1, None, "x"), (1, None, "x"), (2, "", "x"), (None, "hi there", "x"), (3, "word " * 50_000, "x")]
     df = spark.createDataFrame(rows, "doc_id long, text string, ids string")
