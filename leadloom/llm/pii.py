@@ -12,9 +12,11 @@ digit, five characters or more) with a context are instances to be judged.
 Patterns and distinct instances form a bipartite graph that is scored in turns:
 a pattern by the mean score of its instances (one unknown is added, so that
 few instances never suffice), an instance by the chance that any of its
-patterns is right. After ``rounds`` turns, patterns of ``min_seeds`` distinct
-seeds and a score of ``min_score`` discover the instances beside them as
-further spans of their kind. Edges are counted once however often they occur,
+patterns is right. Patterns of ``min_seeds`` distinct seeds and a score of
+``min_score`` discover the instances beside them: these are seeds of their kind
+in the next turn, with their own score, so that contexts beside them can be
+patterns too. After ``rounds`` turns (so many generations of patterns at most)
+all that was discovered are further spans of their kind. Edges are counted once however often they occur,
 so copies of a document give no weight, and hot patterns or instances are
 summed up before the shuffle.
 
@@ -180,21 +182,26 @@ def scored_patterns(edges: DataFrame, rounds: int = 3, min_seeds: int = 3, min_s
 
     ``edges``: context, value, kind (0 to 3 for seeds, -1 for others), distinct.
     """
-    kinds = edges.filter("kind >= 0").select("context", "kind").distinct()
-    links = edges.select("context", "value").distinct().join(kinds, "context")
-    seeds = edges.filter("kind >= 0").select("value", "kind").distinct().withColumn("score", F.lit(1.0))
-    scores = seeds
+    pairs = edges.select("context", "value").distinct()
+    base = edges.filter("kind >= 0").select("value", "kind").distinct()
+    scores = base.withColumns({"score": F.lit(1.0), "is_seed": F.lit(True)})
     for step in range(rounds):
+        # contexts beside the seeds of now: those of a later round can be beside discovered values only
+        kinds = pairs.join(scores.filter("is_seed"), "value").select("context", "kind").distinct()
+        links = pairs.join(kinds, "context")
         patterns = (
             links.join(scores.withColumnRenamed("score", "s"), ["value", "kind"], "left")
             .groupBy("context", "kind")
-            .agg((F.sum(F.coalesce("s", F.lit(0.0))) / (F.count("*") + 1)).alias("score"), F.count_if(F.col("s") == 1.0).alias("n_seeds"))
+            .agg((F.sum(F.coalesce("s", F.lit(0.0))) / (F.count("*") + 1)).alias("score"), F.count_if("is_seed").alias("n_seeds"))
         )
         patterns = written(patterns.filter(F.col("n_seeds") >= min_seeds))
         if step < rounds - 1:
             chance = 1 - F.exp(F.sum(F.ln(1 - F.col("score"))))
-            others = links.join(patterns, ["context", "kind"]).groupBy("value", "kind").agg(chance.alias("score"))
-            scores = seeds.unionByName(others.join(seeds.drop("score"), ["value", "kind"], "left_anti"))
+            others = links.join(patterns, ["context", "kind"]).groupBy("value", "kind").agg(chance.alias("score"), (F.max("score") >= min_score).alias("sure"))
+            others = others.join(base, ["value", "kind"], "left_anti").join(base.select("value", F.lit(True).alias("known")).distinct(), "value", "left")
+            # what a confident pattern has discovered is a seed from now on; base seeds are none of another kind
+            others = others.select("value", "kind", "score", (F.col("sure") & F.col("known").isNull()).alias("is_seed"))
+            scores = written(base.withColumns({"score": F.lit(1.0), "is_seed": F.lit(True)}).unionByName(others))
     return patterns.filter(F.col("score") >= min_score).select("context", "kind", "score")
 
 

@@ -81,3 +81,14 @@ def test_contexts_discover(spark):
     clean = {r.doc_id: r.text for r in pii.redact(out).collect()}
     assert clean[20] == "see customer card: [CARD] here" and clean[10] == "text 0 customer card: [CARD] end" and clean[22] is None
     assert pii.find(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_discovered_instances_induce_patterns(spark):
+    rows = [(i, f"please write to u{i}@mail.org today") for i in range(40)]
+    rows += [(100 + i, f"please write to u{i}-at-mail.org today") for i in range(8)]
+    rows += [(200 + i, f"her contact name u{i}-at-mail.org today") for i in range(8)]
+    rows += [(300, "her contact name v5-at-post.org today"), (301, "some other word v6-at-post.org today")]
+    got = {r.doc_id: [s.kind for s in r.added] for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[100] == got[200] == [0] and got[0] == got[301] == []
+    # its context is beside discovered instances only
+    assert got[300] == [0]
