@@ -70,7 +70,7 @@ def _running(lengths: Column) -> Column:
 
 
 def _matches(text: Column, pattern: str) -> Column:
-    """array<struct<start, end, value, before>> of all matches; before: up to 64 characters ahead of it."""
+    """array<struct<start, end, value, context>> of all matches."""
 
     def built(pair: Column) -> Column:
         found, pieces = pair["found"], pair["pieces"]
@@ -80,7 +80,7 @@ def _matches(text: Column, pattern: str) -> Column:
             return F.transform(
                 found,
                 lambda m, i: F.struct(
-                    (F.get(e, i) - F.length(m)).alias("start"), F.get(e, i).alias("end"), m.alias("value"), F.right(F.get(pieces, i), F.lit(64)).alias("before")
+                    (F.get(e, i) - F.length(m)).alias("start"), F.get(e, i).alias("end"), m.alias("value"), _context(F.get(pieces, i), i == 0).alias("context")
                 ),
             )
 
@@ -116,11 +116,18 @@ def _valid(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
-def _context(before: Column) -> Column:
-    """The two words that end ``before``, without edges and in lower case; null unless both are free of digits."""
-    words = F.regexp_extract(before, r"(?:^|\s)([^\s0-9@]+)\s+([^\s0-9@]+)\s+$", 0)
-    plain = F.btrim(F.lower(F.regexp_replace(words, r"\s+", " ")))
-    return F.when(words != "", plain)
+#: Two words and the white space up to the end; what is taken is never given back, so that each start costs its two words only.
+_WORDS = r"[^\s0-9@]++\s++[^\s0-9@]++\s++$"
+
+
+def _context(piece: Column, first: Column) -> Column:
+    """The two words that end ``piece``, without edges and in lower case; null unless both are free of digits.
+
+    ``piece`` is all the text since the match before. Only that of the ``first``
+    match begins with a word; any other goes on with the word of a match.
+    """
+    words = F.when(first, F.regexp_extract(piece, r"(?:^|\s)" + _WORDS, 0)).otherwise(F.regexp_extract(piece, r"\s" + _WORDS, 0))
+    return _bound(words, lambda w: F.when(w != "", F.btrim(F.lower(F.regexp_replace(w, r"\s+", " ")))))
 
 
 #: So many discovered spans are a few MB and go to every executor; more are joined by a shuffle.
@@ -149,7 +156,7 @@ def _test(kind: str):
 
 
 def _as_span(k: int):
-    return lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), F.lit(k).alias("kind"), m["value"].alias("value"), _context(m["before"]).alias("context"))
+    return lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), F.lit(k).alias("kind"), m["value"].alias("value"), m["context"].alias("context"))
 
 
 def _by_place(a: Column, b: Column) -> Column:
@@ -165,7 +172,7 @@ def candidates(text: Column) -> Column:
         head = F.length(F.regexp_extract(m["value"], "^" + _EDGE, 0))
         core = F.regexp_replace(m["value"], f"^{_EDGE}|{_EDGE}$", "")
         start = m["start"] + head
-        return F.struct(start.alias("start"), (start + F.length(core)).alias("end"), F.lit(-1).alias("kind"), core.alias("value"), _context(m["before"]).alias("context"))
+        return F.struct(start.alias("start"), (start + F.length(core)).alias("end"), F.lit(-1).alias("kind"), core.alias("value"), m["context"].alias("context"))
 
     def wanted(s: Column) -> Column:
         known = F.lit(False)

@@ -92,3 +92,24 @@ def test_discovered_instances_induce_patterns(spark):
     assert got[100] == got[200] == [0] and got[0] == got[301] == []
     # its context is beside discovered instances only
     assert got[300] == [0]
+
+
+def test_contexts_of_any_length(spark):
+    long, wide = "w" * 70, " " * 80
+    cases = {
+        f"see {long} mail: a@b.org": f"{long} mail:",
+        f"see 7{long} mail: a@b.org": None,  # the digit is over 64 characters away
+        f"see Our{wide}Mail:{wide}a@b.org": "our mail:",
+        "my mail: a@b.org": "my mail:",
+        "1.2.3.4xy mail: 5.6.7.8": None,  # the first word goes on from a match
+        "1.2.3.4 my ip: 5.6.7.8": "my ip:",
+        "only a@b.org": None,
+        "q " * 100_000 + wide * 1000 + "a@b.org": "q q",
+        "q" * 200_000 + " mail: a@b.org": "q" * 200_000 + " mail:",
+    }
+    texts = list(cases)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in df.select("doc_id", F.element_at(pii.base_spans(F.col("text")), -1).alias("last")).collect():
+        assert r["last"].context == cases[texts[r.doc_id]], texts[r.doc_id][:80]
+    token = df.sparkSession.createDataFrame([(f"{long} {long} id12345 x",), (f"9{long} {long} id12345 x",)], "text string")
+    assert [[s.context for s in r[0]] for r in token.select(pii.candidates(F.col("text"))).collect()] == [[f"{long} {long}"], []]
