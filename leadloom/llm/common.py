@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 DEFAULT_TOKENIZER = "piece_bpe_32k.model"
@@ -48,3 +50,36 @@ def tokenizer_path(name: str = DEFAULT_TOKENIZER) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
+
+
+def other_names(have: Iterable[str], new: Iterable[str]) -> list[str]:
+    """``have`` without the names of ``new`` columns, whatever their case: a new column takes the place of an old one."""
+    taken = {c.lower() for c in new}
+    return [c for c in have if c.lower() not in taken]
+
+
+def in_batches(batches: Iterator[pa.RecordBatch], text: str, docs: int, chars: int) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
+    """Rows with their texts, in groups of ``docs`` rows at most that end once they have ``chars`` characters."""
+    for batch in batches:
+        at, texts, size = 0, [], 0
+        for value in batch.column(text):
+            texts.append(value.as_py())
+            size += len(texts[-1] or "")
+            if size >= chars or len(texts) >= docs:
+                yield batch.slice(at, len(texts)), texts
+                at, texts, size = at + len(texts), [], 0
+        if texts:
+            yield batch.slice(at), texts
+
+
+def released() -> None:
+    """Gives memory that a finished task of a worker no longer uses back to the system; workers outlive their tasks."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        pass

@@ -9,6 +9,9 @@
   adjacent pairs: the pair of lowest rank is popped again and again, the
   leftmost first where ranks are equal.
 
+``merge_all`` does the same for many words side by side (numpy): each turn
+makes the merge of lowest rank, leftmost first, in every word that has one.
+
 Texts are cut ahead of merging where no piece of the vocabulary has the two
 characters side by side (checked when the model is loaded); a merge can then
 never reach over the cut either. Results of short cuts are kept in a cache
@@ -19,34 +22,86 @@ from __future__ import annotations
 
 import functools
 import heapq
+import itertools
 import re
 import struct
+from collections.abc import Iterable
+
+import numpy as np
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
-#: Words kept by a worker (in two generations), and the longest that is kept: some 30 MB at most.
-CACHE_WORDS, CACHE_CHARS = 120_000, 48
+#: Words kept by a worker (in two generations), and the longest that is kept: some 60 MB at most.
+CACHE_WORDS, CACHE_CHARS = 240_000, 48
 
 
 class Cache(dict):
     """Results by word. What was not asked for while half the bound came in anew is dropped."""
 
-    def __init__(self, make):
+    def __init__(self, make, words: int = CACHE_WORDS):
         super().__init__()
-        self.make, self.old = make, {}
+        self.make, self.old, self.words = make, {}, words
 
     def __missing__(self, word: str):
         out = self.old.get(word)
         if out is None:
             out = self.make(word)
         if len(word) <= CACHE_CHARS:
-            if len(self) >= CACHE_WORDS // 2:
+            if len(self) >= self.words // 2:
                 self.old = dict(self)
                 self.clear()
             self[word] = out
         return out
 
+    def fill(self, words: Iterable[str], make_all) -> list[str]:
+        """Puts in what ``words`` need and this does not hold, made at once; returns those too long to be kept for good."""
+        if len(self) >= self.words // 2:
+            self.old = dict(self)
+            self.clear()
+        fresh = set(itertools.filterfalse(self.__contains__, words))
+        known = fresh & self.old.keys()
+        self.update((w, self.old[w]) for w in known)
+        fresh = list(fresh - known)
+        self.update(zip(fresh, make_all(fresh)))
+        return [w for w in fresh if len(w) > CACHE_CHARS]
+
+
+class PairTable:
+    """Merges of symbol pairs, looked up for many pairs at once: open addressing, in at most ``reach`` steps."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        bits = max(4, (4 * len(keys)).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys, self.values = np.full(1 << bits, -1, np.int64), np.full(1 << bits, -1, np.int64)
+        rest, slot, self.reach = np.arange(len(keys)), self._slot(keys), 0
+        while len(rest):
+            at = (slot[rest] + self.reach) & self.mask
+            free = np.flatnonzero(self.keys[at] < 0)
+            place, one = np.unique(at[free], return_index=True)
+            self.keys[place], self.values[place] = keys[rest[free[one]]], values[rest[free[one]]]
+            rest = np.delete(rest, free[one])
+            self.reach += 1
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        """The values of ``keys``, -1 where there is none."""
+        at = self._slot(keys)
+        found = self.keys[at]
+        out = np.where(found == keys, self.values[at], -1)
+        rest = np.flatnonzero((found != keys) & (found >= 0))
+        for _ in range(1, self.reach):
+            if not len(rest):
+                break
+            at[rest] = (at[rest] + 1) & self.mask
+            found = self.keys[at[rest]]
+            hit = found == keys[rest]
+            out[rest[hit]] = self.values[at[rest[hit]]]
+            rest = rest[~hit & (found >= 0)]
+        return out
+
 
 def _fields(data: bytes):
     """(number, value) of every field of a protobuf message."""
@@ -252,8 +307,10 @@ class PieceModel:
         pair, key, span = self.pair.get, self.key, self.span
         n = len(word)
         symbols = list(map(self.symbol.__getitem__, word))
+        heap = [key[m] | i for i, (a, b) in enumerate(zip(symbols, symbols[1:])) if (m := pair(a * span + b)) is not None]
+        if not heap:
+            return symbols, 0
         left, right = list(range(-1, n - 1)), list(range(1, n + 1))
-        heap = [key[m] | i for i in range(n - 1) if (m := pair(symbols[i] * span + symbols[i + 1])) is not None]
         heapq.heapify(heap)
         pop, push = heapq.heappop, heapq.heappush
         merges = 0
@@ -278,6 +335,83 @@ class PieceModel:
                 push(heap, key[x] | j)
         return symbols, merges
 
+    @functools.cached_property
+    def _table(self) -> PairTable:
+        """rank << 32 | merged symbol of every pair."""
+        return PairTable(np.array(list(self.pair), np.int64), np.array([self.key[m] | m for m in self.pair.values()], np.int64))
+
+    @functools.cached_property
+    def _symbol_of(self) -> np.ndarray:
+        out = np.full(0x110000, self.symbol[""], np.int32)
+        for c, s in self.symbol.items():
+            if c:
+                out[ord(c)] = s
+        return out
+
+    def merge_all(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Symbols of all ``words`` after all merges, and how many each has."""
+        size = np.array([len(w) for w in words], np.int64)
+        flat = self._symbol_of[np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)]
+        begin = np.cumsum(size) - size
+        n, longest = len(words), int(size.max(initial=0))
+        # one column for each word; a row more at both ends, so that neighbours always exist
+        sym = np.full((longest + 2, n), -1, np.int64)
+        word = np.repeat(np.arange(n), size)
+        sym[np.arange(len(flat)) - begin[word] + 1, word] = flat
+        step = np.arange(longest + 2)[:, None]
+        left, right = np.broadcast_to(step - 1, sym.shape).copy(), np.broadcast_to(step + 1, sym.shape).copy()
+        none = np.int64(1 << 62)
+        merged = np.full(sym.shape, -1, np.int64)
+        order = np.full(sym.shape, none)
+        a, b = sym[:-1], sym[1:]
+        row, col = np.nonzero((a >= 0) & (b >= 0))
+        found = self._table.get(a[row, col] * self.span + b[row, col])
+        hit = found >= 0
+        row, col, found = row[hit], col[hit], found[hit]
+        merged[row, col] = found & 0xFFFFFFFF
+        order[row, col] = found >> 32 << 16 | row
+        live = np.arange(n)
+        while len(live):
+            best = order.min(axis=0) if len(live) == n else order[:, live].min(axis=0)
+            live, best = live[best < none], best[best < none]
+            at = best & 0xFFFF
+            m = merged[at, live]
+            gone = right[at, live]
+            after = right[gone, live]
+            sym[at, live], sym[gone, live] = m, -1
+            order[gone, live] = none
+            right[at, live], left[after, live] = after, at
+            before = left[at, live]
+            for one, x, y in ((at, m, sym[after, live]), (before, sym[before, live], m)):
+                found = np.full(len(live), -1, np.int64)
+                pair = np.flatnonzero((x >= 0) & (y >= 0))
+                found[pair] = self._table.get(x[pair] * self.span + y[pair])
+                merged[one, live] = found & 0xFFFFFFFF
+                order[one, live] = np.where(found >= 0, found >> 32 << 16 | one, none)
+        kept = sym.T >= 0
+        return sym.T[kept], kept.sum(axis=1)
+
+    def encode_all(self, words: list[str]) -> list[bytes]:
+        """``encode`` of many words, each as little-endian 32-bit numbers."""
+        out: list[bytes] = [b""] * len(words)
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        by_size = np.argsort(size, kind="stable")
+        by_size = by_size[np.searchsorted(size[by_size], 1) : np.searchsorted(size[by_size], CACHE_CHARS, side="right")]
+        for at in range(0, len(by_size), 4096):
+            part = by_size[at : at + 4096].tolist()
+            symbols, count = self.merge_all([words[k] for k in part])
+            ends = np.cumsum(count)
+            loose = np.zeros(len(part), bool)
+            loose[np.searchsorted(ends, np.flatnonzero(symbols >= self.n), side="right")] = True
+            packed = symbols.astype("<i4").tobytes()
+            for k, a, b in zip(part, (4 * (ends - count)).tolist(), (4 * ends).tolist()):
+                out[k] = packed[a:b]
+            for k in np.flatnonzero(loose).tolist():
+                out[part[k]] = np.array(self.encode(words[part[k]]), "<i4").tobytes()
+        for k in np.flatnonzero(size > CACHE_CHARS).tolist():
+            out[k] = np.array(self.encode(words[k]), "<i4").tobytes()
+        return out
+
     def encode(self, word: str) -> list[int]:
         """Ids of ``word``; a character that is no piece is written as its bytes."""
         symbols, _ = self._merged(word)

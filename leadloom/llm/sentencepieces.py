@@ -9,14 +9,21 @@ are empty. Where the model has no character map, the projection is read from
 the lengths of the pieces, for many texts at once, with no array for each byte.
 The digest of spans is that of all starts, a semicolon and all ends.
 
+``coded`` encodes, projects, decodes the ids again and makes digests in one
+pass, so that only what is asked for leaves the Python worker. Texts are taken
+in groups of bounded size; words of a group that are not in the cache are
+merged side by side.
+
 Cases: a null text counts as empty and has no pieces; texts are encoded whole;
 repeated rows stay; an empty table gives an empty result; all columns of the
-input are kept, but a column with the name of a new one is replaced by it.
+input are kept, but a new column takes the place of one with its name.
 """
 
 from __future__ import annotations
 
 import functools
+import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table, tokenizer_path
+from .common import in_batches, other_names, released, table, tokenizer_path
 from .pieces import BYTE, CONTROL, MARK, UNKNOWN, Cache, PieceModel, load
 
 
@@ -43,6 +50,15 @@ class Encoder:
     def packed(self, text: str | None) -> bytes:
         return b"".join(map(self.cache.__getitem__, self.model.words(self.model.normalized(text or ""))))
 
+    def packed_all(self, texts: list[str | None]) -> list[bytes]:
+        """``packed`` of a group of texts; words that are not known yet are merged together."""
+        words = [self.model.words(self.model.normalized(t or "")) for t in texts]
+        long = self.cache.fill(itertools.chain.from_iterable(words), self.model.encode_all)
+        out = [b"".join(map(self.cache.__getitem__, ws)) for ws in words]
+        for w in long:
+            del self.cache[w]
+        return out
+
     def ids(self, text: str | None) -> list[int]:
         return np.frombuffer(self.packed(text), dtype="<i4").tolist()
 
@@ -141,75 +157,116 @@ def encoder_of(path: str) -> Encoder:
     return Encoder(load(path))
 
 
-def _added(batch: pa.RecordBatch, new: dict[str, pa.Array]) -> pa.RecordBatch:
-    keep = [c for c in batch.schema.names if c not in new]
-    return pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], *new.values()], names=[*keep, *new])
-
-
-def _schema(df: DataFrame, new: dict[str, T.DataType]) -> T.StructType:
-    return T.StructType([*[f for f in df.schema.fields if f.name not in new], *[T.StructField(k, v) for k, v in new.items()]])
+#: Texts are coded in groups of so many documents or characters.
+GROUP_DOCS, GROUP_CHARS = 512, 1_000_000
+_INTS = T.ArrayType(T.IntegerType())
+CODED = {
+    "n_tokens": T.LongType(), "ids": _INTS, "starts": _INTS, "ends": _INTS, "decoded": T.StringType(),
+    "ids_sha256": T.StringType(), "decoded_sha256": T.StringType(), "spans_sha256": T.StringType(),
+}
 
 
-def encode(df: DataFrame, text: str = "text", model: str | None = None, spans: bool = True, ids: str = "ids") -> DataFrame:
-    """``df`` with ids array<int>, and with ``spans`` starts and ends array<int> (bytes of the source), added."""
+@functools.lru_cache(maxsize=1)
+def _numbers() -> list[bytes]:
+    """The decimal numbers below 65536, each with a comma."""
+    return [b"%d," % n for n in range(65_536)]
+
+
+def _decimal(numbers: np.ndarray) -> bytes:
+    """Decimal numbers, each with a comma after it."""
+    values = numbers.tolist()
+    if not values or max(values) < 65_536:
+        return b"".join(map(_numbers().__getitem__, values))
+    return b"".join([b"%d," % n for n in values])
+
+
+def _spans_text(starts: np.ndarray, ends: np.ndarray) -> bytes:
+    """All starts, a semicolon and all ends."""
+    last = _decimal(ends)
+    if len(starts) and (starts[1:] == ends[:-1]).all():  # each piece starts where the one before ends
+        first = b"%d," % starts[0] + last[: last.rindex(b",", 0, -1) + 1] if len(starts) > 1 else b"%d," % starts[0]
+    else:
+        first = _decimal(starts)
+    return first[:-1] + b";" + last[:-1]
+
+
+class Coder:
+    """The columns of ``CODED`` for groups of texts."""
+
+    def __init__(self, path: str):
+        self.encoder, self.decoder = encoder_of(path), Decoder(load(path))
+
+    def columns(self, texts: list[str | None], wanted: tuple[str, ...]) -> dict[str, pa.Array]:
+        packed = self.encoder.packed_all(texts)
+        cuts = np.cumsum([0, *[len(x) // 4 for x in packed]]).astype(np.int32)
+        flat = np.frombuffer(b"".join(packed), dtype="<i4")
+        parts = [slice(a, b) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+        sha = lambda x: hashlib.sha256(x).hexdigest()
+        out: dict[str, pa.Array] = {"n_tokens": pa.array(np.diff(cuts), pa.int64()), "ids": pa.ListArray.from_arrays(cuts, flat)}
+        if "ids_sha256" in wanted:
+            out["ids_sha256"] = pa.array([sha(_decimal(flat[p])[:-1]) for p in parts])
+        if {"starts", "ends", "spans_sha256"} & {*wanted}:
+            starts, ends = self.encoder.all_spans(texts, flat, cuts)
+            out |= {"starts": pa.ListArray.from_arrays(cuts, starts), "ends": pa.ListArray.from_arrays(cuts, ends)}
+            if "spans_sha256" in wanted:
+                out["spans_sha256"] = pa.array([sha(_spans_text(starts[p], ends[p])) for p in parts])
+        if {"decoded", "decoded_sha256"} & {*wanted}:
+            decoded = [self.decoder.decode(flat[p].tolist()) for p in parts]
+            out["decoded"] = pa.array(decoded, pa.string())
+            if "decoded_sha256" in wanted:
+                out["decoded_sha256"] = pa.array([sha(x.encode()) for x in decoded])
+        return {k: out[k] for k in wanted}
+
+
+def coded(df: DataFrame, wanted: tuple[str, ...], text: str = "text", model: str | None = None, keep_text: bool = True) -> DataFrame:
+    """``df`` with the columns ``wanted`` of ``CODED`` added; without ``keep_text`` the text is left out."""
     path = model or tokenizer_path()
-    ints = T.ArrayType(T.IntegerType())
-    schema = _schema(df, {ids: ints} | ({"starts": ints, "ends": ints} if spans else {}))
+    names = other_names([c for c in df.columns if keep_text or c != text], wanted)
+    rows = df.select(*[F.col(f"`{c}`") for c in names], F.col(text).cast("string").alias("__text"))
+    schema = T.StructType([*rows.schema.fields[:-1], *[T.StructField(k, CODED[k]) for k in wanted]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = encoder_of(path)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                texts = part.column(text).to_pylist()
-                packed = [encoder.packed(x) for x in texts]
-                cuts = np.cumsum([0, *[len(x) // 4 for x in packed]]).astype(np.int32)
-                flat = np.frombuffer(b"".join(packed), dtype="<i4")
-                new = {ids: pa.ListArray.from_arrays(cuts, flat)}
-                if spans:
-                    starts, ends = encoder.all_spans(texts, flat, cuts)
-                    new |= {"starts": pa.ListArray.from_arrays(cuts, starts), "ends": pa.ListArray.from_arrays(cuts, ends)}
-                yield _added(part, new)
+        coder = Coder(path)
+        for part, texts in in_batches(batches, "__text", GROUP_DOCS, GROUP_CHARS):
+            new = coder.columns(texts, wanted)
+            yield pa.RecordBatch.from_arrays([*part.columns[:-1], *new.values()], names=[*names, *wanted])
+        released()
+
+    return rows.mapInArrow(run, schema)
 
-    return df.mapInArrow(run, schema)
+
+def encode(df: DataFrame, text: str = "text", model: str | None = None, spans: bool = True, ids: str = "ids") -> DataFrame:
+    """``df`` with ids array<int>, and with ``spans`` starts and ends array<int> (bytes of the source), added."""
+    out = coded(df, ("ids", "starts", "ends") if spans else ("ids",), text, model)
+    return out if ids == "ids" else out.withColumnRenamed("ids", ids)
 
 
 def decode(df: DataFrame, ids: str = "ids", model: str | None = None, text: str = "decoded") -> DataFrame:
     """``df`` with the text of ``ids`` added; null ids count as none."""
     path = model or tokenizer_path()
+    names = other_names(df.columns, (text,))
+    rows = df.select(*[F.col(f"`{c}`") for c in names], F.col(ids).alias("__ids"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = Decoder(load(path))
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                column = part.column(ids)
+            for at in range(0, batch.num_rows, GROUP_DOCS):
+                part = batch.slice(at, GROUP_DOCS)
+                column = part.column("__ids")
                 flat = column.flatten().to_numpy(zero_copy_only=False).tolist()
                 ends = np.cumsum([0, *[x or 0 for x in column.value_lengths().to_pylist()]]).tolist()
-                yield _added(part, {text: pa.array([decoder.decode(flat[a:b]) for a, b in zip(ends, ends[1:])], pa.string())})
-
-    return df.mapInArrow(run, _schema(df, {text: T.StringType()}))
-
+                new = pa.array([decoder.decode(flat[a:b]) for a, b in zip(ends, ends[1:])], pa.string())
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], new], names=[*names, text])
+        released()
 
-def _digests(docs: DataFrame, keep_spans: bool) -> DataFrame:
-    joined = lambda c: F.array_join(F.col(c).cast("array<string>"), ",")
-    out = encode(docs).drop("text").withColumn("spans_sha256", F.sha2(F.concat_ws(";", joined("starts"), joined("ends")), 256))
-    # spans that are not returned need not pass the decoder
-    out = decode(out if keep_spans else out.drop("starts", "ends"))
-    return out.withColumns({
-        "n_tokens": F.size("ids").cast("long"),
-        "ids_sha256": F.sha2(joined("ids"), 256),
-        "decoded_sha256": F.sha2("decoded", 256),
-    })
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields[:-1], T.StructField(text, T.StringType())]))
 
 
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return _digests(docs, False).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "spans_sha256")
+    return coded(docs, ("n_tokens", "ids_sha256", "decoded_sha256", "spans_sha256"), keep_text=False)
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The columns of ``docs`` but the text, with its ids and their spans, and the digests of ids, decoded text and spans."""
-    new = ("n_tokens", "ids", "starts", "ends", "ids_sha256", "decoded_sha256", "spans_sha256")
-    names = [c for c in docs.columns if c not in ("text", "decoded", *new)]
-    return _digests(docs.select(*names, "text"), True).select(*names, *new)
+    return coded(docs, ("n_tokens", "ids", "starts", "ends", "ids_sha256", "decoded_sha256", "spans_sha256"), keep_text=False)
