@@ -21,23 +21,49 @@ def _prefix(x: Column) -> Column:
     return F.when(F.length(head) >= 2, head)
 
 
-def keys(leads: DataFrame) -> DataFrame:
-    """id, key_type, key: one row for each blocking key of a lead."""
+def _key_columns() -> dict[str, Column]:
     email = F.nullif(F.col("email"), F.lit(""))
     domain = F.when(email.contains("@"), F.lower(F.get(F.split(email, "@", -1), F.lit(1))))
     digits = phone_digits()
     organisation = F.nullif(company(F.col("company_name")), F.lit(""))
-    kinds = {
+    return {
         "email_exact": F.lower(strip(email)),
         "phone_normalized": F.when(F.length(digits) >= 7, digits),
         "phone_suffix_10": F.when(F.length(digits) >= 10, F.right(digits, F.lit(10))),
         "domain_lastname": F.concat(domain, F.lit("|"), _prefix(F.col("last_name"))),
         "company_firstname": F.concat(organisation, F.lit("|"), _prefix(F.col("first_name"))),
+        "domain": domain,
     }
+
+
+def _exploded(leads: DataFrame, kinds: dict[str, Column]) -> DataFrame:
     pairs = F.filter(F.array(*[F.struct(F.lit(k).alias("key_type"), v.alias("key")) for k, v in kinds.items()]), lambda x: x["key"].isNotNull())
     return leads.select("id", F.explode(pairs).alias("k")).select("id", "k.key_type", "k.key")
 
 
+def keys(leads: DataFrame) -> DataFrame:
+    """id, key_type, key: one row for each blocking key of a lead."""
+    kinds = _key_columns()
+    del kinds["domain"]
+    return _exploded(leads, kinds)
+
+
+#: Keys of telephone numbers; what shares one has a phone score, and the other way round.
+PHONE_KEYS = ("phone_normalized", "phone_suffix_10")
+
+
+def match_keys(leads: DataFrame) -> DataFrame:
+    """``keys`` for matches over a threshold that name, company and hint alone can't reach.
+
+    Such pairs share an e-mail domain or a number, so a company and first name
+    count together with the domain only; those that share a number have its key.
+    """
+    kinds = _key_columns()
+    domain = kinds.pop("domain")
+    kinds["company_firstname"] = F.concat(kinds["company_firstname"], F.lit("|"), domain)
+    return _exploded(leads, kinds)
+
+
 def bucket_sizes(all_keys: DataFrame) -> DataFrame:
     """key_type, key, n: counted before the shuffle, so a hot key is one row per task."""
     return all_keys.groupBy("key_type", "key").agg(F.count("*").alias("n"))
@@ -53,7 +79,8 @@ def candidate_pairs(leads: DataFrame, most: int = MOST_PER_BUCKET) -> DataFrame:
     return pairs.select(F.col("id").alias("lead_id_1"), F.col("other").alias("lead_id_2")).distinct()
 
 
-def probe_pairs(probes: DataFrame, leads: DataFrame) -> DataFrame:
-    """probe, id: leads that share a key with a probe; buckets of any size. ``probes`` has its number in ``id``."""
-    p = keys(probes).withColumnRenamed("id", "probe")
-    return p.join(keys(leads), ["key_type", "key"]).select("probe", "id").distinct()
+def probe_pairs(probes: DataFrame, leads: DataFrame, by=None) -> DataFrame:
+    """probe, id: leads that share a key with a probe; buckets of any size. ``probes`` has its number in ``id``; ``by`` makes the keys."""
+    by = by or keys
+    p = by(probes).withColumnRenamed("id", "probe")
+    return p.join(by(leads), ["key_type", "key"]).select("probe", "id").distinct()

@@ -2,19 +2,26 @@
 
 Submissions count in the order of ``pos``: one sees what earlier ones created
 or filled in. What one can change for another is little: a created lead, a
-phone number that was missing, or the hint in the notes. Two submissions are in
-one group only if such a change could bring a match over the threshold: they
-score each other, or the same lead, high enough, counting in a phone number
-only if the batch holds the submission's own number twice. In every
-round all groups match at once, with the joins and scores of a full resolution;
-of each group those up to the first that changes something are final, the rest
-is matched again. A batch takes as many rounds as its busiest group has changes.
+phone number that was missing, or the hint in the notes. So everything else is
+computed once for the whole batch:
+
+1. Pairs of a submission and a lead, or an earlier submission whose lead may
+   come to be, by the keys of blocking, each with the scores that never change.
+   Pairs that could not reach the threshold with any change are dropped.
+2. Pairs that come to share a number only: a lead without one may get it from
+   one submission and be found by it by another.
+3. Components of these pairs. Submissions of different components can't affect
+   each other; those of one are gone through in order, as a stream of sorted
+   rows. What is kept meanwhile is what the batch has changed, not its rows.
+4. The leads that were changed or created are written anew; all others stay.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import NamedTuple
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,12 +29,9 @@ from ..functions import normalize as N
 from ..schemas import SUBMISSION
 from ..storage import written
 from .attribution import source
-from .blocking import probe_pairs
+from .blocking import PHONE_KEYS, match_keys, probe_pairs
 from .components import components
-from .scoring import THRESHOLD, WEIGHTS, scored
-
-#: What a filled-in phone number and a hint can add to a score.
-REACH = WEIGHTS["phone"] + WEIGHTS["notes_hint"] + 1e-9
+from .scoring import SCORES, THRESHOLD, WEIGHTS, feature_struct, most, phone_score, scored
 
 #: Positions in a block when new ids are dealt in order.
 _BLOCK = 100_000
@@ -37,6 +41,11 @@ class Ingested(NamedTuple):
     details: DataFrame
     leads: DataFrame
     log: DataFrame
+    changed: DataFrame
+
+
+#: What a pair without a common domain or number can reach at most.
+_WITHOUT_CONTACT = WEIGHTS["name"] + WEIGHTS["company"] + WEIGHTS["notes_hint"] + 1e-9
 
 
 def transient(subs: DataFrame) -> DataFrame:
@@ -57,7 +66,8 @@ def transient(subs: DataFrame) -> DataFrame:
 
 def best_matches(probes: DataFrame, leads: DataFrame, threshold: float = THRESHOLD, order: str = "id") -> DataFrame:
     """probe, lead_id, confidence of the best lead for each probe that has one; the least ``order`` among equals."""
-    pairs = probe_pairs(probes, leads).select(F.col("probe").alias("lead_id_1"), F.col("id").alias("lead_id_2"))
+    by = match_keys if threshold > _WITHOUT_CONTACT else None
+    pairs = probe_pairs(probes, leads, by).select(F.col("probe").alias("lead_id_1"), F.col("id").alias("lead_id_2"))
     found = scored(pairs, probes, leads, at_least=threshold)
     rank = F.struct(F.col("confidence"), -F.col("rank"))
     places = leads.select(F.col("id").alias("lead_id_2"), F.col(order).alias("rank"))
@@ -69,35 +79,137 @@ def _form(text: Column) -> Column:
     return F.concat(F.lit("[Form: "), F.coalesce("form_name", F.lit("None")), F.lit("] "), text)
 
 
-def _groups(probes: DataFrame, leads: DataFrame, threshold: float) -> DataFrame:
-    """pos, component of every submission; those that no other can affect are alone."""
-    me = lambda c: F.concat(F.lit("s:"), F.col(c).cast("string"))
-    tail = F.right("phone_normalized", F.lit(10)).alias("tail")
-    twice = probes.select(tail).groupBy("tail").agg(F.count("*").alias("n")).filter("n > 1 AND tail IS NOT NULL").select("tail")
-    twice = written(probes.select(F.col("id").alias("t_id"), tail).join(twice, "tail").select("t_id"))
-
-    def near(other: DataFrame, later: str, target: str, flipped: bool) -> DataFrame:
-        """Pairs of a submission and a lead (or an earlier submission, whose lead is created) that may come to match."""
-        pairs = probe_pairs(probes, other)
-        first, second = ("id", "probe") if flipped else ("probe", "id")
-        pairs = pairs.select(F.col(first).alias("lead_id_1"), F.col(second).alias("lead_id_2"))
-        if flipped:
-            pairs = pairs.filter("lead_id_1 < lead_id_2")
-        out = scored(pairs, probes, other, at_least=threshold - REACH) if not flipped else scored(pairs, other, probes, at_least=threshold - REACH)
-        out = out.join(twice, F.col(later) == F.col("t_id"), "left")
-        empty = F.col("b" if target == "lead_id_2" else "a")["phone"] == ""
-        gain = F.when(empty & F.col("t_id").isNotNull(), WEIGHTS["phone"]).otherwise(0.0) + F.when(F.col("notes_hint") == 0, WEIGHTS["notes_hint"]).otherwise(0.0)
-        return out.filter(F.col("confidence") + gain >= threshold - 1e-9).select("lead_id_1", "lead_id_2")
-
-    by_lead = near(leads, "lead_id_1", "lead_id_2", False).select(me("lead_id_1").alias("a"), F.concat(F.lit("l:"), F.col("lead_id_2").cast("string")).alias("b"))
-    by_sub = near(probes, "lead_id_2", "lead_id_1", True).select(me("lead_id_1").alias("a"), me("lead_id_2").alias("b"))
-    found = components(by_lead.unionByName(by_sub), "a", "b").withColumnRenamed("id", "node")
-    out = probes.select(F.col("id").alias("pos"), me("id").alias("me")).join(found, F.col("me") == F.col("node"), "left")
-    return out.select("pos", F.coalesce("component", "me").alias("component"))
+def _prepared(valid: DataFrame) -> DataFrame:
+    """id (pos), f, keys and what a submission can change: once for each."""
+    form = _form(F.col("message"))
+    flags = valid.select(
+        F.col("pos").alias("p"),
+        (F.coalesce("phone", F.lit("")) != "").alias("gives_phone"),
+        ((F.coalesce("message", F.lit("")) != "") & _hint(form)).alias("hint_new"),
+        ((N.strip(F.coalesce("message", F.lit(""))) != "") & _hint(form)).alias("hint_add"),
+    )
+    rows = transient(valid)
+    return rows.withColumn("f", feature_struct()).join(flags, F.col("id") == F.col("p")).drop("p")
+
+
+def _candidates(pairs: DataFrame, probes: DataFrame, targets: DataFrame, threshold: float) -> DataFrame:
+    """``pairs`` (pos, target, plain) that may come to reach the threshold, with the scores that stay and what the others depend on."""
+    x = probes.select(F.col("id").alias("pos"), F.col("f").alias("a"), "again")
+    out = pairs.join(x, "pos").join(targets.select("target", "rank", F.col("f").alias("b"), "fillable"), "target")
+    a, b = F.col("a"), F.col("b")
+    phone = F.when(F.col("fillable") & (a["phone"] != "") & F.col("again"), 1.0).otherwise(phone_score(a, b))
+    out = out.withColumn("phone", phone).filter(most(a, b, F.col("phone"), F.lit(1.0)) >= threshold - 1e-9)
+    out = out.withColumns({k: SCORES[k](a, b) for k in ("email", "name", "company")})
+    total = F.col("email") * WEIGHTS["email"] + F.col("phone") * WEIGHTS["phone"] + F.col("name") * WEIGHTS["name"] + F.col("company") * WEIGHTS["company"] + WEIGHTS["notes_hint"]
+    return out.filter(total >= threshold - 1e-9).select(
+        "pos", "target", "rank", "plain", "fillable", "email", "name", "company", b["phone"].alias("number"), (a["hint"] | b["hint"]).alias("hint")
+    )
+
+
+def _actions(valid: DataFrame, leads: DataFrame, top: int, threshold: float) -> DataFrame:
+    """pos, target, confidence of the submissions that meet a lead (of the batch: -pos - 1); all others create one."""
+    if threshold <= _WITHOUT_CONTACT:
+        raise ValueError("names and companies alone must not make a match")
+    probes = _prepared(valid)
+    tail = F.right(F.col("f.phone"), F.lit(10))
+    tails = probes.filter(F.col("f.phone") != "").groupBy(tail.alias("tail")).agg((F.count("*") > 1).alias("again")).filter("again")
+    probes = written(probes.withColumn("tail", tail).join(tails, "tail", "left").withColumn("again", F.coalesce("again", F.lit(False))))
+    own = probes.select(
+        (-F.col("id") - 1).alias("target"), (F.lit(top) + 1 + F.col("id")).alias("rank"), F.col("f").withField("hint", F.col("hint_new")).alias("f"), (~F.col("gives_phone")).alias("fillable")
+    )
+    empty = F.coalesce("phone_number", F.lit("")) == ""
+    targets = leads.select(F.col("id").alias("target"), F.col("id").alias("rank"), feature_struct().alias("f"), empty.alias("fillable")).unionByName(own)
+
+    mine = written(match_keys(probes))
+    theirs = match_keys(leads).unionByName(mine.withColumn("id", -F.col("id") - 1)).withColumnRenamed("id", "target")
+    before = (F.col("target") >= 0) | (-F.col("target") - 1 < F.col("pos"))
+    pairs = mine.withColumnRenamed("id", "pos").join(theirs, ["key_type", "key"]).filter(before)
+    pairs = pairs.groupBy("pos", "target").agg(F.max(~F.col("key_type").isin(*PHONE_KEYS)).alias("plain"))
+    direct = written(_candidates(pairs, probes, targets, threshold))
+    # a number that a lead may get from one submission leads others to it
+    numbers = probes.filter("again").select(F.col("id").alias("pos"), "tail")
+    given = direct.filter("fillable").join(numbers, "pos").groupBy("tail", "target").agg(F.min("pos").alias("first"))
+    moved = given.join(numbers, "tail").filter((F.col("pos") > F.col("first")) & before).select("pos", "target", F.lit(False).alias("plain")).distinct()
+    moved = moved.join(direct.select("pos", "target"), ["pos", "target"], "left_anti")
+    found = written(direct.unionByName(_candidates(moved, probes, targets, threshold)))
+
+    part = written(components(found.select((-F.col("pos") - 1).alias("me"), "target"), "me", "target"))
+    me = probes.select(F.col("id").alias("pos"), F.col("f.phone").alias("own_number"), "gives_phone", "hint_add")
+    me = me.join(part, -F.col("pos") - 1 == F.col("id")).drop("id")
+    rows = me.join(found, "pos", "left").select("component", "pos", *_ROW)
+    rows = rows.repartition("component").sortWithinPartitions("component", "pos", "rank")
+    return rows.mapInArrow(_in_order(threshold), "pos bigint, target bigint, confidence double")
+
+
+_ROW = ("own_number", "gives_phone", "hint_add", "target", "rank", "plain", "fillable", "email", "name", "company", "number", "hint")
+
+
+def _numbers_score(x: str, y: str) -> float:
+    if not x or not y:
+        return 0.0
+    return 1.0 if x == y else 0.8 if len(x) >= 10 and len(y) >= 10 and x[-10:] == y[-10:] else 0.0
+
+
+def _in_order(threshold: float):
+    """Goes through sorted rows, one for each candidate of a submission; keeps what the component's submissions have changed so far."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weight = tuple(WEIGHTS[k] for k in ("email", "phone", "name", "company", "notes_hint"))
+        component = pos = None
+        made: set[int] = set()
+        filled: dict[int, str] = {}
+        hinted: set[int] = set()
+        best = me = None
+        out: list[tuple[int, int, float]] = []
+
+        def done():
+            if best is None:
+                made.add(-pos - 1)
+                return
+            confidence, _, target, fillable = best
+            number, gives_phone, hint_add = me
+            if gives_phone and fillable and target not in filled:
+                filled[target] = number
+            if hint_add:
+                hinted.add(target)
+            out.append((pos, target, confidence))
+
+        def flush() -> pa.RecordBatch:
+            kinds = (pa.int64(), pa.int64(), pa.float64())
+            batch = pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], kind) for k, kind in enumerate(kinds)], names=["pos", "target", "confidence"])
+            out.clear()
+            return batch
+
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("component", "pos", *_ROW)]
+            for c, p, number, gives_phone, hint_add, target, rank, plain, fillable, email, name, company, their_number, hint in zip(*columns):
+                if p != pos or c != component:
+                    if pos is not None:
+                        done()
+                    if c != component:
+                        component = c
+                        made.clear(), filled.clear(), hinted.clear()
+                    pos, best, me = p, None, (number, gives_phone, hint_add)
+                if target is None or target < 0 and target not in made:
+                    continue
+                phone = _numbers_score(number, filled.get(target, their_number))
+                if not plain and not phone:
+                    continue
+                hints = 1.0 if hint or target in hinted else 0.0
+                confidence = email * weight[0] + phone * weight[1] + name * weight[2] + company * weight[3] + hints * weight[4]
+                if confidence >= threshold and (best is None or confidence > best[0] or confidence == best[0] and rank < best[1]):
+                    best = confidence, rank, target, fillable
+            if len(out) >= 10_000:
+                yield flush()
+        if pos is not None:
+            done()
+        yield flush()
+
+    return run
 
 
 def ingest(subs: DataFrame, leads: DataFrame, now: Column, threshold: float = THRESHOLD) -> Ingested:
-    """``details`` (pos, email, action, lead_id, match_confidence), the leads after, and the form log.
+    """``details`` (pos, email, action, lead_id, match_confidence), the leads after, the form log, and the leads that changed or are new.
 
     ``subs``: pos and the columns of a submission. ``now``: creation time of
     leads whose submission has none. Ids of new leads follow the greatest id,
@@ -105,39 +217,35 @@ def ingest(subs: DataFrame, leads: DataFrame, now: Column, threshold: float = TH
     """
     subs = written(subs.withColumn("clean_email", N.email(F.col("email"))))
     valid = subs.filter(F.col("clean_email").isNotNull())
-    probes = written(transient(valid))
-    pending = written(_groups(probes, leads, threshold))
-    # ids of the batch are negative while it runs; equal scores go to older leads, then in the order of pos
-    population = written(leads.withColumn("__rank", F.col("id")))
     top = leads.agg(F.max("id")).first()[0] or 0
-    details = None
-    earlier = Window.partitionBy("component").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    while not pending.isEmpty():
-        match = best_matches(probes.join(pending, F.col("id") == F.col("pos"), "left_semi"), population, threshold, "__rank").withColumnRenamed("probe", "m_pos")
-        state = population.select(F.col("id").alias("s_id"), (F.coalesce("phone_number", F.lit("")) == "").alias("no_phone"), _hints("notes").alias("hinted"))
-        step = valid.join(pending, "pos").join(match, F.col("pos") == F.col("m_pos"), "left").join(state, F.col("lead_id") == F.col("s_id"), "left")
-        changes = F.col("lead_id").isNull() | (F.col("no_phone") & (F.coalesce("phone", F.lit("")) != "")) | (~F.col("hinted") & _hints("message"))
-        step = written(step.withColumn("final", F.coalesce(F.sum(changes.cast("int")).over(earlier), F.lit(0)) == 0).drop("m_pos", "s_id", "no_phone", "hinted"))
-        pending = step.filter("NOT final").select("pos", "component")
-        step = step.filter("final")
-        done = step.select(
-            "pos", F.col("clean_email").alias("email"), F.when(F.col("lead_id").isNull(), "created").otherwise("updated").alias("action"),
-            F.coalesce("lead_id", -F.col("pos") - 1).alias("lead_id"), F.round("confidence", 4).alias("match_confidence"),
-        )
-        details = done if details is None else details.unionByName(done)
-        population = written(_enriched(population, step.filter(F.col("lead_id").isNotNull())).unionByName(_created(step.filter(F.col("lead_id").isNull()), population, now, top)))
+    acts = written(_actions(valid, leads, top, threshold)).withColumnRenamed("pos", "a_pos")
+    step = written(valid.join(acts, F.col("pos") == F.col("a_pos"), "left").drop("a_pos").withColumnRenamed("target", "lead_id"))
+    # ids of the batch are negative until they are dealt
+    details = step.select(
+        "pos", F.col("clean_email").alias("email"), F.when(F.col("lead_id").isNull(), "created").otherwise("updated").alias("action"),
+        F.coalesce("lead_id", -F.col("pos") - 1).alias("lead_id"), F.round("confidence", 4).alias("match_confidence"),
+    )
     skipped = subs.filter(F.col("clean_email").isNull()).select(
         "pos", "email", F.lit("skipped").alias("action"), F.lit(None).cast("long").alias("lead_id"), F.lit(None).cast("double").alias("match_confidence")
     )
-    details = skipped if details is None else details.unionByName(skipped)
+    details = details.unionByName(skipped)
     ids = written(_dealt(details.filter("action = 'created'").select(F.col("lead_id").alias("temporary"), "pos"), top))
     real = lambda df, c: df.join(ids, F.col(c) == F.col("temporary"), "left").withColumn(c, F.coalesce("final", c)).drop("temporary", "final")
     details = real(details, "lead_id").select("pos", "email", "action", "lead_id", "match_confidence")
-    after = real(population.drop("__rank"), "id").select(*leads.columns)
+    touched = step.filter("lead_id >= 0").select(F.col("lead_id").alias("t_id")).distinct()
+    old = leads.join(touched, F.col("id") == F.col("t_id"), "left_semi")
+    new = _created(step.filter(F.col("lead_id").isNull()), leads, now)
+    changed = written(real(_enriched(old.unionByName(new), step.filter(F.col("lead_id").isNotNull())), "id").select(*leads.columns))
+    after = leads.join(touched, F.col("id") == F.col("t_id"), "left_anti").unionByName(changed)
     log = subs.join(details.filter("action <> 'skipped'").select("pos", "lead_id"), "pos").select(
         "form_id", "form_name", "page_url", N.date(F.col("submitted_at")).alias("submitted_at"), F.to_json(F.struct(*SUBMISSION.names), {"ignoreNullFields": "false"}).alias("raw_payload"), "lead_id"
     )
-    return Ingested(details, after, log)
+    return Ingested(details, after, log, changed)
+
+
+def totals(details: DataFrame) -> DataFrame:
+    """created, updated and potential_duplicates (none are told here) of a batch, one row."""
+    return details.agg(F.count_if(F.col("action") == "created").alias("created"), F.count_if(F.col("action") == "updated").alias("updated"), F.lit(0).cast("long").alias("potential_duplicates"))
 
 
 def _dealt(created: DataFrame, top: int) -> DataFrame:
@@ -150,7 +258,7 @@ def _dealt(created: DataFrame, top: int) -> DataFrame:
     return blocks.withColumn("place", place).join(starts, "block").select("temporary", (F.lit(top) + F.col("start") + F.col("place")).cast("long").alias("final"))
 
 
-def _hints(notes: str) -> Column:
+def _hint(notes: Column) -> Column:
     return F.coalesce(F.lower(notes).contains("possible duplicate"), F.lit(False))
 
 
@@ -160,7 +268,7 @@ def _enriched(population: DataFrame, step: DataFrame) -> DataFrame:
     s = step.withColumn("__s", F.when(given("message"), source(F.col("message"))))
     note = F.when(N.strip(F.coalesce("message", F.lit(""))) != "", F.concat(F.lit("\n---\n"), F.regexp_replace(_form(F.col("message")), r"(?U)\s+$", "")))
     known = F.when(F.col("__s.channel") != "Other", F.col("__s"))
-    each = F.struct("pos", note.alias("note"), F.when(given("phone"), F.col("phone")).alias("phone"), F.when(given("country"), F.col("country")).alias("country"), known.alias("source"))
+    each = F.struct("pos", note.alias("note"), F.when(given("phone"), F.col("phone")).alias("phone"), F.nullif(N.country(F.col("country")), F.lit("")).alias("country"), known.alias("source"))
     s = s.groupBy(F.col("lead_id").alias("__id")).agg(F.array_sort(F.collect_list(each)).alias("__each"))
     all_of = lambda c: F.filter(F.transform("__each", lambda x: x[c]), lambda v: v.isNotNull())
     out = population.join(s, F.col("id") == F.col("__id"), "left")
@@ -174,14 +282,14 @@ def _enriched(population: DataFrame, step: DataFrame) -> DataFrame:
         "notes": F.when(F.col("__note") != "", N.strip(F.concat(F.coalesce("notes", F.lit("")), F.col("__note")))).otherwise(F.col("notes")),
         "phone_normalized": F.when(fill_phone, N.phone(F.col("__phone"))).otherwise(F.col("phone_normalized")),
         "phone_number": F.when(fill_phone, F.col("__phone")).otherwise(F.col("phone_number")),
-        "country": F.when(F.col("__country").isNotNull() & empty("country"), N.country(F.col("__country"))).otherwise(F.col("country")),
+        "country": F.when(F.col("__country").isNotNull() & empty("country"), F.col("__country")).otherwise(F.col("country")),
         "ai_source_channel": F.coalesce("__source.channel", "ai_source_channel"),
         "ai_source_detail": F.when(F.col("__source").isNotNull(), F.col("__source.detail")).otherwise(F.col("ai_source_detail")),
     }
     return out.withColumns(new).select(*population.columns)
 
 
-def _created(step: DataFrame, population: DataFrame, now: Column, top: int) -> DataFrame:
+def _created(step: DataFrame, population: DataFrame, now: Column) -> DataFrame:
     t = transient(step).select(F.col("id").alias("t_pos"), "first_name", "last_name", "full_name", "company_name", F.col("email").alias("t_email"), "phone_normalized")
     rows = step.join(t, F.col("pos") == F.col("t_pos"))
     found = source(F.col("message"))
@@ -204,7 +312,6 @@ def _created(step: DataFrame, population: DataFrame, now: Column, top: int) -> D
         "original_create_date": F.when(F.coalesce("submitted_at", F.lit("")) != "", N.date(F.col("submitted_at"))).otherwise(now),
         "created_at": now,
         "updated_at": now,
-        "__rank": F.lit(top) + 1 + F.col("pos"),
     }
     kinds = {f.name: f.dataType for f in population.schema}
     return rows.select(*[values.get(c, F.lit(None)).cast(kinds[c]).alias(c) for c in population.columns])

@@ -17,8 +17,8 @@ THRESHOLD = 0.6
 FEATURES = ("email", "phone", "name", "first", "last", "company", "hint", "raw_email", "raw_name", "raw_company")
 
 
-def features(leads: DataFrame) -> DataFrame:
-    """id and ``f``: what scoring reads of a lead, prepared once per lead instead of once per pair."""
+def feature_struct() -> Column:
+    """What scoring reads of a lead, as one struct of the columns of a table of leads."""
     low = lambda c: F.lower(strip(F.coalesce(F.col(c), F.lit(""))))
     values = {
         "email": low("email"),
@@ -32,7 +32,12 @@ def features(leads: DataFrame) -> DataFrame:
         "raw_name": F.col("full_name"),
         "raw_company": F.col("company_name"),
     }
-    return leads.select("id", F.struct(*[v.alias(k) for k, v in values.items()]).alias("f"))
+    return F.struct(*[v.alias(k) for k, v in values.items()])
+
+
+def features(leads: DataFrame) -> DataFrame:
+    """id and ``f``: what scoring reads, prepared once per lead instead of once per pair."""
+    return leads.select("id", feature_struct().alias("f"))
 
 
 def _local(email: Column) -> Column:
@@ -83,6 +88,12 @@ def hint_score(a: Column, b: Column) -> Column:
 SCORES = {"email": email_score, "phone": phone_score, "name": name_score, "company": company_score, "notes_hint": hint_score}
 
 
+def most(a: Column, b: Column, phone: Column, hint: Column) -> Column:
+    """What a pair can reach at most, without a look at any string similarity."""
+    email = F.when((a["email"] == "") | (b["email"] == ""), 0.0).when(a["email"] == b["email"], 1.0).when(_domain(a["email"]) == _domain(b["email"]), 0.7).otherwise(0.0)
+    return email * WEIGHTS["email"] + phone * WEIGHTS["phone"] + WEIGHTS["name"] + WEIGHTS["company"] + hint * WEIGHTS["notes_hint"]
+
+
 def scored(pairs: DataFrame, left: DataFrame, right: DataFrame, left_id: str = "lead_id_1", right_id: str = "lead_id_2", at_least: float | None = THRESHOLD) -> DataFrame:
     """``pairs`` with one column for each signal, confidence (not rounded) and both features ``a`` and ``b``.
 
@@ -95,9 +106,7 @@ def scored(pairs: DataFrame, left: DataFrame, right: DataFrame, left_id: str = "
     a, b = F.col("a"), F.col("b")
     out = out.withColumns({"phone": phone_score(a, b), "notes_hint": hint_score(a, b)})
     if at_least is not None:
-        best_email = F.when((a["email"] == "") | (b["email"] == ""), 0.0).when(a["email"] == b["email"], 1.0).when(_domain(a["email"]) == _domain(b["email"]), 0.7).otherwise(0.0)
-        bound = best_email * WEIGHTS["email"] + F.col("phone") * WEIGHTS["phone"] + WEIGHTS["name"] + WEIGHTS["company"] + F.col("notes_hint") * WEIGHTS["notes_hint"]
-        out = out.filter(bound >= at_least - 1e-9)
+        out = out.filter(most(a, b, F.col("phone"), F.col("notes_hint")) >= at_least - 1e-9)
     out = out.withColumns({k: SCORES[k](a, b) for k in ("email", "name", "company")})
     total = None
     for k in SIGNALS:

@@ -1,8 +1,17 @@
+import random
+
 from pyspark.sql import functions as F
 
-from leadloom.operators.ingest import ingest
+from leadloom import queries
+from leadloom.functions import normalize as N
+from leadloom.operators.attribution import source
+from leadloom.operators.blocking import keys
+from leadloom.operators.ingest import ingest, totals, transient
+from leadloom.operators.scoring import features
 from leadloom.schemas import SUBMISSION
 from tests.test_resolve import leads, person
+from tests.test_similarity import brute
+
 
 def now():
     return F.lit("2026-01-01 00:00:00").cast("timestamp")
@@ -39,3 +48,119 @@ def test_create_then_enrich_and_order(spark):
 def test_empty_batch(spark):
     out = ingest(subs(spark, []), leads(spark, [person(7, "Ada", "Berg", "One", "ada@one.com")]), now())
     assert out.details.count() == 0 and out.leads.count() == 1
+
+
+def jaro_winkler(a, b):
+    j = brute(a, b) if a and b else float(a == b)
+    same = next((k for k in range(4, 0, -1) if len(a) >= k and len(b) >= k and a[:k] == b[:k]), 0)
+    return j if j < 0.7 else j + same * 0.1 * (1 - j)
+
+
+def score(x, y):
+    """The five signals of two leads, in plain Python."""
+    at = lambda e, k: (e.split("@") + [""])[k]
+    email = phone = name = company = 0.0
+    if x["email"] and y["email"]:
+        near = at(x["email"], 1) == at(y["email"], 1)
+        email = 1.0 if x["email"] == y["email"] else (0.7 if jaro_winkler(at(x["email"], 0), at(y["email"], 0)) >= 0.8 else 0.3) if near else 0.0
+    if x["phone"] and y["phone"]:
+        phone = 1.0 if x["phone"] == y["phone"] else 0.8 if min(len(x["phone"]), len(y["phone"])) >= 10 and x["phone"][-10:] == y["phone"][-10:] else 0.0
+    if x["name"] and y["name"]:
+        s = 1.0 if x["name"] == y["name"] else jaro_winkler(x["name"], y["name"])
+        like = x["last"] and x["last"] == y["last"] and x["first"] and y["first"] and x["first"][0] == y["first"][0]
+        name = 0.6 if s < 0.85 and like else s
+    if x["company"] and y["company"]:
+        s = 1.0 if x["company"] == y["company"] else jaro_winkler(x["company"], y["company"])
+        a, b = set(x["company"].split(" ")), set(y["company"].split(" "))
+        share = len(a & b) / max(len(a), len(b))
+        company = s if s >= 0.85 else max(share, s) if share >= 0.6 else max(s - 0.3, 0.0)
+    return email * 0.35 + phone * 0.25 + name * 0.2 + company * 0.15 + (x["hint"] or y["hint"]) * 0.05
+
+
+def prepared(df):
+    f = {r.id: r.f.asDict() for r in features(df).collect()}
+    for r in keys(df).collect():
+        if r.key_type not in ("phone_normalized", "phone_suffix_10"):
+            f[r.id].setdefault("keys", set()).add((r.key_type, r.key))
+    return f
+
+
+def phone_keys(d):
+    return {(0, d)} | ({(1, d[-10:])} if len(d) >= 10 else set()) if len(d) >= 7 else set()
+
+
+def one_by_one(spark, batch, base):
+    """The batch in order, each submission against all leads there are by then."""
+    leads_of, subs_of = prepared(base), prepared(transient(batch))
+    for r in base.select("id", "phone_number", "notes", "country", "ai_source_channel").collect():
+        leads_of[r.id] |= r.asDict()
+    extra = batch.select("pos", "message", "phone", "form_name", N.email(F.col("email")).alias("clean"), N.country(F.col("country")).alias("land"), source(F.col("message")).alias("s"))
+    top, out = max(leads_of, default=0), {}
+    for r in extra.orderBy("pos").collect():
+        if not r.clean:
+            out[r.pos] = "skipped", None, None
+            continue
+        me = subs_of[r.pos]
+        mine = me.get("keys", set()) | phone_keys(me["phone"])
+        best = None
+        for i, x in sorted(leads_of.items()):
+            if mine & (x.get("keys", set()) | phone_keys(x["phone"])):
+                s = score(me, x)
+                if s >= 0.6 and (best is None or s > best[0]):
+                    best = s, i
+        note = f"[Form: {r.form_name}] {r.message}"
+        if best is None:
+            top += 1
+            out[r.pos] = "created", top, None
+            leads_of[top] = me | {"phone_number": r.phone, "country": r.land, "notes": note if r.message else None, "ai_source_channel": r.s.channel, "hint": "possible duplicate" in note.lower() if r.message else False}
+            continue
+        x = leads_of[best[1]]
+        out[r.pos] = "updated", best[1], round(best[0], 4)
+        if r.message and r.message.strip():
+            x["notes"] = f"{x['notes'] or ''}\n---\n{note}".strip()
+            x["hint"] = "possible duplicate" in x["notes"].lower()
+        if r.phone and not x["phone_number"]:
+            x["phone_number"], x["phone"] = r.phone, me["phone"]
+        if r.land and not x["country"]:
+            x["country"] = r.land
+        if r.message and r.s.channel != "Other":
+            x["ai_source_channel"] = r.s.channel
+    return out, {i: tuple(x[c] for c in ("phone_number", "notes", "country", "ai_source_channel")) for i, x in leads_of.items()}
+
+
+def same(spark, batch, base):
+    out = ingest(batch, base, now())
+    acts, after = one_by_one(spark, batch, base)
+    assert {r.pos: (r.action, r.lead_id, r.match_confidence) for r in out.details.collect()} == acts
+    assert {r.id: (r.phone_number, r.notes, r.country, r.ai_source_channel) for r in out.leads.collect()} == after
+    changed = {i for a, i, _ in acts.values() if a != "skipped"}
+    assert {r.id for r in out.changed.collect()} == changed
+    assert totals(out.details).first()[:2] == (sum(a == "created" for a, *_ in acts.values()), sum(a == "updated" for a, *_ in acts.values()))
+    return acts
+
+
+def test_query_against_one_by_one(spark, sf):
+    acts = same(spark, queries.fixture.submissions(spark, sf), queries.fixture.attributed(spark, sf))
+    assert len(acts) > 150 and {a for a, *_ in acts.values()} >= {"created", "updated"}
+
+
+def test_hostile_batch_against_one_by_one(spark):
+    rng = random.Random(5)
+    pick = lambda *x: rng.choice(x)
+    base = [
+        person(k, pick("Ada", "Adah", "Bo", None), pick("Berg", "Bergh", "Lee"), pick("One", "One Ltd", "Two", ""), f"{pick('ada', 'adah', 'bo')}{pick('', '1')}@{pick('one', 'two')}.com", pick(None, "", "+1 555 123 4567", "5551234567"))
+        for k in range(1, 25)
+    ]
+    rows = [
+        {
+            "email": pick(" ", f"{pick('ada', 'adah', 'bo', 'cy')}{pick('', '1', '2')}@{pick('one', 'two', 'six')}.com"),
+            "name": pick("Ada Berg", "Adah Bergh", "Bo Lee", "Cy Dow"),
+            "company": pick("One", "Two", "Six GmbH", None),
+            "phone": pick(None, "", " ", "1", "+1 555 123 4567", "555 123 4567", "555 765 4321", "15557654321"),
+            "message": pick(None, "", "  ", "hi ", "Possible duplicate!", "Referred by Maria Santos"),
+            "form_name": pick(None, "demo", "possible duplicate"),
+            "country": pick(None, " ", "italy", "uk"),
+        }
+        for _ in range(150)
+    ]
+    same(spark, subs(spark, rows), leads(spark, base))
