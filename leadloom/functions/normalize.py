@@ -15,6 +15,8 @@ COMPANY_WORDS = (
     "trading", "freight", "retail", "consulting", "robotics", "analytics", "ventures", "digital", "sons", "bros", "&",
     "and", "the",
 )
+PHONE_EXTENSION = r"\s*(?:ext|x|ext\.)\s*\d+$"
+FENCE_START, FENCE_END = r"^```(?:json)?\s*", r"\s*```$"
 LIFECYCLES = {
     "lead": "Lead", "marketing qualified lead": "Marketing Qualified Lead", "mql": "Marketing Qualified Lead",
     "sales qualified lead": "Sales Qualified Lead", "sql": "Sales Qualified Lead", "opportunity": "Opportunity",
@@ -49,7 +51,7 @@ def status(raw: Column) -> Column:
 
 def phone(raw: Column) -> Column:
     """Digits without a trailing extension; null if fewer than seven."""
-    digits = F.regexp_replace(F.regexp_replace(strip(raw), r"(?iuU)\s*(?:ext\.|ext|x)\s*\d+$", ""), r"(?U)\D", "")
+    digits = F.regexp_replace(F.regexp_replace(strip(raw), "(?iuU)" + PHONE_EXTENSION, ""), r"(?U)\D", "")
     # the same string if it has seven, else null
     return F.nullif(F.regexp_extract(digits, r"(?U)^\d{7,}$", 0), F.lit(""))
 
@@ -137,5 +139,5 @@ def whole_number(raw: Column, kind: str) -> Column:
 
 def fenced_json(raw: Column, schema: str) -> Column:
     """A reply parsed as JSON, without a code fence around it; null if it is none."""
-    bare = F.regexp_replace(F.regexp_replace(strip(raw), r"^```(?:json)?\s*", ""), r"\s*```$", "")
+    bare = F.regexp_replace(F.regexp_replace(strip(raw), FENCE_START, ""), FENCE_END, "")
     return F.from_json(bare, schema)

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from typing import NamedTuple, Protocol
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.normalize import strip
+from .model import Model, sources
 
 
 class Rule(NamedTuple):
@@ -52,12 +53,6 @@ NO_SOURCE = "Could not determine source"
 NO_RULE = "Rule-based extraction did not match"
 
 
-class Annotator(Protocol):
-    """Something that reads notes no rule fits (a model, say). ``annotate`` adds channel and detail, null where unknown."""
-
-    def annotate(self, notes: DataFrame) -> DataFrame: ...
-
-
 def _java(rule: Rule) -> str:
     # Unicode classes and case, only \n ends a line; the dot matches all in the patterns that mind case
     return ("(?iuUd)" if rule.any_case else "(?sUd)") + rule.pattern
@@ -99,6 +94,19 @@ def source(notes: Column) -> Column:
     return F.when(F.coalesce(notes, F.lit("")) == "", _other(NO_NOTES)).otherwise(F.coalesce(by_rules(notes), _other(NO_SOURCE)))
 
 
+def extracted(rows: DataFrame, model: Model | None = None, notes: str = "notes") -> DataFrame:
+    """``rows`` with channel and detail: by rules, else by ``model``, which is asked once for each text that no rule fits, else Other."""
+    out = rows.withColumn("__rule", by_rules(F.col(notes)))
+    blank = F.coalesce(F.col(notes), F.lit("")) == ""
+    told = F.lit(None).cast("struct<channel:string,detail:string>")
+    if model is not None:
+        left = sources(model, out.filter(~blank & F.col("__rule").isNull()).select(F.col(notes).alias("notes")))
+        out = out.join(left.select(F.col("notes").alias("__n"), F.struct("channel", "detail").alias("__told")), F.col("__rule").isNull() & (F.col(notes) == F.col("__n")), "left").drop("__n")
+        told = F.col("__told")
+    out = out.withColumn("__s", F.when(blank, _other(NO_NOTES)).otherwise(F.coalesce("__rule", told, _other(NO_SOURCE))))
+    return out.withColumns({"channel": F.col("__s.channel"), "detail": F.col("__s.detail")}).drop("__rule", "__told", "__s")
+
+
 def attribute_missing(leads: DataFrame) -> DataFrame:
     """``leads`` with channel and detail filled by rules where the channel is null."""
     blank = F.coalesce("notes", F.lit("")) == ""
@@ -111,6 +119,24 @@ def attribute_missing(leads: DataFrame) -> DataFrame:
     return out.drop("__s")
 
 
+def extraction_outcomes(leads: DataFrame, requests: DataFrame, model: Model | None = None) -> DataFrame:
+    """outcome of each request (lead_id, notes, save_to_lead) with channel, detail and saved.
+
+    ok; not_found (a lead that is asked for and isn't there); no_notes (neither
+    the request nor its lead has any). ``saved`` says whether ``save_source``
+    has to write it, which a dry run has not.
+    """
+    known = leads.select(F.col("id").alias("__id"), F.col("notes").alias("__notes"))
+    r = requests.join(known, F.col("lead_id") == F.col("__id"), "left")
+    r = r.withColumn("__text", F.coalesce(F.nullif("notes", F.lit("")), "__notes"))
+    missing = F.col("lead_id").isNotNull() & F.col("__id").isNull()
+    outcome = F.when(missing, "not_found").when(F.coalesce(strip(F.col("__text")), F.lit("")) == "", "no_notes").otherwise("ok")
+    r = extracted(r.withColumn("outcome", outcome), model, "__text")
+    fine = F.col("outcome") == "ok"
+    saved = fine & F.col("lead_id").isNotNull() & F.coalesce("save_to_lead", F.lit(False))
+    return r.select(*requests.columns, "outcome", F.when(fine, F.col("channel")).alias("channel"), F.when(fine, F.col("detail")).alias("detail"), saved.alias("saved"))
+
+
 def save_source(leads: DataFrame, requests: DataFrame) -> DataFrame:
     """``leads`` with the source of requested ones: explicit notes go before stored ones; blank ones are left as they are.
 

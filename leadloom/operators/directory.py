@@ -107,6 +107,23 @@ def patched(leads: DataFrame, patches: DataFrame) -> DataFrame:
     return out.withColumns(new).select(*leads.columns)
 
 
+def patch_outcomes(leads: DataFrame, patches: DataFrame) -> DataFrame:
+    """id, outcome of each patch: updated, empty (no updatable column has a value) or not_found; an empty one is told first."""
+    names = [c for c in LEAD_UPDATABLE if c in patches.columns]
+    given = F.coalesce(*[F.col(c).cast("string") for c in names]) if names else F.lit(None)
+    known = leads.select(F.col("id").alias("__id"))
+    out = patches.join(known, F.col("id") == F.col("__id"), "left")
+    return out.select("id", F.when(given.isNull(), "empty").when(F.col("__id").isNull(), "not_found").otherwise("updated").alias("outcome"))
+
+
+def review_outcomes(candidates: DataFrame, reviews: DataFrame) -> DataFrame:
+    """lead_id_1, lead_id_2, outcome of each review: updated, bad_status or not_found; a bad status is told first."""
+    known = candidates.select(F.col("lead_id_1").alias("__1"), F.col("lead_id_2").alias("__2"))
+    out = reviews.join(known, (F.col("lead_id_1") == F.col("__1")) & (F.col("lead_id_2") == F.col("__2")), "left")
+    bad = ~F.coalesce(F.col("status").isin(*REVIEWS), F.lit(False))
+    return out.select("lead_id_1", "lead_id_2", F.when(bad, "bad_status").when(F.col("__1").isNull(), "not_found").otherwise("updated").alias("outcome"))
+
+
 def reviewed(candidates: DataFrame, reviews: DataFrame) -> DataFrame:
     """``candidates`` with the status of ``reviews`` (lead_id_1, lead_id_2, status); unknown statuses change nothing."""
     r = reviews.filter(F.col("status").isin(*REVIEWS)).select(F.col("lead_id_1").alias("r1"), F.col("lead_id_2").alias("r2"), F.col("status").alias("r_status"))

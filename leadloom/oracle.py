@@ -6,7 +6,7 @@ from .functions.normalize import COMPANY_WORDS, COUNTRIES, LIFECYCLES, STATUS_AL
 from .operators.attribution import LANDING_PAGE, NO_NOTES, NO_RULE, NO_SOURCE, RULES
 from .operators.dashboard import AXES
 from .queries import AS_OF_ORDERS, LEADS, SHORT
-from .schemas import EXPORT_COLUMNS, SIGNALS, STATUSES
+from .schemas import EXPORT_COLUMNS, LEAD_RESPONSE, SIGNALS, STATUSES
 from .sources.fixture import CRM_SQL, SUBS_SQL
 
 
@@ -226,6 +226,12 @@ probes AS (
 )"""
 
 
+#: The best five from 0.8 on get a remark.
+_REMARKED = """SELECT lead_id_1, lead_id_2, explanation || CASE WHEN r <= 5 THEN ' | LLM: {}' ELSE '' END AS explanation
+FROM (SELECT *, CASE WHEN confidence >= 0.8 THEN row_number() OVER (ORDER BY confidence DESC, lead_id_1, lead_id_2) ELSE 6 END AS r FROM found)
+JOIN leads x ON x.id = lead_id_1 JOIN leads y ON y.id = lead_id_2"""
+
+
 def _with(ctes: str, tail: str) -> str:
     return f"WITH RECURSIVE {ctes}\n{tail}"
 
@@ -238,6 +244,9 @@ def oracle_sql() -> dict[str, str]:
     times = ("original_create_date", "original_modified_date")
     cols = lambda names: ", ".join(f"{stamp_text(c)} AS {c}" if c in times else c for c in names)
     short = ", ".join(SHORT)
+    made = "strftime(make_timestamp(created_s * 1000000), '%Y-%m-%d %H:%M:%S')"
+    own = {"dedup_group_id": "CAST(NULL AS VARCHAR) AS dedup_group_id", "created_at": f"{made} AS created_at", "updated_at": f"{made} AS updated_at"}
+    response = ", ".join(own.get(c) or cols([c]) for c in LEAD_RESPONSE)
     blank_to_null = lambda axis: f"SELECT {axis} AS value, count(*) AS n FROM attributed WHERE {axis} <> '' GROUP BY 1"
     search = " OR ".join(f"{c} ILIKE '%müller%'" for c in ("full_name", "first_name", "last_name", "company_name", "email"))
     comp1 = " OR ".join(f"{c} ILIKE '%comp1%'" for c in ("full_name", "first_name", "last_name", "company_name", "email"))
@@ -259,7 +268,13 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY lead_id_1 ORDER BY confiden
         "norm_owner": _norm("contact_owner", null_if_blank("contact_owner")),
         "lead_list_page": _with(_LEADS, f"SELECT {short}, lead_score FROM leads ORDER BY lead_score DESC NULLS FIRST, id LIMIT 25 OFFSET 25"),
         "lead_search_q": _with(_LEADS, f"SELECT {short} FROM leads WHERE {search}"),
-        "lead_filter_owner_country": _with(_LEADS, f"SELECT {short} FROM leads WHERE lead_status = 'closed_won' AND contact_owner ILIKE '%ada%' AND country ILIKE '%an_%'"),
+        "lead_filter_status": _with(_LEADS, f"SELECT {short} FROM leads WHERE lead_status = 'closed_won'"),
+        "lead_filter_owner": _with(_LEADS, f"SELECT {short} FROM leads WHERE contact_owner ILIKE '%ben o%'"),
+        "lead_filter_country": _with(_LEADS, f"SELECT {short} FROM leads WHERE country ILIKE '%u_a%'"),
+        "lead_filter_all": _with(_LEADS, f"SELECT {short} FROM leads WHERE lead_status = 'new' AND contact_owner ILIKE '%a%' AND country ILIKE '%a%' AND ({search.replace('müller', 'comp')})"),
+        "lead_responses": _with(_ATTRIBUTED, f"SELECT {response} FROM attributed"),
+        "import_counts": _with(CRM_SQL, f"SELECT count(*) FILTER (WHERE {strip('email')} <> '') AS accepted, count(*) FILTER (WHERE coalesce({strip('email')}, '') = '') AS dropped FROM crm"),
+        "import_rejected": _with(CRM_SQL, f"SELECT id, 'no email' AS reason FROM crm WHERE coalesce({strip('email')}, '') = ''"),
         "lead_totals": _with(_LEADS, f"SELECT count(*) AS total, CAST(ceil(count(*) / 25) AS BIGINT) AS total_pages FROM leads WHERE {comp1}"),
         "lead_by_id": _with(_LEADS, f"SELECT {short} FROM leads WHERE id = 17"),
         "lead_by_email": _with(_LEADS, f"SELECT {short} FROM leads WHERE email = 'anna.alvarez0@comp0.example' ORDER BY id LIMIT 1"),
@@ -269,6 +284,18 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY lead_id_1 ORDER BY confiden
         "export_rows": _with(_ATTRIBUTED, f"SELECT {cols(EXPORT_COLUMNS)} FROM attributed ORDER BY created_s DESC, id LIMIT 10000"),
         "dashboard_totals": _with(_LEADS, f"SELECT count(*) AS total, count(*) FILTER (WHERE original_create_date >= TIMESTAMP '{AS_OF_ORDERS}' - INTERVAL 30 DAY) AS recent FROM leads"),
         "dashboard_all": _with(_ATTRIBUTED, " UNION ALL ".join(f"SELECT '{a}' AS axis, {c} AS value, count(*) AS n FROM attributed WHERE {c} <> '' GROUP BY ALL" for a, c in AXES.items())),
+        "dashboard_row": _with(
+            _ATTRIBUTED,
+            f"SELECT count(*) AS total, count(*) FILTER (WHERE original_create_date >= TIMESTAMP '{AS_OF_ORDERS}' - INTERVAL 30 DAY) AS recent, "
+            + ", ".join(f"(SELECT string_agg(v || '=' || n, '|' ORDER BY v) FROM (SELECT {c} AS v, count(*) AS n FROM attributed WHERE {c} <> '' GROUP BY 1)) AS by_{a}" for a, c in AXES.items())
+            + " FROM attributed",
+        ),
+        "source_model": _with(
+            _LEADS,
+            f"SELECT id, CASE WHEN contains(notes, 'nobody could place') THEN 'Event' ELSE {source('notes', 'channel')} END AS channel, "
+            f"CASE WHEN contains(notes, 'nobody could place') THEN 'asked around' WHEN contains(notes, 'older record') THEN '' ELSE {source('notes', 'detail')} END AS detail FROM leads",
+        ),
+        "reply_json": _with(_LEADS, "SELECT id, CASE WHEN id % 4 < 3 THEN 'Event' END AS channel, CASE WHEN id % 4 < 3 THEN id END AS n FROM leads"),
         "source_rules": _with(_LEADS, f"SELECT id, {source('notes', 'channel')} AS channel, {source('notes', 'detail')} AS detail FROM leads"),
         "attribute_missing": _with(_ATTRIBUTED, "SELECT id, ai_source_channel, ai_source_detail FROM attributed"),
         "source_channel_counts": _with(_ATTRIBUTED, f"SELECT ai_source_channel, count(*) AS n, count(*) FILTER (WHERE ai_source_detail NOT IN ({q(NO_NOTES)}, {q(NO_RULE)})) AS n_by_rule FROM attributed GROUP BY 1"),
@@ -284,11 +311,31 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY lead_id_1 ORDER BY confiden
         "candidate_filter": _with(_FOUND, "SELECT lead_id_1, lead_id_2, confidence FROM found WHERE confidence >= 0.8"),
         "candidate_with_leads": _with(_FOUND, "SELECT lead_id_1, lead_id_2, confidence, x.email AS email_1, y.email AS email_2 FROM found LEFT JOIN leads x ON x.id = lead_id_1 LEFT JOIN leads y ON y.id = lead_id_2"),
         "llm_shortlist": _with(_FOUND, "SELECT lead_id_1, lead_id_2, confidence FROM found WHERE confidence >= 0.8 ORDER BY confidence DESC, lead_id_1, lead_id_2 LIMIT 5"),
+        "llm_remarks": _with(_FOUND, _REMARKED.format(" / ".join(["' || x.full_name || '", "' || y.full_name || '"]))),
+        "remark_cache": _with(_FOUND, _REMARKED.format("' || CASE WHEN lead_id_1 % 2 = 0 THEN 'seen before' ELSE x.full_name || ' / ' || y.full_name END || '")),
+        "cluster_leads": _with(
+            _COMPONENTS,
+            "SELECT group_id, (SELECT max(confidence) FROM found JOIN grp k ON k.id = lead_id_1 WHERE k.group_id = grp.group_id) AS confidence, string_agg(email, ',' ORDER BY leads.id) AS emails FROM grp JOIN leads ON leads.id = grp.id GROUP BY group_id",
+        ),
         "dedupe_components": _with(_COMPONENTS, "SELECT id, component FROM comp"),
         "dedupe_clusters": _with(_COMPONENTS, _CLUSTERS),
         "resolve_leads": _with(_COMPONENTS, _CLUSTERS),
         "leads_with_group": _with(_COMPONENTS, "SELECT leads.id, group_id AS dedup_group_id FROM leads LEFT JOIN grp ON grp.id = leads.id"),
         "review_update": _with(_FOUND, "SELECT lead_id_1, lead_id_2, confidence, CASE lead_id_1 % 3 WHEN 0 THEN 'confirmed' WHEN 1 THEN 'rejected' ELSE 'pending' END AS status FROM found"),
+        "review_outcomes": _with(
+            _FOUND,
+            "SELECT lead_id_1, lead_id_2 + off AS lead_id_2, CASE WHEN lead_id_1 % 3 = 1 THEN 'bad_status' WHEN off > 0 THEN 'not_found' ELSE 'updated' END AS outcome FROM found, (VALUES (0), (10000000)) o(off)",
+        ),
+        "patch_outcomes": _with(
+            _LEADS,
+            "SELECT id + off AS id, CASE WHEN (id + off) % 3 > 0 AND (id + off) % 5 > 0 THEN 'empty' WHEN off > 0 THEN 'not_found' ELSE 'updated' END AS outcome FROM leads, (VALUES (0), (10000000)) o(off)",
+        ),
+        "extraction_outcomes": _with(
+            f"""{_LEADS}, asked AS (
+  SELECT id + off AS lead_id, CASE (id + off) % 5 WHEN 0 THEN 'Walked into our office' WHEN 1 THEN ' ' ELSE notes END AS n, off FROM leads, (VALUES (0), (10000000)) o(off)
+), told AS (SELECT *, CASE WHEN off > 0 THEN 'not_found' WHEN coalesce({strip('n')}, '') = '' THEN 'no_notes' ELSE 'ok' END AS outcome FROM asked)""",
+            f"SELECT lead_id, outcome, CASE WHEN outcome = 'ok' THEN {source('n', 'channel')} END AS channel, CASE WHEN outcome = 'ok' THEN {source('n', 'detail')} END AS detail, outcome = 'ok' AND lead_id % 2 = 0 AS saved FROM told",
+        ),
         "patch_leads": _with(
             _LEADS,
             "SELECT id, CASE WHEN id % 6 = 0 THEN 'qualified' ELSE lead_status END AS lead_status, CASE WHEN id % 2 = 0 AND id % 3 <> 0 THEN '+44 20 ' || lpad(CAST(id AS VARCHAR), 8, '0') ELSE phone_number END AS phone_number, "

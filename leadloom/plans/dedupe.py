@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from typing import NamedTuple, Protocol
 
 from pyspark.sql import DataFrame
@@ -12,6 +13,7 @@ from ..operators.components import clustered, with_group
 from ..operators.scoring import THRESHOLD, candidates, scored
 from ..storage import written
 
+_log = logging.getLogger(__name__)
 MODEL_THRESHOLD, MODEL_PAIRS = 0.8, 5
 REMARK = " | LLM: "
 
@@ -43,7 +45,10 @@ def remembered(earlier: DataFrame) -> DataFrame:
 
 
 def remarked(found: DataFrame, leads: DataFrame, verifier: Verifier | None, earlier: DataFrame | None = None) -> DataFrame:
-    """``found`` with remarks of ``verifier`` added to the explanations of the shortlist; known remarks are used again."""
+    """``found`` with remarks of ``verifier`` added to the explanations of the shortlist.
+
+    Known remarks are used again without a question; a verifier that fails adds none.
+    """
     if verifier is None:
         return found
     asked = shortlist(found).select("lead_id_1", "lead_id_2")
@@ -52,7 +57,12 @@ def remarked(found: DataFrame, leads: DataFrame, verifier: Verifier | None, earl
     lead = F.struct(*leads.columns)
     new = asked.join(known, ["lead_id_1", "lead_id_2"], "left_anti")
     new = new.join(leads.select(lead.alias("lead_1")), F.col("lead_id_1") == F.col("lead_1.id")).join(leads.select(lead.alias("lead_2")), F.col("lead_id_2") == F.col("lead_2.id"))
-    remarks = written(known.unionByName(verifier.remarks(new).select("lead_id_1", "lead_id_2", "remark")).filter("remark <> ''"))
+    known = known.filter("remark <> ''")
+    try:
+        remarks = written(known.unionByName(verifier.remarks(new).select("lead_id_1", "lead_id_2", "remark").filter("remark <> ''")))
+    except Exception as error:
+        _log.warning("the verifier gave no remarks: %s", error)
+        remarks = written(known)
     out = found.join(remarks, ["lead_id_1", "lead_id_2"], "left")
     return out.withColumn("explanation", F.concat("explanation", F.coalesce(F.concat(F.lit(REMARK), "remark"), F.lit("")))).drop("remark")
 

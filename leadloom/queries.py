@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from .functions import normalize as N
 from .functions.similarity import jaro_winkler
-from .operators import attribution, blocking, components, dashboard, directory, ingest, scoring
+from .operators import attribution, blocking, components, dashboard, directory, ingest, model, scoring
 from .plans import dedupe
 from .schemas import SIGNALS
 from .sources import fixture
+from .sources import leads as source_leads
 
 AS_OF = "2026-01-31 00:00:00"
 AS_OF_ORDERS = "1998-08-02 00:00:00"
@@ -65,8 +66,33 @@ def lead_search_q(spark, d):
     return directory.filtered(fixture.leads(spark, d), q="müller").select(*SHORT)
 
 
-def lead_filter_owner_country(spark, d):
-    return directory.filtered(fixture.leads(spark, d), status_is=" Closed Won", owner="ada", country="an_").select(*SHORT)
+def lead_filter_status(spark, d):
+    return directory.filtered(fixture.leads(spark, d), status_is=" Closed Won").select(*SHORT)
+
+
+def lead_filter_owner(spark, d):
+    return directory.filtered(fixture.leads(spark, d), owner="BEN o").select(*SHORT)
+
+
+def lead_filter_country(spark, d):
+    return directory.filtered(fixture.leads(spark, d), country="u_a").select(*SHORT)
+
+
+def lead_filter_all(spark, d):
+    return directory.filtered(fixture.leads(spark, d), status_is="new", owner="a", country="a", q="comp").select(*SHORT)
+
+
+def lead_responses(spark, d):
+    """What leads are answered with."""
+    return _plain(directory.responses(fixture.attributed(spark, d)))
+
+
+def import_counts(spark, d):
+    return source_leads.import_counts(fixture.crm(spark, d))
+
+
+def import_rejected(spark, d):
+    return source_leads.rejected(fixture.crm(spark, d)).select("id", "reason")
 
 
 def lead_totals(spark, d):
@@ -110,6 +136,43 @@ def dashboard_all(spark, d):
     return dashboard.all_counts(fixture.attributed(spark, d))
 
 
+def dashboard_row(spark, d):
+    """The whole dashboard in one row."""
+    one = dashboard.dashboard(fixture.attributed(spark, d), F.lit(AS_OF_ORDERS).cast("timestamp"))
+    told = lambda c: F.array_join(F.transform(F.array_sort(F.map_entries(c)), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), "|")
+    return one.select("total", "recent", *[told(f"by_{a}").alias(f"by_{a}") for a in dashboard.AXES])
+
+
+class Parrot:
+    """A model that makes its replies of the prompt, for the queries below."""
+
+    def reply(self, prompts: DataFrame) -> DataFrame:
+        p = F.col("prompt")
+        names = F.regexp_extract_all(p, F.lit("- Name: (.*)"), F.lit(1))
+        pair = F.to_json(F.struct(F.lit(True).alias("is_duplicate"), F.lit(0.9).alias("confidence"), F.array_join(names, " / ").alias("explanation")))
+        said = (
+            F.when(p.contains("- Name: "), F.concat(F.lit("```json\n"), pair, F.lit("\n```")))
+            .when(p.contains("nobody could place"), '```json\n{"channel": "Event", "detail": "asked around"}\n```')
+            .when(p.contains("older record"), '{"channel": "Rumour"}')
+            .otherwise("no idea")
+        )
+        return prompts.select("key", said.alias("reply"))
+
+
+def source_model(spark, d):
+    """Sources by rules, and by a model where no rule fits."""
+    return attribution.extracted(fixture.leads(spark, d).select("id", "notes"), Parrot()).select("id", "channel", "detail")
+
+
+def reply_json(spark, d):
+    """Replies with and without code fences, parsed."""
+    n = F.col("id") % 4
+    body = F.concat(F.lit('{"channel": "Event", "n": '), F.col("id").cast("string"), F.lit("}"))
+    raw = F.when(n == 0, F.concat(F.lit(" ```json\n"), body, F.lit("\n``` "))).when(n == 1, F.concat(F.lit("```"), body, F.lit("```"))).when(n == 2, body).otherwise("none")
+    parsed = fixture.leads(spark, d).select("id", N.fenced_json(raw, "channel string, n bigint").alias("j"))
+    return parsed.select("id", "j.channel", "j.n")
+
+
 def source_rules(spark, d):
     rows = fixture.leads(spark, d).select("id", attribution.source(F.col("notes")).alias("s"))
     return rows.select("id", "s.channel", "s.detail")
@@ -178,6 +241,25 @@ def llm_shortlist(spark, d):
     return dedupe.shortlist(dedupe.find_candidates(fixture.leads(spark, d))).select("lead_id_1", "lead_id_2", "confidence")
 
 
+def llm_remarks(spark, d):
+    leads = fixture.leads(spark, d)
+    return dedupe.remarked(dedupe.find_candidates(leads), leads, model.ModelVerifier(Parrot())).select("lead_id_1", "lead_id_2", "explanation")
+
+
+def remark_cache(spark, d):
+    """Remarks of an earlier run are used again; only other pairs are asked about."""
+    leads = fixture.leads(spark, d)
+    found = dedupe.find_candidates(leads)
+    earlier = found.filter("lead_id_1 % 2 = 0").withColumn("explanation", F.concat("explanation", F.lit(dedupe.REMARK), F.lit("seen before")))
+    return dedupe.remarked(found, leads, model.ModelVerifier(Parrot()), earlier).select("lead_id_1", "lead_id_2", "explanation")
+
+
+def cluster_leads(spark, d):
+    leads = fixture.leads(spark, d)
+    out = components.clusters_with_leads(components.clustered(dedupe.find_candidates(leads)), leads)
+    return out.select("group_id", "confidence", F.array_join(F.transform("leads", lambda x: x["email"]), ",").alias("emails"))
+
+
 def dedupe_components(spark, d):
     return components.components(dedupe.find_candidates(fixture.leads(spark, d)))
 
@@ -198,6 +280,27 @@ def review_update(spark, d):
     return directory.reviewed(found, found.select("lead_id_1", "lead_id_2", said.alias("status")))
 
 
+def review_outcomes(spark, d):
+    found = dedupe.find_candidates(fixture.leads(spark, d)).select("lead_id_1", "lead_id_2")
+    said = F.when(F.col("lead_id_1") % 3 == 0, "confirmed").when(F.col("lead_id_1") % 3 == 1, "maybe").otherwise("pending")
+    reviews = found.unionByName(found.withColumn("lead_id_2", F.col("lead_id_2") + 10_000_000)).withColumn("status", said)
+    return directory.review_outcomes(found, reviews)
+
+
+def patch_outcomes(spark, d):
+    leads = fixture.leads(spark, d)
+    ids = leads.select("id").unionByName(leads.select((F.col("id") + 10_000_000).alias("id")))
+    patches = ids.select("id", F.when(F.col("id") % 3 == 0, "new").alias("lead_status"), F.when(F.col("id") % 5 == 0, "note").alias("notes"))
+    return directory.patch_outcomes(leads, patches)
+
+
+def extraction_outcomes(spark, d):
+    leads = fixture.leads(spark, d)
+    ids = leads.select("id").unionByName(leads.select((F.col("id") + 10_000_000).alias("id")))
+    asked = ids.select(F.col("id").alias("lead_id"), F.when(F.col("id") % 5 == 0, "Walked into our office").when(F.col("id") % 5 == 1, " ").alias("notes"), (F.col("id") % 2 == 0).alias("save_to_lead"))
+    return attribution.extraction_outcomes(leads, asked).select("lead_id", "outcome", "channel", "detail", "saved")
+
+
 def patch_leads(spark, d):
     leads = fixture.leads(spark, d)
     third = F.col("id") % 3 == 0
@@ -230,6 +333,10 @@ def ingest_result(spark, d):
     return _ingested(spark, d).details
 
 
+def ingest_totals(spark, d):
+    return ingest.totals(_ingested(spark, d).details)
+
+
 def ingest_leads_after(spark, d):
     return _plain(_ingested(spark, d).leads).select("id", "email", "phone_normalized", "country", "notes", "ai_source_channel", "original_create_date")
 
@@ -246,11 +353,12 @@ def resolve_leads(spark, d):
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = [
-        leads_import_normalized, norm_name, norm_date, lead_list_page, lead_search_q, lead_filter_owner_country, lead_totals, lead_by_id, lead_by_email,
-        lead_by_phone, filter_values, distinct_owners, export_rows, dashboard_totals, dashboard_all, source_rules, attribute_missing,
+        leads_import_normalized, norm_name, norm_date, lead_list_page, lead_search_q, lead_filter_status, lead_filter_owner, lead_filter_country, lead_filter_all, lead_responses, import_counts, import_rejected, lead_totals, lead_by_id, lead_by_email,
+        lead_by_phone, filter_values, distinct_owners, export_rows, dashboard_totals, dashboard_all, dashboard_row, source_rules, source_model, reply_json, attribute_missing,
         source_channel_counts, blocking_keys, block_sizes, candidate_pairs, jaro_winkler_names, score_pairs, dedupe_candidates, candidate_filter,
-        candidate_with_leads, llm_shortlist, dedupe_components, dedupe_clusters, leads_with_group, review_update, patch_leads, save_extraction,
-        best_match, ingest_result, ingest_leads_after, ingest_audit, resolve_leads,
+        candidate_with_leads, llm_shortlist, llm_remarks, remark_cache, dedupe_components, dedupe_clusters, cluster_leads, leads_with_group, review_update, review_outcomes,
+        patch_leads, patch_outcomes, save_extraction, extraction_outcomes,
+        best_match, ingest_result, ingest_totals, ingest_leads_after, ingest_audit, resolve_leads,
     ]
     out = {f.__name__: f for f in own}
     out |= {

@@ -11,6 +11,7 @@ def _struct(**fields: T.DataType) -> T.StructType:
     return T.StructType([T.StructField(name, kind) for name, kind in fields.items()])
 
 
+# Columns of the tables and of the files that are exchanged, in their order.
 LEAD = _struct(
     id=L, record_id=L, first_name=S, last_name=S, full_name=S, job_title=S, company_name=S, email=S, phone_number=S,
     phone_normalized=S, country=S, lead_status=S, lifecycle_stage=S, original_source=S, source_drill_down=S,
@@ -19,11 +20,8 @@ LEAD = _struct(
 )
 #: What a lead is answered with: all columns but the normalised phone.
 LEAD_RESPONSE = [f.name for f in LEAD if f.name != "phone_normalized"]
-#: Columns a partial update may name (the email is not among them).
-LEAD_UPDATABLE = [
-    "first_name", "last_name", "full_name", "job_title", "company_name", "phone_number", "country", "lead_status",
-    "lifecycle_stage", "contact_owner", "lead_score", "notes",
-]
+#: Columns a partial update may name.
+LEAD_UPDATABLE = ["lead_status", "contact_owner", "notes", "job_title", "first_name", "last_name", "company_name", "phone_number", "country"]
 SIGNALS = ("email", "phone", "name", "company", "notes_hint")
 CANDIDATE = T.StructType([
     T.StructField("lead_id_1", L), T.StructField("lead_id_2", L), T.StructField("confidence", D),

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..operators.attribution import attribute_missing
 from ..schemas import CRM_COLUMNS
-from ..storage import written
+from ..storage import modified, written
 from .leads import crm_to_leads
 
 FIRST = ["Anna", "Björn", "Chloé", "Dmitri", "Elena", "Farid", "Grace", "Hiro", "Ines", "Jean-Luc", "Karin", "Liam", "Mary Jane", "Noor", "Olga", "Pablo", "Quentin", "Rosa", "Sven", "Tara"]
@@ -109,7 +109,7 @@ subs AS (
 
 
 def _views(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    return {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("customer", "nation", "orders", "events")}
+    return {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in _SOURCES}
 
 
 def _sql(spark: SparkSession, sf_dir: str, ctes: str, tail: str) -> DataFrame:
@@ -128,12 +128,13 @@ def crm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", F.timestamp_seconds("created_s").alias("created_at"), *[F.col(snake).alias(name) for snake, name in back.items()])
 
 
-_tables: dict[tuple[str, str, str], DataFrame] = {}
+_SOURCES = ("customer", "nation", "orders", "events")
+_tables: dict[tuple, DataFrame] = {}
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str, make) -> DataFrame:
-    """The table that ``make`` gives, written once for a session as an import would; queries read it as they do any table."""
-    key = (spark.sparkContext.applicationId, sf_dir, name)
+    """The table that ``make`` gives, written once for a session as an import would, and anew if its sources have changed; queries read it as they do any table."""
+    key = (spark.sparkContext.applicationId, sf_dir, name, *[modified(spark, f"{sf_dir}/{t}.parquet") for t in _SOURCES])
     if key not in _tables:
         _tables[key] = written(make())
     return _tables[key]

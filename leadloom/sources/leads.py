@@ -9,13 +9,15 @@ from ..functions import normalize as N
 from ..schemas import CRM, CRM_COLUMNS, EXPORT_COLUMNS, SUBMISSION
 
 
-def read_crm_csv(spark: SparkSession, path: str) -> DataFrame:
+def read_crm_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """All columns as text; UTF-8 with or without a byte order mark, quoted cells over several lines.
 
     Columns are found by the names in the header, so their order is free; a
-    missing file raises.
+    missing file raises. With ``multi_line`` a file is read by one task (many
+    files by many); a large file whose cells have no line breaks is split
+    without it.
     """
-    raw = spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').option("inferSchema", False).csv(path)
+    raw = spark.read.option("header", True).option("multiLine", multi_line).option("quote", '"').option("escape", '"').option("inferSchema", False).csv(path)
     named = {c.lstrip("﻿"): c for c in raw.columns}
     return raw.select(*[(F.col(f"`{named[f.name]}`") if f.name in named else F.lit(None)).cast("string").alias(f.name) for f in CRM])
 
@@ -54,6 +56,17 @@ def crm_to_leads(rows: DataFrame, first_id: Column | None = None) -> DataFrame:
     return out.select(number.cast("long").alias("id"), *[v.alias(k) for k, v in columns.items()], created.alias("created_at"), created.alias("updated_at"))
 
 
+def import_counts(rows: DataFrame) -> DataFrame:
+    """accepted and dropped rows of a CRM export, one row."""
+    fine = N.email(F.col("Email")).isNotNull()
+    return rows.agg(F.count_if(fine).alias("accepted"), F.count_if(~fine).alias("dropped"))
+
+
+def rejected(rows: DataFrame) -> DataFrame:
+    """Rows of a CRM export that make no lead, with the reason."""
+    return rows.filter(N.email(F.col("Email")).isNull()).withColumn("reason", F.lit("no email"))
+
+
 def read_submissions(spark: SparkSession, path: str) -> DataFrame:
     """Form submissions, one JSON object each."""
     return spark.read.schema(SUBMISSION).json(path)
@@ -65,7 +78,10 @@ def submissions_of(texts: DataFrame, column: str = "value") -> DataFrame:
 
 
 def write_csv(leads: DataFrame, path: str) -> None:
-    """The columns of the export with a header; times as ``yyyy-MM-dd HH:mm:ss`` with the offset, nulls empty."""
+    """The columns of the export with a header; times as ``yyyy-MM-dd HH:mm:ss`` with the offset, nulls empty; no leads give an empty text."""
+    if leads.isEmpty():
+        leads.sparkSession.createDataFrame([("",)], "value string").filter("value <> ''").coalesce(1).write.mode("overwrite").text(path)
+        return
     times = [f.name for f in leads.schema if f.dataType.typeName().startswith("timestamp") and f.name in EXPORT_COLUMNS]
     rows = leads.select(*[F.date_format(c, "yyyy-MM-dd HH:mm:ssxxx").alias(c) if c in times else F.col(c) for c in EXPORT_COLUMNS])
     rows.coalesce(1).write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"').option("emptyValue", "").csv(path)

@@ -7,18 +7,62 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Folders that this process has written, in order, by application.
+_made: dict[str, list[str]] = {}
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; only where it is unset (tests), a temporary folder, once for the session."""
+    """``spark.checkpoint.dir`` of the session.
+
+    Where it is unset, one machine (tests) gets a temporary folder, once for
+    the session; a cluster has no folder that would do, so that raises.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="leadloom-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
-def written(df: DataFrame) -> DataFrame:
-    """``df`` as a table in the shared folder, without lineage."""
-    path = f"{shared_dir(df.sparkSession)}/leads-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def written(df: DataFrame, **options: str) -> DataFrame:
+    """``df`` as a table in the shared folder, without lineage; ``options`` are those of the writer."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/leads-{uuid.uuid4().hex}"
+    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
+    df.write.options(**options).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _path(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    system, p = _path(spark, path)
+    return system.exists(p)
+
+
+def modified(spark: SparkSession, path: str) -> int:
+    """When ``path`` was changed last, in milliseconds."""
+    system, p = _path(spark, path)
+    return system.getFileStatus(p).getModificationTime()
+
+
+def mark(spark: SparkSession) -> int:
+    """A point in time for ``cleared``."""
+    return len(_made.get(spark.sparkContext.applicationId, []))
+
+
+def cleared(spark: SparkSession, since: int = 0, keep: int = 0) -> int:
+    """Deletes what ``written`` has made since a ``mark``, but for the last ``keep`` tables; frames that read it must not be used any more. Returns how many tables."""
+    made = _made.get(spark.sparkContext.applicationId, [])
+    gone = made[since : len(made) - keep]
+    for path in gone:
+        system, p = _path(spark, path)
+        system.delete(p, True)
+    del made[since : len(made) - keep]
+    return len(gone)

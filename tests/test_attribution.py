@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
 from leadloom.operators import attribution as A
+from leadloom.operators import model as M
 
 CASES = [
     ("Scanned the QR code at our TechCrunch Disrupt booth.", "Event", "TechCrunch Disrupt — Booth QR Code"),
@@ -38,3 +39,37 @@ def test_saved_sources(spark):
     asked = spark.createDataFrame([(1, None), (2, "Referred by Bo Lee"), (3, None)], "lead_id long, notes string")
     got = {r.id: r.ai_source_detail for r in A.save_source(df, asked).collect()}
     assert got == {1: "Walk-in", 2: "Referred by Bo Lee", 3: "old"}
+
+
+def said(prompt):
+    if "breaks" in prompt:
+        raise RuntimeError("no service")
+    for word, reply in {"radio": '```json\n{"channel": "Event", "detail": "Radio"}\n```', "rumour": '{"channel": "Gossip", "detail": "told"}', "bare": '{"detail": "x"}', "list": "[1]", "short": '{"channel": "Website"}'}.items():
+        if word in prompt:
+            return reply
+    return None
+
+
+def test_a_model_is_asked_where_no_rule_fits(spark):
+    notes = ["heard us on the radio", "a rumour", "bare", "list", "breaks", "silence", "short", "Walked into our office, radio", None, "", "a rumour"]
+    df = spark.createDataFrame(list(enumerate(notes)), "id long, notes string")
+    got = [(r.channel, r.detail) for r in A.extracted(df, M.CalledModel(said, 1)).orderBy("id").collect()]
+    unknown = ("Other", A.NO_SOURCE)
+    assert got == [("Event", "Radio"), ("Other", "told"), unknown, unknown, unknown, unknown, ("Website", ""), ("Manual/Sales", "Walk-in"), ("Other", A.NO_NOTES), ("Other", A.NO_NOTES), ("Other", "told")]
+
+    class Broken:
+        def reply(self, prompts):
+            raise RuntimeError("no model")
+
+    assert [r.detail for r in A.extracted(df, Broken()).orderBy("id").collect()][:2] == [A.NO_SOURCE] * 2
+    assert [r.channel for r in A.extracted(df).orderBy("id").collect()][0] == "Other"
+
+
+def test_extraction_outcomes(spark):
+    df = spark.createDataFrame([(1, "Walked into our office"), (2, " ")], "id long, notes string")
+    asked = spark.createDataFrame([(1, None, True), (1, "Referred by Bo Lee", False), (2, "", True), (3, "x", True), (None, "cold outreach list", True), (None, None, False)], "lead_id long, notes string, save_to_lead boolean")
+    got = {(r.lead_id, r.notes): (r.outcome, r.detail, r.saved) for r in A.extraction_outcomes(df, asked).collect()}
+    assert got == {
+        (1, None): ("ok", "Walk-in", True), (1, "Referred by Bo Lee"): ("ok", "Referred by Bo Lee", False), (2, ""): ("no_notes", None, False),
+        (3, "x"): ("not_found", None, False), (None, "cold outreach list"): ("ok", "Cold Outreach List", False), (None, None): ("no_notes", None, False),
+    }

@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+from leadloom.operators import model as M
 from leadloom.operators import blocking, components, directory, scoring
 from leadloom.plans import dedupe
 from leadloom.schemas import LEAD
@@ -99,3 +100,31 @@ def test_resolution_with_remarks_and_reviews(spark):
     assert {(r.lead_id_1, r.lead_id_2): r.status for r in again.collect()}[1, 2] == "confirmed"
     whole = components.clusters_with_leads(first.candidates, leads(spark, rows)).first()
     assert [x.id for x in whole.leads] == whole.lead_ids
+
+
+def test_model_remarks(spark):
+    note = "n" * 300
+    rows = [person(1, "Ada", "Berg", "One", "ada@one.com", "5551234567", note), person(2, "Ada", "Berg", "One", "ada@one.com", "5551234567"), person(3, "Ada", "Berg", "One Ltd", "ada@one.com", "5551234567")]
+    df = leads(spark, rows)
+    found = dedupe.find_candidates(df)
+    seen = spark.sparkContext.accumulator(0)
+
+    def call(prompt):
+        seen.add(1)
+        shown = max(len(line) for line in prompt.split("\n") if line.startswith("- Notes: ")) - len("- Notes: ")
+        assert prompt.count("- Name: Ada Berg") == 2
+        return f'```json\n{{"is_duplicate": true, "confidence": 0.9, "explanation": "notes {shown}"}}\n```'
+
+    first = {(r.lead_id_1, r.lead_id_2): r.explanation for r in dedupe.remarked(found, df, M.ModelVerifier(M.CalledModel(call))).collect()}
+    assert len(first) == 3 and first[1, 2].endswith(" | LLM: notes 200") and first[2, 3].endswith(" | LLM: notes 0") and seen.value == 3
+    # known remarks are used again; only what is new is asked
+    earlier = found.filter("lead_id_1 = 1").withColumn("explanation", F.lit("x | LLM: known"))
+    again = {(r.lead_id_1, r.lead_id_2): r.explanation for r in dedupe.remarked(found, df, M.ModelVerifier(M.CalledModel(call)), earlier).collect()}
+    assert again[1, 2].endswith(" | LLM: known") and again[2, 3].endswith(" | LLM: notes 0") and seen.value == 4
+
+    class Broken:
+        def remarks(self, pairs):
+            raise RuntimeError("no model")
+
+    for verifier in (Broken(), M.ModelVerifier(M.CalledModel(lambda p: "not json")), M.ModelVerifier(M.CalledModel(lambda p: 1 / 0))):
+        assert all(" | LLM: " not in r.explanation for r in dedupe.remarked(found, df, verifier).collect())
