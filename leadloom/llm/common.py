@@ -2,48 +2,45 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-DEFAULT_TOKENIZER = "piece_bpe_32k.model"
+from .. import storage
 
+DEFAULT_TOKENIZER = "piece_bpe_32k.model"
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where the session has none (tests on one machine) is a temporary
-    folder set, once for the session.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = tempfile.mkdtemp(prefix="leadloom-shared-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of texts. A session that has Spark's default for Arrow batches gets smaller ones: rows are long, and both sides hold a batch at once."""
+    if spark.conf.get(_BATCH, "10000") == "10000":
+        spark.conf.set(_BATCH, "1000")
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def written(df: DataFrame) -> DataFrame:
     """``df`` as a table in the shared folder: cuts lineage, and survives the loss of executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
     # small row groups: a task holds one in memory while it writes
-    df.write.option("parquet.block.size", 1 << 25).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return storage.written(df, **{"parquet.block.size": str(1 << 25)})
+
 
+#: Tables of so many bytes or fewer may go to every executor.
+BROADCAST_BYTES = 16 << 20
 
-def small_side(df: DataFrame, most_rows: int) -> DataFrame:
-    """``df`` written once, and marked for broadcast only if it has ``most_rows`` rows or fewer; else joins shuffle."""
-    from pyspark.sql import functions as F
 
+def small_side(df: DataFrame) -> DataFrame:
+    """``df`` written once, and marked for broadcast only if its measured bytes are few; else joins shuffle."""
     df = written(df)
-    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
+    sizes = {"string": F.octet_length, "binary": F.octet_length, "array": lambda c: 64 * F.size(c)}
+    row = F.lit(16)
+    for f in df.schema.fields:
+        row = row + F.coalesce(sizes.get(f.dataType.typeName(), lambda c: F.lit(16))(F.col(f"`{f.name}`")), F.lit(0))
+    return F.broadcast(df) if (df.agg(F.sum(row.cast("long"))).first()[0] or 0) <= BROADCAST_BYTES else df
 
 
 def tokenizer_path(name: str = DEFAULT_TOKENIZER) -> str:

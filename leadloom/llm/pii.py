@@ -20,9 +20,10 @@ all that was discovered are further spans of their kind. Edges are counted once
 so copies of a document give no weight, and hot patterns or instances are
 summed up before the shuffle.
 
-Cases: a null text counts as empty; repeated rows stay, each with its spans; a
-null id is kept; an empty table gives an empty result; unnamed columns are
-ignored.
+Cases: a null text counts as empty; texts are searched whole; repeated rows
+stay, each with its spans; a null id is kept; an empty table gives an empty
+result. Columns of the input are kept, but base and added take the place of
+columns with their names; the stage returns all columns as they came.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import other_names, small_side, table, written
 from .quality import _bound
 
 KINDS = ("email", "ip", "card", "phone")
@@ -50,23 +51,23 @@ CANDIDATE = r"(?<![^\s])[^\s0-9]*+[0-9][^\s]*+"
 _EDGE = "[^A-Za-z0-9]+"
 
 
-def _running(lengths: Column) -> Column:
-    """Running sums of an array of bigint, in about n * sqrt(n) steps; no array is copied for each element."""
+def _running(values: Column, plus=lambda x, y: x + y) -> Column:
+    """Running sums (or other totals by ``plus``, from 0 on) of an array of bigint, in about n * sqrt(n) steps; no array is copied for each element."""
 
     def sums(a: Column) -> Column:
         n = F.size(a)
         block = F.ceil(F.sqrt(n)).cast("int")
-        add = lambda x: F.aggregate(x, F.lit(0).cast("bigint"), lambda s, y: s + y)
+        add = lambda x: F.aggregate(x, F.lit(0).cast("bigint"), lambda s, y: plus(s, y))
         part = lambda i: F.floor(i / block).cast("int")
         blocks = F.transform(F.sequence(F.lit(0), part(n - 1)), lambda b: add(F.slice(a, b * block + 1, block)))
         before = lambda bs: F.transform(F.sequence(F.lit(0), F.size(bs) - 1), lambda b: add(F.slice(bs, F.lit(1), b)))
 
         def within(pre: Column) -> Column:
-            return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(pre, part(i)) + add(F.slice(a, part(i) * block + 1, i - part(i) * block + 1)))
+            return F.transform(F.sequence(F.lit(0), n - 1), lambda i: plus(F.get(pre, part(i)), add(F.slice(a, part(i) * block + 1, i - part(i) * block + 1))))
 
         return F.when(n > 0, _bound(blocks, lambda bs: _bound(before(bs), within))).otherwise(F.array().cast("array<bigint>"))
 
-    return _bound(lengths, sums)
+    return _bound(values, sums)
 
 
 def _matches(text: Column, pattern: str) -> Column:
@@ -130,8 +131,6 @@ def _context(piece: Column, first: Column) -> Column:
     return _bound(words, lambda w: F.when(w != "", F.btrim(F.lower(F.regexp_replace(w, r"\s+", " ")))))
 
 
-#: So many discovered spans are a few MB and go to every executor; more are joined by a shuffle.
-BROADCAST_SPANS = 100_000
 _SPAN = "array<struct<start:bigint,end:bigint,kind:int,value:string,context:string>>"
 
 
@@ -219,23 +218,47 @@ def find(docs: DataFrame, text: str = "text", rounds: int = 3, min_seeds: int =
     text is scanned once; the number that marks a row is part of that table.
     """
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    rows = docs.withColumns({"__row": F.monotonically_increasing_id(), "__base": base_spans(t), "__other": candidates(t)})
-    rows = written(rows if keep_text else rows.drop(text))
+    names = other_names([c for c in docs.columns if keep_text or c != text], ("base", "added"))
+    new = {"__row": F.monotonically_increasing_id(), "__base": base_spans(t), "__other": candidates(t)}
+    rows = written(docs.select(*[F.col(f"`{c}`") for c in names], *[v.alias(k) for k, v in new.items()]))
     both = rows.select("__row", F.explode(F.concat("__base", "__other")).alias("s")).select("__row", "s.*").filter("context IS NOT NULL")
     edges = written(both.select("context", F.lower("value").alias("value"), "kind").distinct())
     patterns = scored_patterns(edges, rounds, min_seeds, min_score)
     best = patterns.groupBy("context").agg(F.max_by("kind", F.struct("score", -F.col("kind"))).alias("as_kind"))
-    new = written(both.filter("kind = -1").join(best, "context"))
-    few = new.limit(BROADCAST_SPANS + 1).count() <= BROADCAST_SPANS
-    new = new.groupBy(F.col("__row").alias("__r")).agg(F.array_sort(F.collect_list(F.struct("start", "end", F.col("as_kind").alias("kind")))).alias("__new"))
-    new = F.broadcast(new) if few else new
-    out = rows.join(new, F.col("__row") == F.col("__r"), "left")
+    found = both.filter("kind = -1").join(best, "context")
+    found = found.groupBy(F.col("__row").alias("__r")).agg(F.array_sort(F.collect_list(F.struct("start", "end", F.col("as_kind").alias("kind")))).alias("__new"))
+    out = rows.join(small_side(found), F.col("__row") == F.col("__r"), "left")
     place = lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))
-    clear = F.filter("__new", lambda n: ~F.exists("__base", lambda b: (b["start"] < n["end"]) & (n["start"] < b["end"])))
-    return out.withColumns({
-        "base": F.transform("__base", place),
-        "added": F.coalesce(clear, F.array().cast("array<struct<start:bigint,end:bigint,kind:int>>")),
-    }).drop("__row", "__r", "__new", "__base", "__other")
+    none = F.array().cast(_PLACES)
+    added = F.when(F.size("__base") == 0, F.col("__new")).otherwise(_clear(F.col("__base"), F.col("__new")))
+    return out.select(
+        *[F.col(f"`{c}`") for c in names], F.transform("__base", place).alias("base"), F.when(F.col("__new").isNull(), none).otherwise(added).alias("added")
+    )
+
+
+_PLACES = "array<struct<start:bigint,end:bigint,kind:int>>"
+#: A place beyond all texts.
+_FAR = 1 << 40
+
+
+def _clear(base: Column, new: Column) -> Column:
+    """Those of ``new`` that overlap none of ``base``: not the furthest end before them, nor the next start after."""
+    one = lambda is_new: lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), F.lit(is_new).alias("new"))
+    spans = F.array_sort(F.concat(F.transform(base, one(False)), F.transform(new, one(True))))
+
+    def apart(a: Column) -> Column:
+        ends = _running(F.transform(a, lambda s: F.when(s["new"], F.lit(0).cast("bigint")).otherwise(s["end"])), F.greatest)
+        # from the right, as distances from a place beyond all texts, so that the nearest start is the greatest
+        starts = _running(F.reverse(F.transform(a, lambda s: F.when(s["new"], F.lit(0).cast("bigint")).otherwise(F.lit(_FAR) - s["start"]))), F.greatest)
+
+        def fits(x: Column) -> Column:
+            before = lambda i: F.coalesce(F.get(x["ends"], i - 1), F.lit(0).cast("bigint"))
+            after = lambda i: F.lit(_FAR) - F.coalesce(F.get(x["starts"], F.size(a) - 2 - i), F.lit(0).cast("bigint"))
+            return F.filter(a, lambda s, i: s["new"] & (before(i) <= s["start"]) & (after(i) >= s["end"]))
+
+        return _bound(F.struct(ends.alias("ends"), starts.alias("starts")), fits)
+
+    return F.transform(_bound(spans, apart), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
 
 
 def written_spans(spans: Column) -> Column:
@@ -259,16 +282,20 @@ def redact(found: DataFrame, text: str = "text") -> DataFrame:
     """``found`` (of ``find``) with every span, and every run of spans that overlap, replaced by its first kind in brackets."""
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
     spans = F.array_sort(F.concat("base", "added"), _by_place)
-    zero = F.array().cast("array<struct<start:bigint,end:bigint,kind:int>>")
 
-    def join(acc: Column, s: Column) -> Column:
-        last = F.element_at(acc, -1)
-        longer = F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"), last["kind"].alias("kind"))
-        return F.when((F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["end"] > s["start"]), F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(longer))).otherwise(
-            F.concat(acc, F.array(s))
-        )
+    def merged(s: Column) -> Column:
+        def runs(ends: Column) -> Column:
+            # a span that starts where all before it have ended begins a run, which ends before the next one
+            first = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(ends, i - 1) <= F.get(s, i)["start"]))
+            run = lambda f: F.transform(
+                f,
+                lambda i, k: F.struct(
+                    F.get(s, i)["start"].alias("start"), F.get(ends, F.coalesce(F.get(f, k + 1), F.size(s)) - 1).alias("end"), F.get(s, i)["kind"].alias("kind")
+                ),
+            )
+            return _bound(first, run)
 
-    merged = F.aggregate(spans, zero, join)
+        return _bound(_running(F.transform(s, lambda x: x["end"]), F.greatest), runs)
 
     def pieces(m: Column) -> Column:
         def piece(s: Column, i: Column) -> Column:
@@ -277,10 +304,17 @@ def redact(found: DataFrame, text: str = "text") -> DataFrame:
 
         return F.concat(F.array_join(F.transform(m, piece), ""), F.substr(F.col(text), F.element_at(m, -1)["end"].cast("int") + 1))
 
-    return found.withColumn(text, F.when(F.size("base") + F.size("added") > 0, _bound(merged, pieces)).otherwise(F.col(text)))
+    return found.withColumn(text, F.when(F.size("base") + F.size("added") > 0, _bound(_bound(spans, merged), pieces)).otherwise(F.col(text)))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with their personal data replaced and n_chars counted anew."""
-    out = redact(find(docs))
-    return out.withColumn("n_chars", F.length(F.coalesce("text", F.lit(""))).cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    """All documents, with their personal data replaced and n_chars, if they have it, counted anew; other columns as they came."""
+    others = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"], F.lit(0).alias("__none"))
+    out = redact(find(docs.select("text", others.alias("__doc"))))
+    count = F.length(F.coalesce("text", F.lit("")))
+    return out.select(
+        *[
+            F.col("text") if c == "text" else count.cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"__doc.`{c}`").alias(c)
+            for c in docs.columns
+        ]
+    )

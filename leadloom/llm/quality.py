@@ -5,22 +5,31 @@ runs of ``[^\\x20\\x09-\\x0D]``, and repeated three-word windows are found by
 sorting the windows with their positions and comparing neighbours, which is
 O(n log n) for a text of n words.
 
-Hosts: rule failures are counted by domain (here the ``source`` of a
-document). Rates are shrunk with an empirical beta prior, whose two parameters
-come from the mean and variance of the rates of all hosts (method of
-moments), so that a host of few documents stays near the mean. A host whose
-shrunk rate exceeds ``max_host_rate`` is rejected with all its documents.
+Rules: too few words, repetition, too many symbols, repeated lines, and words
+of a strange mean length. The first two are the base rules of a document; all
+of them are held against its host.
+
+Hosts: failures of each rule are counted by domain (here the ``source`` of a
+document) and shrunk with an empirical beta prior of that rule. Its mean is
+the rate over all documents; its strength comes from how much the rates of
+hosts vary beyond the noise of counting (weighted moments, see ``_prior``), so
+that a host of few documents stays near the mean while many hosts of one
+document each don't pass their noise for variation. A host whose shrunk rate
+of some rule exceeds ``max_host_rate`` is rejected with all its documents.
 
 The measures go to a table in the shared folder, since two things read them:
 the counts by host (partial sums before the shuffle, so a hot host is one row
 per task) and the join that brings verdicts back. Verdicts are broadcast if
-they are of ``BROADCAST_HOSTS`` hosts or fewer, which is counted first; beyond
-that Spark shuffles both sides and splits skewed partitions.
-
-Cases: a null text has no words and fails; documents with a null host are
-judged by their own rules only, and are no part of the prior; repeated rows
-count and stay; with no hosts, or rates that do not vary, the prior has the
-strength ``flat_prior``; an empty table gives an empty result.
+their measured bytes are few; beyond that Spark shuffles both sides and splits
+skewed partitions.
+
+Cases: a null text has no words and fails; texts are measured whole; documents
+with a null host are judged by their own rules only, and are no part of the
+prior; repeated rows count and stay; where nothing can be said of how hosts
+vary (a single host, a document each) the prior has the strength
+``flat_prior``; an empty table gives an empty result. Columns of the input are
+kept, but a measure takes the place of one with its name; the stage returns
+all columns as they came.
 """
 
 from __future__ import annotations
@@ -28,13 +37,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_side, table, written
+from .common import other_names, small_side, table, written
 
 SPACE = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
-#: Verdicts of so many hosts are a few MB and go to every executor; more are joined by a shuffle.
-BROADCAST_HOSTS = 50_000
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+RULES = {
+    "short": "n_words < 50",
+    "repetitive": "100 * n_repeat_words > 50 * n_words",
+    "symbols": "10 * n_symbols > word_chars",
+    "repeated_lines": "10 * n_dup_lines > 3 * n_lines",
+    "word_length": "word_chars < 2 * n_words OR word_chars > 12 * n_words",
+}
+BASE_RULES = ("short", "repetitive")
+#: A prior counts as so many documents at least, however much hosts vary: one document alone says little.
+LEAST_PRIOR = 2.0
 
 
 def _bound(value: Column, use) -> Column:
@@ -69,45 +86,77 @@ def _repeated(words: Column) -> Column:
 
 
 def measure(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with the five measures of each whole text and base_failed; the text itself is left out."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    plain = docs.withColumn("__text", t).drop(text)
+    """``docs`` with the five measures of each whole text, n_lines and base_failed; the text itself is left out."""
+    new = (*MEASURES, "n_lines", "base_failed")
+    names = other_names([c for c in docs.columns if c != text], new)
+    plain = docs.select(*[F.col(f"`{c}`") for c in names], F.coalesce(F.col(text).cast("string"), F.lit("")).alias("__text"))
     count = lambda chars: F.length("__text") - F.length(F.translate("__text", chars, ""))
     lines = F.filter(F.split("__text", "\n", -1), lambda x: F.translate(x, SPACE, "") != "")
     plain = plain.withColumn("__words", words_of(F.col("__text")))
-    m = _bound(F.col("__words"), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), _repeated(w).alias("n_repeat_words")))
     out = plain.withColumns({
-        "__m": m,
+        "__m": _bound(F.col("__words"), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), _repeated(w).alias("n_repeat_words"))),
         "word_chars": F.length(F.translate("__text", SPACE, "")).cast("long"),
         "n_symbols": count(SYMBOLS).cast("long"),
-        "n_dup_lines": _bound(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
+        "__l": _bound(lines, lambda x: F.struct(F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"))),
     })
-    out = out.withColumns({"n_words": F.col("__m.n_words"), "n_repeat_words": F.col("__m.n_repeat_words")}).drop("__text", "__words", "__m")
-    return out.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
+    out = out.withColumns({k: F.col(f"{c}.{k}") for c, k in (("__m", "n_words"), ("__m", "n_repeat_words"), ("__l", "n_lines"), ("__l", "n_dup_lines"))})
+    out = out.withColumn("base_failed", F.expr(" OR ".join(RULES[k] for k in BASE_RULES)))
+    return out.select(*[F.col(f"`{c}`") for c in (*names, *new)])
+
+
+def _prior(hosts: DataFrame, flat_prior: float) -> dict[str, tuple[float, float | None]]:
+    """(mean, strength) for each rule, a few numbers however many hosts there are; a strength of None is one beyond all bounds.
+
+    With n documents and f failures in each of H hosts, N and m = F / N of all,
+    the sum S of n (f/n - m)^2 is expected to be m (1 - m) ((H - 1) + rho (N -
+    sum(n^2)/N - (H - 1))), where the strength of the prior is 1/rho - 1.
+    """
+    n = F.col("n_docs").cast("double")
+    total = F.sum(n)
+    spread = total - F.sum(n * n) / total - (F.count("*") - 1)
+    rules = []
+    for k in RULES:
+        f = F.col(f"f_{k}").cast("double")
+        m = F.sum(f) / total
+        s = F.sum(f * f / n) - F.sum(f) * F.sum(f) / total
+        rules.append(F.struct(m.alias("mean"), F.when((spread > 1e-9) & (m > 0) & (m < 1), (s / (m * (1 - m)) - (F.count("*") - 1)) / spread).alias("rho")).alias(k))
+    moments = hosts.agg(*rules).first()
 
+    def strength(rho: float | None) -> float | None:
+        return flat_prior if rho is None else max(1 / rho - 1, LEAST_PRIOR) if rho > 1e-9 else None
 
-def host_verdicts(measured: DataFrame, host: str = "source", max_host_rate: float = 0.8, flat_prior: float = 10.0) -> DataFrame:
-    """host, n_docs, n_failed, shrunk rate and rejected, one row per host that is not null."""
+    return {k: (moments[k]["mean"], strength(moments[k]["rho"])) for k in RULES}
+
+
+def host_verdicts(measured: DataFrame, host: str = "source", max_host_rate: float = 0.5, flat_prior: float = 10.0) -> DataFrame:
+    """host, n_docs, failures f_<rule> and shrunk rates r_<rule>, shrunk_rate (the greatest) and rejected, one row per host that is not null."""
     hosts = (
         measured.filter(F.col(host).isNotNull())
         .groupBy(F.col(host).alias("host"))
-        .agg(F.count("*").alias("n_docs"), F.count_if("base_failed").alias("n_failed"))
+        .agg(F.count("*").alias("n_docs"), *[F.count_if(F.expr(rule)).alias(f"f_{k}") for k, rule in RULES.items()])
     )
-    # one row: the moments of the rates over all hosts
-    prior = hosts.select((F.col("n_failed") / F.col("n_docs")).alias("rate")).agg(F.avg("rate").alias("m"), F.var_pop("rate").alias("v"))
-    strength = F.when((F.col("v") > 0) & (F.col("m") * (1 - F.col("m")) > F.col("v")), F.col("m") * (1 - F.col("m")) / F.col("v") - 1).otherwise(flat_prior)
-    prior = prior.select((F.col("m") * strength).alias("alpha"), ((1 - F.col("m")) * strength).alias("beta"))
-    alpha, beta = prior.select("alpha").scalar(), prior.select("beta").scalar()
-    rate = (F.col("n_failed") + alpha) / (F.col("n_docs") + alpha + beta)
-    return hosts.withColumn("shrunk_rate", rate).withColumn("rejected", F.col("shrunk_rate") > max_host_rate)
+    prior = _prior(hosts, flat_prior)
+
+    def rate(k: str) -> Column:
+        mean, strength = prior[k]
+        if mean is None or strength is None:
+            return F.lit(mean).cast("double")
+        return (F.col(f"f_{k}") + mean * strength) / (F.col("n_docs") + strength)
+
+    out = hosts.withColumns({f"r_{k}": rate(k) for k in RULES})
+    out = out.withColumn("shrunk_rate", F.greatest(*[f"r_{k}" for k in RULES]))
+    return out.withColumn("rejected", F.col("shrunk_rate") > max_host_rate)
 
 
-def judge(docs: DataFrame, text: str = "text", host: str = "source", max_host_rate: float = 0.8) -> DataFrame:
+def judge(docs: DataFrame, text: str = "text", host: str = "source", max_host_rate: float = 0.5) -> DataFrame:
     """``docs`` without the text, with the measures, base_failed, host_rate and kept."""
-    measured = written(measure(docs, text))
-    verdicts = small_side(host_verdicts(measured, host, max_host_rate).select("host", F.col("shrunk_rate").alias("host_rate"), "rejected"), BROADCAST_HOSTS)
-    out = measured.join(verdicts, measured[host] == verdicts["host"], "left")
-    return out.withColumn("kept", ~F.col("base_failed") & ~F.coalesce("rejected", F.lit(False))).drop("rejected", verdicts["host"])
+    plain = docs.withColumn("__host", F.col(f"`{host}`"))
+    measured = written(measure(plain, text))
+    verdicts = host_verdicts(measured, "__host", max_host_rate).select(F.col("host").alias("__h"), F.col("shrunk_rate").alias("__rate"), F.col("rejected").alias("__rejected"))
+    out = measured.join(small_side(verdicts), F.col("__host") == F.col("__h"), "left")
+    names = other_names([c for c in measured.columns if c != "__host"], ("host_rate", "kept"))
+    kept = ~F.col("base_failed") & ~F.coalesce("__rejected", F.lit(False))
+    return out.select(*[F.col(f"`{c}`") for c in names], F.col("__rate").alias("host_rate"), kept.alias("kept"))
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,9 +171,11 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     that are rejected meet them again, so no text is shuffled unless those
     hosts are too many to broadcast.
     """
-    judged = written(measure(docs.withColumn("__copy", F.col("text")), "__copy"))
-    bad = small_side(host_verdicts(judged).filter("rejected").select(F.col("host").alias("__host")), BROADCAST_HOSTS)
-    return judged.filter(~F.col("base_failed")).join(bad, F.col("source") == F.col("__host"), "left_anti").select(*docs.columns)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col("source").alias("__source"), F.col("text").alias("__copy"))
+    judged = written(measure(rows, "__copy"))
+    bad = small_side(host_verdicts(judged, "__source").filter("rejected").select(F.col("host").alias("__host")))
+    kept = judged.filter(~F.col("base_failed")).join(bad, F.col("__source") == F.col("__host"), "left_anti")
+    return kept.select(*[F.col(f"__row.`{c}`").alias(c) for c in docs.columns])
 
 
 _OP4_BODY = r"""
@@ -141,22 +192,29 @@ d AS (
 ), cov AS (
   SELECT rid, count(DISTINCT i + k) AS n FROM rep, (VALUES (0), (1), (2)) o(k) GROUP BY rid
 ), m AS (
-  SELECT doc_id, source, text, CAST(len(words) AS BIGINT) AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars,
+  SELECT doc_id, source, CAST(len(words) AS BIGINT) AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars,
     length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
-    CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words
+    len(lines) AS n_lines, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words
   FROM w LEFT JOIN cov USING (rid)
 ), b AS (
   SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m
+), r AS (
+  SELECT source, unnest([n_words < 50, 100 * n_repeat_words > 50 * n_words, 10 * n_symbols > word_chars, 10 * n_dup_lines > 3 * n_lines,
+    word_chars < 2 * n_words OR word_chars > 12 * n_words]) AS failed, unnest(range(5)) AS rule
+  FROM b WHERE source IS NOT NULL
 ), h AS (
-  SELECT source, count(*) AS n, count(*) FILTER (WHERE base_failed) AS f FROM b WHERE source IS NOT NULL GROUP BY source
-), mo AS (SELECT avg(f / n) AS m, var_pop(f / n) AS v FROM h),
-st AS (SELECT m, CASE WHEN v > 0 AND m * (1 - m) > v THEN m * (1 - m) / v - 1 ELSE 10.0 END AS s FROM mo),
-hv AS (SELECT source, (f + m * s) / (n + m * s + (1 - m) * s) AS host_rate FROM h, st)
+  SELECT source, rule, CAST(count(*) AS DOUBLE) AS n, CAST(count(*) FILTER (WHERE failed) AS DOUBLE) AS f FROM r GROUP BY source, rule
+), mo AS (
+  SELECT rule, sum(f) / sum(n) AS m, sum(n) - sum(n * n) / sum(n) - (count(*) - 1) AS spread, sum(f * f / n) - sum(f) * sum(f) / sum(n) AS s, count(*) AS k
+  FROM h GROUP BY rule
+), rh AS (SELECT rule, m, CASE WHEN spread > 1e-9 AND m > 0 AND m < 1 THEN (s / (m * (1 - m)) - (k - 1)) / spread END AS rho FROM mo),
+st AS (SELECT rule, m, CASE WHEN rho IS NULL THEN 10.0 WHEN rho > 1e-9 THEN greatest(1 / rho - 1, 2) END AS s FROM rh),
+hv AS (SELECT source, max(CASE WHEN s IS NULL THEN m ELSE (f + m * s) / (n + s) END) AS host_rate FROM h JOIN st USING (rule) GROUP BY source)
 """
 
 OP4_SQL = f"""
 WITH {_OP4_BODY}
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND NOT coalesce(host_rate > 0.8, false) AS kept, round(host_rate, 9) AS host_rate
+  NOT base_failed AND NOT coalesce(host_rate > 0.5, false) AS kept, round(host_rate, 9) AS host_rate
 FROM b LEFT JOIN hv USING (source)
 """
