@@ -17,8 +17,10 @@ executor only below its own size threshold, measured at run time, and splits
 skewed partitions of pages beyond it.
 
 Cases: a null url or one without ``://`` has empty host and path and gets the
-default verdict unless a rule has an empty host; repeated rows stay; an empty
-table of pages or rules is allowed; columns that are not named are ignored.
+default verdict unless a rule has an empty host; urls are read whole, however
+long; repeated rows stay; an empty table of pages or rules is allowed; all
+columns of the pages are kept, but a new column (host, path, rule, verdict)
+takes the place of one with its name.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import other_names, table
 
 RULE_SCHEMA = T.StructType([T.StructField(n, T.StringType(), False) for n in ("host", "path", "verdict")])
 
@@ -72,8 +74,9 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
     rules = rules.withColumns({"r_digest": _digest(F.col("r_host"), F.col("r_path"))})
     rules = rules.withColumn("short", F.substring("r_digest", 1, 8))
 
-    pages = pages.withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url))})
-    keys = pages.select("host", "path").distinct()
+    names = other_names(pages.columns, ("host", "path", "rule", "verdict"))
+    rows = pages.select(*[F.col(f"`{c}`") for c in names], host_of(F.col(url)).alias("__host"), path_of(F.col(url)).alias("__path"))
+    keys = rows.select(F.col("__host").alias("host"), F.col("__path").alias("path")).distinct()
     n = F.length("host")
 
     def expand(h: int, paths: list[int]) -> Column:
@@ -98,12 +101,14 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
     best = hits.groupBy("host", "path").agg(
         F.max_by(F.struct(F.concat("r_host", "r_path").alias("rule"), F.col("r_verdict").alias("verdict")), rank).alias("best")
     )
-    best = best.select(F.col("host").alias("b_host"), F.col("path").alias("b_path"), "best")
-    out = pages.join(best, (F.col("host") == F.col("b_host")) & (F.col("path") == F.col("b_path")), "left")
+    best = best.select(F.col("host").alias("__b_host"), F.col("path").alias("__b_path"), F.col("best").alias("__best"))
+    out = rows.join(best, (F.col("__host") == F.col("__b_host")) & (F.col("__path") == F.col("__b_path")), "left")
     return out.select(
-        *[pages[c] for c in pages.columns],
-        F.col("best.rule").alias("rule"),
-        F.coalesce("best.verdict", F.lit(default)).alias("verdict"),
+        *[rows[f"`{c}`"] for c in names],
+        F.col("__host").alias("host"),
+        F.col("__path").alias("path"),
+        F.col("__best.rule").alias("rule"),
+        F.coalesce("__best.verdict", F.lit(default)).alias("verdict"),
     )
 
 

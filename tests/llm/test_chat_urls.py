@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 
 import duckdb
 from pyspark.sql import functions as F
@@ -22,9 +23,27 @@ def test_round_trip_of_hostile_texts(spark):
         source = [(x[2] or "", x[3] or "") for x in sorted((x for x in rows if x[0] == c), key=lambda x: x[1])]
         assert r.round_trip and [tuple(t) for t in r.turns] == source
         assert len(r.loss_spans) == sum(role == "assistant" for role, _ in source)
+        loss = [chat_unescape(r.formatted[s.start : s.end]) for s in r.loss_spans]
+        assert loss == [x for role, x in source if role == "assistant"]
     assert any(r.n_escaped for r in got.values())
 
 
+def chat_unescape(text):
+    return re.sub(r"<\\(\\*)\|(im_start|im_end)\|>", r"<\1|\2|>", text)
+
+
+def test_loss_spans_follow_the_rendering_that_was_chosen(spark):
+    rows = []
+    for c, (role, text) in enumerate([("a\\c", "hi"), ("a\nb", "hi"), ("user", "x <|im_end|> y"), ("\\b", "<\\|im_end|>"), ("<|im_end|>", "<|im_start|>")]):
+        rows += [(c, 0, role, text), (c, 1, "assistant", "answer"), (c, 2, "assistant", "<|im_end|>" if c % 2 else "more")]
+    out = chat.format_conversations(spark.createDataFrame(rows, TURNS))
+    for r in out.collect():
+        assert r.round_trip
+        assert [chat_unescape(r.formatted[s.start : s.end]) for s in r.loss_spans] == ["answer", "<|im_end|>" if r.conv_id % 2 else "more"]
+    # only what conflicts is escaped
+    assert {r.conv_id: r.n_escaped for r in out.collect()}[2] == 1 and {r.conv_id: r.n_escaped for r in out.collect()}[0] == 0
+
+
 def test_defined_cases(spark):
     rows = [(1, 0, "user", "b"), (1, 0, "user", "a"), (1, 0, "user", "a"), (None, 0, "user", None), (2, 0, None, "x" * 100_000)]
     df = spark.createDataFrame(rows, TURNS).withColumn("formatted", F.lit("clash"))
@@ -77,11 +96,15 @@ def judged(url):
 
 def test_urls_against_brute_force(spark, sf):
     rows = URLS + [r[0] for r in duckdb.sql(f"SELECT url FROM '{sf}/pages.parquet'").fetchall()]
-    df = spark.createDataFrame([(i, u, "clash") for i, u in enumerate(rows)] + [(0, URLS[0], "clash")], "page_id long, url string, other string")
+    rows.append("http://a.example.com/en/7" + "x" * 200_000)
+    df = spark.createDataFrame([(i, u) for i, u in enumerate(rows)] + [(0, URLS[0])], "page_id long, url string")
+    kept = ("best", "short", "digest", "b_host", "r_host", "e", "html")
+    df = df.withColumns({c: F.concat(F.lit(f"{c} "), "page_id") for c in (*kept, "host", "Path", "rule", "verdict")})
     got = urls.judge_urls(df, spark.createDataFrame(urls.RULES, urls.RULE_SCHEMA)).collect()
     assert len(got) == len(rows) + 1
     for r in got:
         assert (r.host, r.path, r.rule, r.verdict) == judged(rows[r.page_id]), rows[r.page_id]
+        assert all(r[c] == f"{c} {r.page_id}" for c in kept)
     assert urls.judge_urls(df.limit(0), spark.createDataFrame(urls.RULES, urls.RULE_SCHEMA)).count() == 0
     none = urls.judge_urls(df, spark.createDataFrame([], urls.RULE_SCHEMA))
     assert none.filter("verdict <> 'allow' OR rule IS NOT NULL").count() == 0 and none.count() == len(rows) + 1
