@@ -26,8 +26,10 @@ The benchmark is used in blocks of at most ``block_bytes`` of text, each sent
 to the executors by itself; texts are never shuffled or collected.
 
 Cases: null texts and items count as empty; an empty item leaks nowhere;
-repeated rows stay and are judged alike; repeated items each give their links;
-null ids are kept; empty tables give an empty result; unnamed columns are kept.
+texts are searched whole, in groups of bounded size; repeated rows stay and are
+judged alike; repeated items each give their links; null ids are kept; empty
+tables give an empty result; columns of the input are kept, but __leaks takes
+the place of one with its name, and the stage returns all columns as they came.
 """
 
 from __future__ import annotations
@@ -36,14 +38,13 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
-from .shingles import mixed
+from .common import in_batches, other_names, released, table
+from .shingles import hashes_of, mixed
 
 REPS, TABLES, BITS = 16, 8, 3
 EDGES = ".,;:!?\"'()[]{}<>*#$%&|-_"
@@ -63,12 +64,6 @@ def _grams(h: np.ndarray, q: int) -> np.ndarray:
     return out
 
 
-def _hashes(all_words: list[str]) -> np.ndarray:
-    if not all_words:
-        return np.empty(0, np.uint64)
-    return pd.util.hash_array(np.array(all_words, dtype=object), categorize=True)
-
-
 def fit_distance(item: np.ndarray, region: np.ndarray) -> tuple[int, int]:
     """Least edit distance of ``item`` to any run of ``region``, and where the best run ends."""
     steps = np.arange(len(region) + 1)
@@ -92,7 +87,7 @@ class Detector:
         split = [(i, words(t)) for i, t in items]
         split = [(i, w) for i, w in split if w]
         self.ids = [i for i, _ in split]
-        self.words = [_hashes(w) for _, w in split]
+        self.words = [hashes_of(w) for _, w in split]
         self.size = np.array([len(w) for w in self.words], np.int64)
         self.edits = np.floor((1 - similarity) * self.size + 1e-9).astype(np.int64)
         whole = -(-(self.size - self.edits) // (self.edits + 1))
@@ -171,7 +166,7 @@ class Detector:
         for k, text in enumerate(texts):
             flat += words(text)
             ends[k] = len(flat)
-        h = _hashes(flat)
+        h = hashes_of(flat)
         starts = np.concatenate([[0], ends[:-1]])
         proposed = self.windows(h, ends)
         best: dict[tuple[int, int], tuple[int, int]] = {}
@@ -204,14 +199,15 @@ def _leak_type(item_type: T.DataType) -> T.ArrayType:
 def leaks(
     docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", similarity: float = 0.8, block_bytes: int = 4_000_000
 ) -> DataFrame:
-    """``docs`` with __leaks array<struct<item_id, n_edits, end_word>> added: the items that occur in each whole text."""
+    """``docs`` with __leaks array<struct<item_id, n_edits, end_word>> added (in place of such a column): the items that occur in each whole text."""
     from pyspark.sql.pandas.types import to_arrow_type
 
     items = benchmark.select(F.col(item_id).alias("id"), F.col(item_text).cast("string").alias("text"))
     kind = _leak_type(items.schema["id"].dataType)
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_blocks = max(1, math.ceil(total / block_bytes))
-    out = docs.withColumn("__leaks", F.array().cast(kind))
+    names = other_names(docs.columns, ("__leaks",))
+    out = docs.select(*[F.col(f"`{c}`") for c in names], F.array().cast(kind).alias("__leaks"))
     schema = out.schema
     arrow = to_arrow_type(kind)
     context = docs.sparkSession.sparkContext
@@ -221,19 +217,12 @@ def leaks(
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             detector = Detector(shared.value, similarity)
-            for batch in batches:
-                at, texts, chars = 0, [], 0
-                column = batch.column(text)
-                for k in range(batch.num_rows):
-                    texts.append(column[k].as_py())
-                    chars += len(texts[-1] or "")
-                    if chars < 2_000_000 and len(texts) < 1024 and k < batch.num_rows - 1:
-                        continue
-                    part = batch.slice(at, len(texts))
-                    before = part.column("__leaks").to_pylist()
-                    found = pa.array([a + b for a, b in zip(before, detector.detect(texts))], arrow)
-                    yield pa.RecordBatch.from_arrays([found if n == "__leaks" else part.column(n) for n in part.schema.names], names=part.schema.names)
-                    at, texts, chars = at + len(texts), [], 0
+            for part, texts in in_batches(batches, text, 1024, 2_000_000):
+                before = part.column("__leaks").to_pylist()
+                found = pa.array([a + b for a, b in zip(before, detector.detect(texts))], arrow)
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], found], names=part.schema.names)
+            del detector
+            released()
 
         out = out.mapInArrow(run, schema)
     return out
@@ -246,5 +235,8 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no benchmark item occurs."""
-    return leaks(docs, table(spark, sf_dir, "benchmark")).filter(F.size("__leaks") == 0).select(*docs.columns)
+    """Documents in which no benchmark item occurs, with all their columns as they came."""
+    # one struct, so that no name can clash
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"], F.lit(0).alias("__none")).alias("__row"), "text")
+    clean = leaks(rows, table(spark, sf_dir, "benchmark")).filter(F.size("__leaks") == 0)
+    return clean.select(*[F.col("text") if c == "text" else F.col(f"__row.`{c}`").alias(c) for c in docs.columns])

@@ -51,7 +51,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import in_batches, released, table, written
 from .components import components
 from .shingles import bags, mixed, overlap
 
@@ -149,16 +149,9 @@ def _signed(n_bands: int, n_rows: int):
                 [part.column("node"), part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["node", "doc_id", "size", "buckets"]
             )
 
-        for batch in batches:
-            at, texts, chars = 0, [], 0
-            for text in batch.column("text"):
-                texts.append(text.as_py())
-                chars += len(texts[-1] or "")
-                if chars >= CHUNK_CHARS or len(texts) >= CHUNK_DOCS:
-                    yield out(batch.slice(at, len(texts)), texts)
-                    at, texts, chars = at + len(texts), [], 0
-            if texts:
-                yield out(batch.slice(at), texts)
+        for part, texts in in_batches(batches, "text", CHUNK_DOCS, CHUNK_CHARS):
+            yield out(part, texts)
+        released()
 
     return run
 
@@ -182,6 +175,8 @@ def _verified(numerator: int, denominator: int):
                     both, either = overlap(bag(a.as_py(), x.as_py()), bag(b.as_py(), y.as_py()))
                     good.append(either > 0 and both * denominator >= numerator * either)
                 yield part.drop_columns(["text_a", "text_b"]).filter(pa.array(good))
+        kept.clear()
+        released()
 
     return run
 

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import xxhash
 
 WORDS = 5
+#: Words whose hashes a worker keeps: some 30 MB at most.
+HASHED_WORDS = 200_000
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 
 
@@ -17,6 +19,23 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+class _Hashes(dict):
+    """64-bit hashes of words; all are dropped once the bound is reached, as they cost little."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= HASHED_WORDS:
+            self.clear()
+        out = self[word] = xxhash.xxh64_intdigest(word)
+        return out
+
+
+_hashes = _Hashes()
+
+
+def hashes_of(words: list[str]) -> np.ndarray:
+    return np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+
+
 def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words (split at white space, in lower case) of all texts, and where each text ends."""
     words: list[str] = []
@@ -25,9 +44,7 @@ def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         if text:
             words += text.lower().split()
         ends[i] = len(words)
-    if not words:
-        return np.empty(0, dtype=np.uint64), ends
-    return pd.util.hash_array(np.array(words, dtype=object), categorize=True), ends
+    return hashes_of(words), ends
 
 
 def shingles(hashes: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
