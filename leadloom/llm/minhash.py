@@ -324,5 +324,6 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     keep = written(classes(docs.select("doc_id", "text")).filter("node = class_node").select(F.col("node").alias("__n"), F.col("doc_id").alias("__id")))
     keyed = docs.withColumn("__node", node_of(F.col("text")))
     out = keyed.join(keep, (F.col("__node") == F.col("__n")) & F.col("doc_id").eqNullSafe(F.col("__id")))
-    rest = [c for c in docs.columns if c != "doc_id"]
-    return out.groupBy("__node", "doc_id").agg(*[F.first(c).alias(c) for c in rest]).select(*docs.columns)
+    # of rows that share id and text the least as a whole, so that a run gives what the last one gave
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    return out.groupBy("__node", "doc_id").agg(F.min(row).alias("__row")).select(*[F.col(f"__row.`{c}`").alias(c) for c in docs.columns])

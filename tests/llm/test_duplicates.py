@@ -148,7 +148,7 @@ def test_recall_of_leaks(sf):
             copy[at : at + (kind < 2)] = [] if kind == 1 else [f"new{rng.randrange(999)}"]
         start = rng.randrange(len(filler) - 200)
         doc = filler[start : start + 60] + copy + filler[start + 60 : start + 120]
-        distance = decontaminate.fit_distance(decontaminate._hashes(words), decontaminate._hashes(doc))[0]
+        distance = decontaminate.fit_distance(decontaminate.hashes_of(words), decontaminate.hashes_of(doc))[0]
         hits = {x["item_id"]: x["n_edits"] for x in detector.detect([" ".join(doc)])[0]}
         total += distance <= most
         found += item in hits
@@ -172,7 +172,7 @@ def test_long_leaks_at_the_greatest_distance():
             docs.append([f"f{k}w{j}" for j in range(30)] + copy + [f"g{k}w{j}" for j in range(30)])
         for k, hits in enumerate(detector.detect([" ".join(d) for d in docs])):
             # without keys: the least distance to any run of the whole text
-            distance, end = decontaminate.fit_distance(detector.words[k], decontaminate._hashes(docs[k]))
+            distance, end = decontaminate.fit_distance(detector.words[k], decontaminate.hashes_of(docs[k]))
             assert distance <= sizes[k] // 5 and (kind == "mixed" or distance == sizes[k] // 5)
             assert hits == [{"item_id": k, "n_edits": distance, "end_word": end}], (kind, sizes[k])
 
@@ -209,3 +209,50 @@ def test_pipeline_against_brute_force(spark, sf):
         want[d] = library.encode(out + t[end:])
     got = {r.doc_id: r.ids for r in corpus_pipeline.run(spark, sf).collect()}
     assert got == want
+
+
+def words_of(text):
+    return [w for x in (text or "").lower().split() if (w := x.strip(decontaminate.EDGES))]
+
+
+def least_edits(item, text):
+    """Edit distance of ``item`` to the nearest run of ``text``, word by word."""
+    row = [0] * (len(text) + 1)
+    for i, x in enumerate(item, 1):
+        new = [i]
+        for j, y in enumerate(text, 1):
+            new.append(min(row[j] + 1, new[j - 1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return min(row)
+
+
+def test_query_against_edit_distance(spark, sf):
+    items = duckdb.sql(f"SELECT item_id, text FROM '{sf}/benchmark.parquet'").fetchall()
+    docs = duckdb.sql(f"SELECT doc_id, text FROM '{sf}/documents.parquet'").fetchall()
+    texts, want = {d: words_of(t) for d, t in docs}, set()
+    for i, text in items:
+        item = words_of(text)
+        most = int(0.2 * len(item) + 1e-9)
+        for d, t in texts.items():
+            # fewer common words than an occurrence has: no need for the table
+            if item and len(item) - sum((Counter(item) & Counter(t)).values()) <= most and (n := least_edits(item, t)) <= most:
+                want.add((d, i, n))
+    got = {(r.doc_id, r.item_id, r.n_edits) for r in decontaminate.op7_decontamination(spark, sf).collect()}
+    assert got == want and want
+
+
+def test_stages_keep_columns_and_cases(spark, sf):
+    """Nulls, empty and long texts, repeated rows and columns with the names of inner ones, at every stage."""
+    good = " ".join(f"w{i}" for i in range(80))
+    rows = [(1, good, "s"), (1, good, "s"), (2, None, "s"), (3, "", None), (None, good + " x y", None), (5, " ".join(f"v{i}" for i in range(40_000)), "t")]
+    names = ["n_words", "base", "added", "__leaks", "node", "component", "buckets", "ids", "starts", "decoded", "n_tokens", "kept", "rejected", "host", "class_id"]
+    docs = spark.createDataFrame([(*r, *[f"{n} {r[0]}" for n in names]) for r in rows], "doc_id long, text string, source string, " + ", ".join(f"`{n}` string" for n in names))
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, sf)
+        got = out.collect()
+        if name != "token ids":
+            assert out.columns == docs.columns, name
+            assert all(r[n] == f"{n} {r.doc_id}" for r in got for n in names), name
+        assert stage(spark, docs.limit(0), sf).count() == 0, name
+        ids = sorted(str(r.doc_id) for r in got)
+        assert ids == {"quality rules": ["1", "1", "5", "None"], "near duplicates": ["1", "2", "3", "5"]}.get(name, ["1", "1", "2", "3", "5", "None"]), name
