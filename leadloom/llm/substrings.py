@@ -6,8 +6,8 @@ they are, so repeated strings can be sought anchor by anchor, and an anchor
 that occurs once in the corpus has none. Successive strings with the same
 anchor form a run; a run and the bytes its strings cover are a block.
 
-1. Runs of all texts are found in Python (one for some 80 bytes), as four
-   numbers each: text, place, anchor, hash of the block.
+1. Runs of all texts are found in Python (one for some 80 bytes) and written:
+   text, place, anchor, and a digest of the block of 128 bits.
 2. Anchors that occur once are dropped (counts are summed up before the
    shuffle). Blocks that are equal throughout are repeated as a whole, and are
    one representative from here on, however many copies there are.
@@ -16,11 +16,13 @@ anchor form a run; a run and the bytes its strings cover are a block.
    backward in breadth, yields the strings that occur elsewhere (``bwt.py``).
    Blocks of many anchors share a transform of bounded size.
 4. An anchor with more than ``HOT`` different blocks (a passage that very many
-   documents share) would not fit a task. Its strings are counted by their
-   hashes instead, which Spark spreads over all tasks; hashes have 64 bits and
-   are compared within an anchor only.
+   documents share) would not fit a transform. Its strings themselves, byte by
+   byte, are the key of a count instead, which Spark sums up before the shuffle
+   and spreads over all tasks; the result is the same.
 5. Ranges go back to the texts, which are rewritten without covered bytes.
 
+Strings of different blocks are compared in bytes. Texts and blocks are taken
+for equal where digests of 96 and 128 bits are, the latter within an anchor.
 All counts cover all documents. Joins are equi-joins that Spark can split where
 a key is hot; no group is collected for an anchor, a passage or a copy.
 
@@ -51,37 +53,33 @@ LENGTH, GRAM, HOT = 200, 40, 16_000
 RUN, SEGMENT, CHUNK = 256, 1 << 19, 1 << 20
 _LOW = np.uint64((1 << 20) - 1)
 _ODD = 0x9E3779B97F4A7C15
-_BYTE = mixed(np.arange(256, dtype=np.uint64))
-_powers: dict[str, np.ndarray] = {}
+_OTHER = 0xC2B2AE3D27D4EB4F
+#: Numbers for bytes, of two independent hashes.
+_BYTES = mixed(np.arange(512, dtype=np.uint64)).reshape(2, 256)
+_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
+def _power(odd: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd number and of its inverse modulo 2^64."""
-    if len(_powers.get("up", ())) < n:
+    if odd not in _powers or len(_powers[odd][0]) < n:
         size = 1 << max(16, (n - 1).bit_length())
-        for name, base in (("up", _ODD), ("down", pow(_ODD, -1, 1 << 64))):
-            factors = np.full(size, base, np.uint64)
-            factors[0] = 1
-            _powers[name] = np.cumprod(factors)
-    return _powers["up"][:n], _powers["down"][:n]
+        factors = [np.full(size, base, np.uint64) for base in (odd, pow(odd, -1, 1 << 64))]
+        for f in factors:
+            f[0] = 1
+        _powers[odd] = tuple(np.cumprod(f) for f in factors)
+    up, down = _powers[odd]
+    return up[:n], down[:n]
 
 
-def _sums(part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    up, down = _power(len(part) + 1)
+def _sums(part: np.ndarray, which: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    up, down = _power((_ODD, _OTHER)[which], len(part) + 1)
     sums = np.zeros(len(part) + 1, np.uint64)
-    np.cumsum(_BYTE[part] * up[:-1], out=sums[1:])
+    np.cumsum(_BYTES[which][part] * up[:-1], out=sums[1:])
     return sums, down
 
 
-def window_hashes(block: bytes, length: int = LENGTH) -> np.ndarray:
-    """A hash of each string of ``length`` bytes in ``block``."""
-    sums, down = _sums(np.frombuffer(block, np.uint8))
-    n = len(block) - length + 1
-    return mixed((sums[length : length + n] - sums[:n]) * down[:n])
-
-
 def runs(data: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Place, anchor and block hash (all int64) of every run of ``data``.
+    """Place and anchor (int64) and block digest (two uint64) of every run of ``data``.
 
     Place: first start, then a bit that is set if the run may repeat a string by itself, then 9 bits for the number of starts.
     """
@@ -109,13 +107,14 @@ def runs(data: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarra
         first = np.repeat(first, parts) + RUN * (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts))
         size = np.diff(np.append(first, n))
         end = first + size + length - 1
-        block = mixed(mixed((sums[end] - sums[first]) * down[first]) ^ size.astype(np.uint64))
+        other, fall = _sums(part, 1)
+        block = np.column_stack([mixed(mixed((s[end] - s[first]) * d[first]) ^ size.astype(np.uint64)) for s, d in ((sums, down), (other, fall))])
         # strings of one run can be equal only if the anchor moves within it
         moves = at[first] != at[first + size - 1]
-        out.append(((first + begin << 10) + (moves.astype(np.int64) << 9) + size, least[first].astype(np.int64), block.view(np.int64)))
+        out.append(((first + begin << 10) + (moves.astype(np.int64) << 9) + size, least[first].astype(np.int64), block))
     if not out:
         empty = np.empty(0, np.int64)
-        return empty, empty, empty
+        return empty, empty, np.empty((0, 2), np.uint64)
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
@@ -123,6 +122,12 @@ def text_key(data: bytes) -> bytes:
     return hashlib.blake2b(data, digest_size=12).digest()
 
 
+def _digests(block: np.ndarray) -> pa.Array:
+    """Rows of two numbers as 16 bytes each."""
+    fixed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(block), [None, pa.py_buffer(np.ascontiguousarray(block))])
+    return fixed.cast(pa.binary())
+
+
 def _runs(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -132,7 +137,7 @@ def _runs(length: int):
             def flush():
                 key, place, anchor, block = columns
                 keys = pa.DictionaryArray.from_arrays(pa.array(np.repeat(np.arange(len(key)), [len(x) for x in place])), pa.array(key, pa.binary())).cast(pa.binary())
-                return pa.RecordBatch.from_arrays([keys, pa.array(np.concatenate(place)), pa.array(np.concatenate(anchor)), pa.array(np.concatenate(block))], names=["key", "place", "anchor", "block"])
+                return pa.RecordBatch.from_arrays([keys, pa.array(np.concatenate(place)), pa.array(np.concatenate(anchor)), _digests(np.concatenate(block))], names=["key", "place", "anchor", "block"])
 
             for text in batch.column("text"):
                 data = (text.as_py() or "").encode()
@@ -175,7 +180,7 @@ def _bytes_of(length: int):
                 wanted = batch.column("wanted")[k].as_py()
                 cut = [(x["place"] >> 10, x["place"] & 511) for x in wanted]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([x[c] for x in wanted], pa.int64()) for c in ("anchor", "block")] + [pa.array([data[s : s + n + length - 1] for s, n in cut], pa.binary())],
+                    [pa.array([x[c] for x in wanted], kind) for c, kind in (("anchor", pa.int64()), ("block", pa.binary()))] + [pa.array([data[s : s + n + length - 1] for s, n in cut], pa.binary())],
                     names=["anchor", "block", "bytes"],
                 )
 
@@ -198,7 +203,7 @@ def _transformed(length: int):
 
         def flush():
             found = [(a, b, r) for a, b, x in zip(anchors, blocks, repeated_starts(texts, length)) if (r := _as_ranges(x))]
-            kinds = (pa.int64(), pa.int64(), _RANGES)
+            kinds = (pa.int64(), pa.binary(), _RANGES)
             return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], kind) for k, kind in enumerate(kinds)], names=["anchor", "block", "ranges"])
 
         for batch in batches:
@@ -216,13 +221,13 @@ def _transformed(length: int):
     return run
 
 
-def _hashed(length: int):
+def _strings(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, x in zip(*(batch.column(c).to_pylist() for c in ("anchor", "block", "bytes"))):
-                h = window_hashes(x, length).view(np.int64)
-                n = len(h)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, a)), pa.array(np.full(n, b)), pa.array(h), pa.array(np.arange(n, dtype=np.int32))], names=["anchor", "block", "hash", "at"])
+                n = len(x) - length + 1
+                each = pa.array([x[k : k + length] for k in range(n)], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, a)), pa.array([b] * n, pa.binary()), each, pa.array(np.arange(n, dtype=np.int32))], names=["anchor", "block", "string", "at"])
 
     return run
 
@@ -263,7 +268,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """``doc_id``, n_bytes, n_removed, n_spans long and kept binary (the remaining bytes), one row per row of ``docs``."""
     plain = docs.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text"))
     id_type = plain.schema["id"].dataType.simpleString()
-    all_runs = plain.select("text").mapInArrow(_runs(length), "key binary, place bigint, anchor bigint, block bigint")
+    all_runs = written(plain.select("text").mapInArrow(_runs(length), "key binary, place bigint, anchor bigint, block binary"))
     shared = all_runs.groupBy("anchor").agg(F.sum(1 + _moves("place")).alias("n")).filter("n > 1").select(F.col("anchor").alias("a"))
     repeated = written(all_runs.join(shared, F.col("anchor") == F.col("a")).drop("a"))
 
@@ -275,16 +280,16 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     mixed_kinds = kinds.join(by_anchor, F.col("anchor") == F.col("a")).select("anchor", "block", "of.key", "of.place", "n_blocks")
     wanted = mixed_kinds.groupBy(F.col("key").alias("k")).agg(F.collect_list(F.struct("anchor", "block", "place")).alias("wanted"))
     packed = plain.mapInArrow(_packed, f"id {id_type}, key binary, packed binary")
-    blocks = packed.join(wanted, F.col("key") == F.col("k")).select("key", "packed", "wanted").mapInArrow(_bytes_of(length), "anchor bigint, block bigint, bytes binary")
+    blocks = packed.join(wanted, F.col("key") == F.col("k")).select("key", "packed", "wanted").mapInArrow(_bytes_of(length), "anchor bigint, block binary, bytes binary")
     hot_anchors = by_anchor.filter(F.col("n_blocks") > hot).select("a")
     blocks = written(blocks.join(hot_anchors, F.col("anchor") == F.col("a"), "left").withColumn("hot", F.col("a").isNotNull()).drop("a"))
 
-    ranges = "anchor bigint, block bigint, ranges array<struct<low:int,high:int>>"
+    ranges = "anchor bigint, block binary, ranges array<struct<low:int,high:int>>"
     some = blocks.filter("NOT hot").select("anchor", "block", "bytes").repartition("anchor").sortWithinPartitions("anchor", "block")
     found = some.mapInArrow(_transformed(length), ranges)
-    strings = blocks.filter("hot").select("anchor", "block", "bytes").mapInArrow(_hashed(length), "anchor bigint, block bigint, hash bigint, at int")
-    twice = strings.groupBy("anchor", "hash").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("anchor").alias("a"), F.col("hash").alias("h"))
-    single = strings.join(twice, (F.col("anchor") == F.col("a")) & (F.col("hash") == F.col("h"))).groupBy("anchor", "block").agg(
+    strings = blocks.filter("hot").select("anchor", "block", "bytes").mapInArrow(_strings(length), "anchor bigint, block binary, string binary, at int")
+    twice = strings.groupBy("anchor", "string").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("anchor").alias("a"), F.col("string").alias("s"))
+    single = strings.join(twice, (F.col("anchor") == F.col("a")) & (F.col("string") == F.col("s"))).groupBy("anchor", "block").agg(
         F.collect_list(F.struct(F.col("at").alias("low"), F.col("at").alias("high"))).alias("ranges")
     )
     part = found.unionByName(single)
