@@ -4,9 +4,13 @@ Documents are tokenised whole. A document longer than a row is split without
 loss: full rows first, then its rest. What is shorter than a row is packed by
 best-fit decreasing: pieces in descending length go to the open row with the
 least room that suffices, which a segment tree over the amounts of room finds
-in O(log row length). Packing works on groups of at most ``group_docs``
-documents within a task, so memory is bounded and no shuffle is needed; a
-group leaves about half a row unused at most in practice.
+in O(log row length).
+
+Documents are dealt to buckets by a hash of id and text and sorted by it, and
+packed in groups of at most ``group_docs`` documents or ``GROUP_TOKENS`` tokens
+of that order. So the rows depend on the documents alone, not on the files or
+tasks they come from, and memory is bounded. A group leaves about half a row
+unused at most in practice.
 
 Each row of the result is one row of the matrix: ``ids`` (little-endian
 32-bit, padded with ``pad_id``), ``cu_seqlens`` (cumulative lengths of its
@@ -30,9 +34,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, tokenizer_path
+from .common import released, table, tokenizer_path
 
 ROW, GROUP_DOCS, GROUP_TOKENS = 2048, 4096, 4_000_000
+#: Documents in a bucket, on average.
+BUCKET_DOCS = 65_536
 
 
 @functools.lru_cache(maxsize=1)
@@ -113,6 +119,10 @@ def packed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", row: int
     path = tokenizer_path(vocabulary)
     plain = docs.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text"))
     kind = plain.schema["id"].dataType
+    n_buckets = max(1, -(-plain.count() // BUCKET_DOCS))
+    key = F.xxhash64("id", "text")
+    plain = plain.filter("text <> ''").select("id", "text", key.alias("key"), F.pmod(key, F.lit(n_buckets)).alias("bucket"))
+    plain = plain.repartition("bucket").sortWithinPartitions("bucket", "key", "id", "text")
     id_arrow = to_arrow_type(kind)
 
     def group(ids: list, tokens: list[np.ndarray]) -> pa.RecordBatch:
@@ -130,17 +140,20 @@ def packed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", row: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = tokenizer(path).encode_ordinary
-        ids, tokens, total = [], [], 0
+        ids, tokens, total, bucket = [], [], 0, None
         for batch in batches:
-            for d, t in zip(batch.column("id"), batch.column("text")):
-                ids.append(d.as_py())
-                tokens.append(np.array(encode(t.as_py() or ""), dtype="<i4"))
-                total += len(tokens[-1])
-                if len(ids) >= group_docs or total >= GROUP_TOKENS:
+            for d, t, b in zip(batch.column("id"), batch.column("text"), batch.column("bucket").to_pylist()):
+                if ids and (b != bucket or len(ids) >= group_docs or total >= GROUP_TOKENS):
                     yield group(ids, tokens)
                     ids, tokens, total = [], [], 0
+                bucket = b
+                ids.append(d.as_py())
+                tokens.append(np.array(encode(t.as_py()), dtype="<i4"))
+                total += len(tokens[-1])
         if ids:
             yield group(ids, tokens)
+        ids, tokens = [], []
+        released()
 
     return plain.mapInArrow(run, f"ids binary, n_ids int, cu_seqlens array<int>, positions array<int>, doc_ids array<{kind.simpleString()}>, offsets array<bigint>")
 

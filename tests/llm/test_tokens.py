@@ -104,7 +104,15 @@ def test_packing_is_lossless(spark, sf):
     texts = dict(duckdb.sql(f"SELECT doc_id, text FROM '{sf}/documents.parquet'").fetchall())
     for d, text in texts.items():
         assert [i for _, p in sorted(parts.get(d, [])) for i in p] == encode(text or "")
-    assert len(rows) <= -(-sum(r.n_ids for r in rows) // packing.ROW) + 8 + 1
+    assert len(rows) <= -(-sum(r.n_ids for r in rows) // packing.ROW) + 1
+
+
+def test_rows_do_not_depend_on_splits(spark, sf, monkeypatch):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    monkeypatch.setattr(packing, "BUCKET_DOCS", 30)
+    as_rows = lambda df: sorted((bytes(r.ids), r.cu_seqlens, r.doc_ids, r.offsets) for r in packing.packed(df, group_docs=12, row=256).collect())
+    want = as_rows(docs.coalesce(1))
+    assert want == as_rows(docs.repartition(7)) == as_rows(docs.orderBy("text").repartition(3, "text")) and len(want) > 50
 
 
 def test_best_fit_against_brute_force():
