@@ -237,9 +237,10 @@ def test_query_against_brute_force_and_planted_identifiers(spark, sf, tmp_path):
     rng = random.Random(21)
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
     texts, planted, clean = [], {}, set()
-    for i in range(60):
+    cards = iter(n for n in map(str, range(4_111_111_111_111_111, 4_111_111_111_119_999)) if luhn(n))
+    for i in range(150):
         lead = rng.choice(["Please contact member ", "our client Reference: ", "his card number "])
-        known = {"P": f"u{i}@mail.org", "o": f"+44 20 7946 {i:04d}", "h": "4111111111111111"}[lead[0]] if lead[0] != "h" else rng.choice(["4111111111111111", "5500005555555559", "6011000000000004", "30000000000004"])
+        known = {"P": f"u{i}@mail.org", "o": f"+44 20 7946 {i:04d}", "h": next(cards)}[lead[0]]
         texts.append(f"Word {'abc'[i % 3]} goes here. {lead}{known} and so on.")
     for i in range(20):
         lead = rng.choice(["Please contact member ", "our client Reference: ", "his card number "])
