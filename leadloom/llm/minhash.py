@@ -327,3 +327,32 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     # of rows that share id and text the least as a whole, so that a run gives what the last one gave
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     return out.groupBy("__node", "doc_id").agg(F.min(row).alias("__row")).select(*[F.col(f"__row.`{c}`").alias(c) for c in docs.columns])
+
+
+#: Classes by all pairs of texts that share a shingle.
+OP3_SQL = r"""
+WITH RECURSIVE node AS (
+  SELECT row_number() OVER () AS node, text, min(doc_id) AS least FROM documents GROUP BY text
+), w AS (
+  SELECT node, list_filter(regexp_split_to_array(lower(text), '[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+'), lambda x: x <> '') AS words
+  FROM node WHERE text IS NOT NULL
+), g AS (
+  SELECT node, shingle, count(*) AS n FROM (
+    SELECT node, unnest(list_transform(range(1, len(words) - 3), lambda i: array_to_string(list_slice(words, i, i + 4), ' '))) AS shingle FROM w WHERE len(words) >= 5
+    UNION ALL SELECT node, array_to_string(words, ' ') FROM w WHERE len(words) BETWEEN 1 AND 4
+  ) GROUP BY node, shingle
+), size AS (
+  SELECT node, sum(n) AS n FROM g GROUP BY node
+), common AS (
+  SELECT x.node AS a, y.node AS b, sum(least(x.n, y.n)) AS n FROM g x JOIN g y USING (shingle) WHERE x.node < y.node GROUP BY ALL
+), link AS (
+  SELECT a, b FROM common JOIN size p ON p.node = a JOIN size q ON q.node = b WHERE 5 * common.n >= 4 * (p.n + q.n - common.n)
+), edge AS (
+  SELECT a AS x, b AS y FROM link UNION SELECT b, a FROM link
+), reach AS (
+  SELECT node AS x, node AS y FROM node UNION SELECT reach.x, edge.y FROM reach JOIN edge ON edge.x = reach.y
+), class AS (
+  SELECT x AS node, min(least) AS class_id FROM reach JOIN node ON node.node = y GROUP BY x
+)
+SELECT doc_id, class_id FROM documents JOIN node ON documents.text IS NOT DISTINCT FROM node.text JOIN class USING (node)
+"""

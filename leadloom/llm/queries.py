@@ -25,4 +25,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_formatting": chat.OP1_SQL, "op2_url_filters": urls.OP2_SQL, "op4_quality_rules": quality.OP4_SQL}
+    return {
+        "op1_chat_formatting": chat.OP1_SQL,
+        "op2_url_filters": urls.OP2_SQL,
+        "op3_minhash": minhash.OP3_SQL,
+        "op4_quality_rules": quality.OP4_SQL,
+        "op5_repeated_substrings": substrings.OP5_SQL,
+        "op9_pii": pii.OP9_SQL,
+    }

@@ -307,3 +307,33 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 def op5_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: Every string of 200 bytes, counted.
+OP5_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, encode(coalesce(text, '')) AS b FROM documents
+), n AS (
+  SELECT rid, doc_id, b, octet_length(b) AS size FROM d
+), w AS (
+  SELECT rid, i, array_slice(b, i + 1, i + 200) AS s FROM (SELECT rid, b, unnest(range(size - 199)) AS i FROM n WHERE size >= 200)
+), twice AS (
+  SELECT s FROM w GROUP BY s HAVING count(*) > 1
+), hit AS (
+  SELECT rid, i, lag(i) OVER (PARTITION BY rid ORDER BY i) AS before FROM w SEMI JOIN twice USING (s)
+), run AS (
+  SELECT rid, i, sum(CASE WHEN before IS NULL OR i > before + 200 THEN 1 ELSE 0 END) OVER (PARTITION BY rid ORDER BY i) AS k FROM hit
+), gone AS (
+  SELECT rid, k, min(i) AS low, max(i) + 200 AS high FROM run GROUP BY rid, k
+), piece AS (
+  SELECT rid, coalesce(lag(high) OVER (PARTITION BY rid ORDER BY low), 0) AS a, low AS z FROM gone
+  UNION ALL SELECT rid, max(high), CAST(NULL AS BIGINT) FROM gone GROUP BY rid
+), kept AS (
+  SELECT rid, string_agg(hex(array_slice(b, a + 1, coalesce(z, size))), '' ORDER BY a) AS h FROM piece JOIN n USING (rid) WHERE coalesce(z, size) > a GROUP BY rid
+), total AS (
+  SELECT rid, CAST(sum(high - low) AS BIGINT) AS n_removed, count(*) AS n_spans FROM gone GROUP BY rid
+)
+SELECT doc_id, size AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  CASE WHEN n_removed IS NULL THEN sha256(b) ELSE sha256(unhex(coalesce(h, ''))) END AS kept_sha256
+FROM n LEFT JOIN total USING (rid) LEFT JOIN kept USING (rid)
+"""
