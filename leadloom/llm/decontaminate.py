@@ -8,7 +8,10 @@ Words are split at white space, in lower case, without punctuation at the ends.
    unchanged, so it shares a run of ``q`` words with the document, where q
    follows from length and K (3 at most, less for short items). Such runs are
    looked up for all positions of a text at once; each proposes the item-sized
-   window at its offset. This loses no leak and leaves few windows.
+   window at its offset. K edits leave all but K * q of an item's runs, and
+   shift none by more than K words, so a window counts only if so many runs
+   are shared around it: a phrase that many items have proposes none of them.
+   This loses no leak and leaves few windows.
 2. CGK. A window is read by a walk that copies the word under its pointer and
    moves on or stays by a random bit of (step, word). Equal words move alike,
    so edit distance becomes Hamming distance of the copies. ``reps`` walks.
@@ -22,8 +25,11 @@ Words are split at white space, in lower case, without punctuation at the ends.
    which must not exceed the edits allowed, nor the least distance known.
    The result is that of verifying every window.
 
-The benchmark is used in blocks of at most ``block_bytes`` of text, each sent
-to the executors by itself; texts are never shuffled or collected.
+The benchmark is used in blocks of about ``block_bytes`` of text, and
+``pass_blocks`` of them go to the executors for a pass over the texts. A larger
+benchmark takes several passes, with the rows written in between, so neither
+the driver nor an executor holds more than a pass. Texts are never shuffled or
+collected.
 
 Cases: null texts and items count as empty; an empty item leaks nowhere;
 texts are searched whole, in groups of bounded size; repeated rows stay and are
@@ -43,7 +49,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import in_batches, other_names, released, table
+from .common import in_batches, other_names, released, table, written
 from .shingles import hashes_of, mixed
 
 REPS, TABLES, BITS = 16, 8, 3
@@ -141,6 +147,7 @@ class Detector:
     def windows(self, h: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Rows (text, item, first word counted from the start of all texts) of the proposed windows."""
         found = []
+        span = len(h) + 2 * self.longest + 2
         for q, (gram, item, offset) in self.runs.items():
             own = _grams(h, q)
             lo = np.searchsorted(gram, own)
@@ -154,7 +161,15 @@ class Detector:
             count = hi - lo
             pos = np.repeat(hit, count)
             entry = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(lo, count)
-            found.append(np.column_stack([np.repeat(doc, count), item[entry], pos - offset[entry]]))
+            doc, which, start = np.repeat(doc, count), item[entry], pos - offset[entry]
+            # runs that are shared within 2 K words of where this one puts the item
+            key = (doc * len(self.words) + which) * span + start + self.longest
+            order = np.argsort(key)
+            key, doc, which, start = key[order], doc[order], which[order], start[order]
+            reach = 2 * self.edits[which]
+            near = np.searchsorted(key, key + reach, side="right") - np.searchsorted(key, key - reach)
+            keep = near >= self.size[which] - q + 1 - q * self.edits[which]
+            found.append(np.column_stack([doc[keep], which[keep], start[keep]]))
         return np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 3), np.int64)
 
     def detect(self, texts: list[str | None]) -> list[list[dict]]:
@@ -197,7 +212,7 @@ def _leak_type(item_type: T.DataType) -> T.ArrayType:
 
 
 def leaks(
-    docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", similarity: float = 0.8, block_bytes: int = 4_000_000
+    docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", similarity: float = 0.8, block_bytes: int = 4_000_000, pass_blocks: int = 8
 ) -> DataFrame:
     """``docs`` with __leaks array<struct<item_id, n_edits, end_word>> added (in place of such a column): the items that occur in each whole text."""
     from pyspark.sql.pandas.types import to_arrow_type
@@ -211,20 +226,26 @@ def leaks(
     schema = out.schema
     arrow = to_arrow_type(kind)
     context = docs.sparkSession.sparkContext
-    for block in range(n_blocks):
-        mine = items.filter(F.pmod(F.xxhash64("id", "text"), F.lit(n_blocks)) == block)
-        shared = context.broadcast([(r.id, r.text) for r in mine.collect()])
+    items = items.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(n_blocks)))
+    for first in range(0, n_blocks, pass_blocks):
+        blocks: dict[int, list] = {}
+        for r in items.filter(F.col("block").between(first, first + pass_blocks - 1)).collect():
+            blocks.setdefault(r.block, []).append((r.id, r.text))
+        shared = context.broadcast(list(blocks.values()))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            detector = Detector(shared.value, similarity)
+            detectors = [Detector(block, similarity) for block in shared.value]
             for part, texts in in_batches(batches, text, 1024, 2_000_000):
-                before = part.column("__leaks").to_pylist()
-                found = pa.array([a + b for a, b in zip(before, detector.detect(texts))], arrow)
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], found], names=part.schema.names)
-            del detector
+                found = part.column("__leaks").to_pylist()
+                for detector in detectors:
+                    found = [a + b for a, b in zip(found, detector.detect(texts))]
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(found, arrow)], names=part.schema.names)
+            detectors.clear()
             released()
 
         out = out.mapInArrow(run, schema)
+        if first + pass_blocks < n_blocks:
+            out = written(out)
     return out
 
 

@@ -177,12 +177,23 @@ def test_long_leaks_at_the_greatest_distance():
             assert hits == [{"item_id": k, "n_edits": distance, "end_word": end}], (kind, sizes[k])
 
 
+def test_a_phrase_of_many_items_proposes_none_of_them():
+    stem = "which of these statements about the following passage is true"
+    items = [(k, f"{stem} " + " ".join(f"i{k}w{j}" for j in range(30))) for k in range(300)]
+    detector = decontaminate.Detector(items)
+    texts = [" ".join(f"{stem} " + " ".join(f"f{k}x{n}w{j}" for j in range(20)) for n in range(5)) for k in range(10)] + [f"intro {items[7][1]} outro"]
+    all_words = [w for t in texts for w in decontaminate.words(t)]
+    ends = np.cumsum([len(decontaminate.words(t)) for t in texts])
+    assert {i for _, i, _ in detector.windows(decontaminate.hashes_of(all_words), ends).tolist()} == {7}
+    assert [[x["item_id"] for x in hits] for hits in detector.detect(texts)] == [[]] * 10 + [[7]]
+
+
 def test_leaks_of_defined_cases(spark, sf):
     bench = spark.createDataFrame([(1, "alpha beta gamma delta epsilon zeta eta theta iota kappa"), (2, None), (3, ""), (4, "solo"), (None, "one two three four five six")], "item_id long, text string")
     rows = [(1, "x Alpha beta, gamma delta epsilon zeta eta theta iota kappa! y", "c"), (2, None, "c"), (3, "alpha beta gamma", "c"), (None, "a solo b", "c"), (5, "one two three four five six", "c"), (5, "one two three four five six", "c")]
     df = spark.createDataFrame(rows, "doc_id long, text string, item_id string")
-    for block in (4_000_000, 30):
-        got = decontaminate.leaks(df, bench, block_bytes=block).collect()
+    for block, blocks in ((4_000_000, 8), (30, 8), (30, 1)):
+        got = decontaminate.leaks(df, bench, block_bytes=block, pass_blocks=blocks).collect()
         assert sorted((str(r.doc_id), sorted(str(x.item_id) for x in r["__leaks"])) for r in got) == [("1", ["1"]), ("2", []), ("3", []), ("5", ["None"]), ("5", ["None"]), ("None", ["4"])]
     assert decontaminate.leaks(df, bench.limit(0)).count() == 6 and decontaminate.leaks(df.limit(0), bench).count() == 0
 
