@@ -38,7 +38,7 @@ from .common import released, table, tokenizer_path
 
 ROW, GROUP_DOCS, GROUP_TOKENS = 2048, 4096, 4_000_000
 #: Documents in a bucket, on average.
-BUCKET_DOCS = 65_536
+BUCKET_DOCS = 16_384
 
 
 @functools.lru_cache(maxsize=1)
