@@ -6,7 +6,7 @@ from .functions.normalize import COMPANY_WORDS, COUNTRIES, LIFECYCLES, STATUS_AL
 from .operators.attribution import LANDING_PAGE, NO_NOTES, NO_RULE, NO_SOURCE, RULES
 from .operators.dashboard import AXES
 from .queries import AS_OF_ORDERS, LEADS, SHORT
-from .schemas import EXPORT_COLUMNS, LEAD_RESPONSE, SIGNALS, STATUSES
+from .schemas import EXPORT_COLUMNS, LEAD_RESPONSE, SIGNALS, STATUSES, SUBMISSION
 from .sources.fixture import CRM_SQL, SUBS_SQL
 
 
@@ -236,6 +236,67 @@ def _with(ctes: str, tail: str) -> str:
     return f"WITH RECURSIVE {ctes}\n{tail}"
 
 
+def _ingest() -> str:
+    """CTEs up to ``acts``: the submissions of each component one after the other, with what was created, filled in and hinted at before as lists."""
+    hint = lambda x: f"coalesce(contains(lower({x}), 'possible duplicate'), false)"
+    form = "'[Form: ' || coalesce(form_name, 'None') || '] ' || message"
+    known = "coalesce(filled_numbers[list_position(filled, c.target)], c.number)"
+    phone_score = f"CASE WHEN own = '' OR {known} = '' THEN 0e0 WHEN own = {known} THEN 1e0 WHEN length(own) >= 10 AND length({known}) >= 10 AND right(own, 10) = right({known}, 10) THEN 8e-1 ELSE 0e0 END"
+    hints = "CASE WHEN c.hint OR list_contains(hinted, c.target) THEN 1e0 ELSE 0e0 END"
+    total = f"c.email * 35e-2 + ({phone_score}) * 25e-2 + c.name * 2e-1 + c.company * 15e-2 + {hints} * 5e-2"
+    met = f"list_filter(list_transform(list_filter(cands, lambda c: (c.target >= 0 OR list_contains(made, c.target)) AND (c.plain OR ({phone_score}) > 0)), lambda c: {{'s': {total}, 'r': -c.rank, 'target': c.target, 'fillable': c.fillable}}), lambda x: x.s >= 0.6)"
+    return f"""{CRM_SQL},{WHO},leads AS ({_LEADS.split('leads AS (', 1)[1]},{_SUBS},
+top AS (SELECT max(id) AS top FROM leads),
+targets AS (
+  SELECT id, id AS rank, first_name, last_name, full_name, company_name, email, phone_number, phone_normalized, notes FROM leads
+  UNION ALL SELECT -id - 1, top + 1 + id, first_name, last_name, full_name, company_name, probes.email, phone_number, phone_normalized, CASE WHEN message <> '' THEN {form} END
+  FROM probes JOIN subs ON pos = id, top
+),
+pk AS ({_keys('probes')}), tk AS ({_keys('targets')}),
+met AS (
+  SELECT pk.id AS lead_id_1, tk.id AS lead_id_2, max(key_type NOT IN ('phone_normalized', 'phone_suffix_10')) AS plain, max(key_type IN ('phone_normalized', 'phone_suffix_10')) AS by_phone
+  FROM pk JOIN tk USING (key_type, key) WHERE tk.id >= 0 OR -tk.id - 1 < pk.id GROUP BY ALL
+),
+shared AS ( -- without a common number or domain no pair gets over 0.4
+  SELECT lead_id_1, lead_id_2, plain FROM met JOIN probes p ON p.id = lead_id_1 JOIN targets t ON t.id = lead_id_2
+  WHERE by_phone OR split_part(p.email, '@', 2) = split_part(t.email, '@', 2)
+),
+tails AS (SELECT id, right(phone_normalized, 10) AS tail FROM probes WHERE phone_normalized <> ''),
+given AS (SELECT DISTINCT tail, lead_id_2 FROM shared JOIN tails ON id = lead_id_1 JOIN targets ON targets.id = lead_id_2 WHERE coalesce(phone_number, '') = ''),
+moved AS (SELECT DISTINCT tails.id AS lead_id_1, lead_id_2 FROM given JOIN tails USING (tail) WHERE lead_id_2 >= 0 OR -lead_id_2 - 1 < tails.id),
+pairs AS (SELECT lead_id_1, lead_id_2, plain FROM shared UNION ALL SELECT lead_id_1, lead_id_2, false FROM moved ANTI JOIN shared USING (lead_id_1, lead_id_2)),
+{_scored('pairs', 'probes', 'targets')},
+able AS (SELECT * FROM scored WHERE email * 35e-2 + name * 2e-1 + company * 15e-2 + 3e-1 >= 0.6 - 1e-9),
+cand AS (
+  SELECT lead_id_1 AS pos, list({{'target': lead_id_2, 'rank': rank, 'plain': plain, 'fillable': coalesce(phone_number, '') = '', 'email': scored.email, 'name': name, 'company': company, 'number': b.p, 'hint': a.h OR b.h}}) AS cands
+  FROM able AS scored JOIN pairs USING (lead_id_1, lead_id_2) JOIN targets ON targets.id = lead_id_2 GROUP BY lead_id_1
+),
+edge AS (SELECT -lead_id_1 - 1 AS x, lead_id_2 AS y FROM able UNION SELECT lead_id_2, -lead_id_1 - 1 FROM able),
+reach AS (SELECT x AS node, x AS other FROM edge UNION SELECT reach.node, edge.y FROM reach JOIN edge ON edge.x = reach.other),
+part AS (SELECT node, min(other) AS g FROM reach GROUP BY node),
+todo AS (
+  SELECT coalesce(g, -id - 1) AS g, row_number() OVER (PARTITION BY coalesce(g, -id - 1) ORDER BY id) AS n, id AS pos, fp.p AS own, coalesce(phone, '') <> '' AS gives, {strip("coalesce(message, '')")} <> '' AND {hint(form)} AS adds, coalesce(cands, []) AS cands
+  FROM probes JOIN subs ON subs.pos = id JOIN fl fp USING (id) LEFT JOIN cand ON cand.pos = id LEFT JOIN part ON node = -id - 1
+),
+walk AS (
+  SELECT DISTINCT g, CAST(0 AS BIGINT) AS n, CAST(-1 AS BIGINT) AS pos, CAST([] AS BIGINT[]) AS made, CAST([] AS BIGINT[]) AS filled, CAST([] AS VARCHAR[]) AS filled_numbers, CAST([] AS BIGINT[]) AS hinted, CAST(NULL AS BIGINT) AS target, CAST(NULL AS DOUBLE) AS confidence FROM todo
+  UNION ALL
+  SELECT g, n, pos, CASE WHEN best IS NULL THEN list_append(made, -pos - 1) ELSE made END,
+    CASE WHEN fills THEN list_append(filled, best.target) ELSE filled END, CASE WHEN fills THEN list_append(filled_numbers, own) ELSE filled_numbers END,
+    CASE WHEN best IS NOT NULL AND adds THEN list_append(hinted, best.target) ELSE hinted END, best.target, best.s
+  FROM (
+    SELECT *, coalesce(gives AND best.fillable AND NOT list_contains(filled, best.target), false) AS fills FROM (
+      SELECT todo.g, todo.n, todo.pos, made, filled, filled_numbers, hinted, own, gives, adds, list_sort({met}, 'DESC')[1] AS best FROM walk JOIN todo ON todo.g = walk.g AND todo.n = walk.n + 1
+    )
+  )
+),
+born AS (SELECT pos, top + row_number() OVER (ORDER BY pos) AS id FROM walk, top WHERE n > 0 AND target IS NULL),
+acts AS (
+  SELECT walk.pos, target IS NULL AS created, coalesce(born.id, older.id, target) AS lead_id, confidence
+  FROM walk LEFT JOIN born ON born.pos = walk.pos LEFT JOIN born older ON older.pos = -target - 1 WHERE n > 0
+)"""
+
+
 def _norm(column: str, value: str) -> str:
     return _with(CRM_SQL, f"SELECT id, {column} AS raw, {value} AS value FROM crm")
 
@@ -347,4 +408,16 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY lead_id_1 ORDER BY confiden
         ),
         "best_match": _with(best, "SELECT lead_id_1 AS probe, lead_id_2 AS lead_id, round(confidence, 6) AS confidence FROM ranked WHERE r = 1"),
     }
+    sent = "CASE WHEN created THEN 'created' ELSE 'updated' END"
+    payload = ", ".join(f"{c} := subs.{c}" for c in SUBMISSION.names)
+    out["ingest_result"] = _with(
+        _ingest(),
+        f"SELECT subs.pos, CASE WHEN acts.pos IS NULL THEN email ELSE lower({strip('email')}) END AS email, CASE WHEN acts.pos IS NULL THEN 'skipped' ELSE {sent} END AS action, lead_id, round(confidence, 4) AS match_confidence "
+        "FROM subs LEFT JOIN acts USING (pos)",
+    )
+    out["ingest_totals"] = _with(_ingest(), "SELECT count(*) FILTER (WHERE created) AS created, count(*) FILTER (WHERE NOT created) AS updated, CAST(0 AS BIGINT) AS potential_duplicates FROM acts")
+    out["ingest_audit"] = _with(
+        _ingest(),
+        f"SELECT form_id, form_name, page_url, {stamp_text(stamp('submitted_at'))} AS submitted_at, CAST(to_json(struct_pack({payload})) AS VARCHAR) AS raw_payload, lead_id FROM acts JOIN subs USING (pos)",
+    )
     return out | {f"dashboard_by_{a}": _with(_ATTRIBUTED, blank_to_null(c)) for a, c in AXES.items()}
