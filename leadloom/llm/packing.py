@@ -122,7 +122,8 @@ def packed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", row: int
     n_buckets = max(1, -(-plain.count() // BUCKET_DOCS))
     key = F.xxhash64("id", "text")
     plain = plain.filter("text <> ''").select("id", "text", key.alias("key"), F.pmod(key, F.lit(n_buckets)).alias("bucket"))
-    plain = plain.repartition("bucket").sortWithinPartitions("bucket", "key", "id", "text")
+    # as many partitions as buckets, so that what a task reads does not grow with the input
+    plain = plain.repartition(n_buckets, "bucket").sortWithinPartitions("bucket", "key", "id", "text")
     id_arrow = to_arrow_type(kind)
 
     def group(ids: list, tokens: list[np.ndarray]) -> pa.RecordBatch:
