@@ -52,6 +52,20 @@ def keys(leads: DataFrame) -> DataFrame:
 PHONE_KEYS = ("phone_normalized", "phone_suffix_10")
 
 
+def plain_kinds(with_contact: bool) -> dict[str, Column]:
+    """Keys by kind, but those of numbers.
+
+    ``with_contact``: for matches over a threshold that name, company and hint
+    alone can't reach. Such pairs share an e-mail domain or a number, so a
+    company and first name count together with the domain only.
+    """
+    kinds = {k: v for k, v in _key_columns().items() if k not in PHONE_KEYS}
+    domain = kinds.pop("domain")
+    if with_contact:
+        kinds["company_firstname"] = F.concat(kinds["company_firstname"], F.lit("|"), domain)
+    return kinds
+
+
 def match_keys(leads: DataFrame) -> DataFrame:
     """``keys`` for matches over a threshold that name, company and hint alone can't reach.
 
@@ -77,10 +91,3 @@ def candidate_pairs(leads: DataFrame, most: int = MOST_PER_BUCKET) -> DataFrame:
     other = kept.withColumnRenamed("id", "other")
     pairs = kept.join(other, ["key_type", "key"]).filter(F.col("id") < F.col("other"))
     return pairs.select(F.col("id").alias("lead_id_1"), F.col("other").alias("lead_id_2")).distinct()
-
-
-def probe_pairs(probes: DataFrame, leads: DataFrame, by=None) -> DataFrame:
-    """probe, id: leads that share a key with a probe; buckets of any size. ``probes`` has its number in ``id``; ``by`` makes the keys."""
-    by = by or keys
-    p = by(probes).withColumnRenamed("id", "probe")
-    return p.join(by(leads), ["key_type", "key"]).select("probe", "id").distinct()

@@ -29,7 +29,8 @@ from ..functions import normalize as N
 from ..schemas import SUBMISSION
 from ..storage import written
 from .attribution import source
-from .blocking import PHONE_KEYS, match_keys, probe_pairs
+from . import classes
+from .blocking import PHONE_KEYS, match_keys, plain_kinds
 from .components import components
 from .scoring import SCORES, THRESHOLD, WEIGHTS, feature_struct, most, phone_score, scored
 
@@ -65,14 +66,37 @@ def transient(subs: DataFrame) -> DataFrame:
 
 
 def best_matches(probes: DataFrame, leads: DataFrame, threshold: float = THRESHOLD, order: str = "id") -> DataFrame:
-    """probe, lead_id, confidence of the best lead for each probe that has one; the least ``order`` among equals."""
-    by = match_keys if threshold > _WITHOUT_CONTACT else None
-    pairs = probe_pairs(probes, leads, by).select(F.col("probe").alias("lead_id_1"), F.col("id").alias("lead_id_2"))
-    found = scored(pairs, probes, leads, at_least=threshold)
-    rank = F.struct(F.col("confidence"), -F.col("rank"))
-    places = leads.select(F.col("id").alias("lead_id_2"), F.col(order).alias("rank"))
-    best = found.join(places, "lead_id_2").groupBy("lead_id_1").agg(F.max_by(F.struct("lead_id_2", "confidence"), rank).alias("b"))
-    return best.select(F.col("lead_id_1").alias("probe"), F.col("b.lead_id_2").alias("lead_id"), F.col("b.confidence").alias("confidence"))
+    """probe, lead_id, confidence of the best lead for each probe that has one; the least ``order`` among equals.
+
+    Of a class of leads only the first can be best, so probes and leads meet by
+    class, and by class and number where they share one. Pairs by class count
+    no number: where there is one, the other pairs say more of the same leads.
+    """
+    kinds = plain_kinds(threshold > _WITHOUT_CONTACT)
+    x = written(classes.members(probes, kinds, hint=True))
+    y = written(classes.members(leads, kinds, F.col(order).alias("rank"), hint=True))
+    first = F.min(F.struct("rank", "id")).alias("first")
+    of_class = lambda df, *more: df.groupBy("class").agg(F.first("f").alias("f"), F.first("k").alias("k"), *more)
+    left, right = of_class(x), of_class(y, first)
+    hint = F.when(F.col("a.hint") | F.col("b.hint"), 1.0).otherwise(0.0)
+
+    def best(pairs: DataFrame, phone: Column, *by: str) -> DataFrame:
+        found = classes.with_scores(pairs.withColumns({"phone": phone, "notes_hint": hint}))
+        found = found.withColumn("confidence", sum((F.col(k) * WEIGHTS[k] for k in list(WEIGHTS)[1:]), F.col("email") * WEIGHTS["email"])).filter(F.col("confidence") >= threshold)
+        return found.groupBy(*by).agg(F.max(F.struct("confidence", (-F.col("first.rank")).alias("rank"), F.col("first.id").alias("lead_id"))).alias("b"))
+
+    none = F.lit(0.0)
+    plain = best(classes.keyed_pairs(left, right, classes.reach(none, hint) >= threshold - 1e-9), none, "class")
+    number = lambda df, *more: df.filter("number <> ''").groupBy("class", "number").agg(F.first("f").alias("f"), F.first("k").alias("k"), *more).withColumn("tail", classes.tail(F.col("number")))
+    mine = number(x).select("class", "number", "tail", F.col("f").alias("a"), F.col("k").alias("ka"))
+    theirs = number(y, first).select(F.col("number").alias("their"), "tail", F.col("f").alias("b"), F.col("k").alias("kb"), "first")
+    phone = phone_score(F.struct(F.col("number").alias("phone")), F.struct(F.col("their").alias("phone")))
+    pairs = mine.join(theirs, "tail")
+    pairs = pairs.filter((phone > 0) & (classes.plain(pairs) | (F.length("number") >= 7)) & (classes.reach(phone, hint) >= threshold - 1e-9))
+    numbered = best(pairs, phone, "class", "number")
+    found = x.select("id", "class").join(plain, "class").select("id", "b").unionByName(x.select("id", "class", "number").join(numbered, ["class", "number"]).select("id", "b"))
+    found = found.groupBy(F.col("id").alias("probe")).agg(F.max("b").alias("b"))
+    return found.select("probe", F.col("b.lead_id").alias("lead_id"), F.col("b.confidence").alias("confidence"))
 
 
 def _form(text: Column) -> Column:

@@ -6,7 +6,7 @@ from leadloom import queries
 from leadloom.functions import normalize as N
 from leadloom.operators.attribution import source
 from leadloom.operators.blocking import keys
-from leadloom.operators.ingest import ingest, totals, transient
+from leadloom.operators.ingest import best_matches, ingest, totals, transient
 from leadloom.operators.scoring import features
 from leadloom.schemas import SUBMISSION
 from tests.test_resolve import leads, person
@@ -164,3 +164,33 @@ def test_hostile_batch_against_one_by_one(spark):
         for _ in range(150)
     ]
     same(spark, subs(spark, rows), leads(spark, base))
+
+
+def shuffled(spark, run):
+    """What ``run`` returns, and how many rows its stages have shuffled."""
+    store = spark.sparkContext._jsc.sc().statusStore()
+
+    def stages():
+        found = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+        return {(x.stageId(), x.attemptId()): x.shuffleWriteRecords() for x in (found.apply(i) for i in range(found.size()))}
+
+    before = stages()
+    out = run()
+    spark._jsc.sc().listenerBus().waitUntilEmpty()
+    return out, sum(n for k, n in stages().items() if k not in before)
+
+
+def copies(spark, n):
+    """n leads that read alike, of which every tenth has a hint, and n submissions of the same person."""
+    base = [person(k, "Ada", "Berg", "One", "ada@one.com", f"+1 555 {k:07}", notes="possible duplicate" if k % 10 == 0 else None) for k in range(1, n + 1)]
+    rows = [{"email": "ada@one.com", "name": "Ada Berg", "company": "One", "phone": f"555 {k:07}" if k % 3 == 0 else None} for k in range(n)]
+    return leads(spark, base), subs(spark, rows)
+
+
+def test_best_match_of_copies_without_their_pairs(spark):
+    base, batch = copies(spark, 500)
+    found, rows = shuffled(spark, lambda: best_matches(transient(batch), base).collect())
+    # the lead with the number: 0.35 + 0.8 * 0.25 + 0.20 + 0.15, and 0.05 with a hint; else the first with a hint
+    want = {k: (k, 0.95 if k % 10 == 0 else 0.9) if k % 3 == 0 and k else (10, 0.75) for k in range(500)}
+    assert {r.probe: (r.lead_id, round(r.confidence, 6)) for r in found} == want
+    assert rows < 20_000  # of 250,000 pairs
