@@ -66,18 +66,6 @@ def plain_kinds(with_contact: bool) -> dict[str, Column]:
     return kinds
 
 
-def match_keys(leads: DataFrame) -> DataFrame:
-    """``keys`` for matches over a threshold that name, company and hint alone can't reach.
-
-    Such pairs share an e-mail domain or a number, so a company and first name
-    count together with the domain only; those that share a number have its key.
-    """
-    kinds = _key_columns()
-    domain = kinds.pop("domain")
-    kinds["company_firstname"] = F.concat(kinds["company_firstname"], F.lit("|"), domain)
-    return _exploded(leads, kinds)
-
-
 def bucket_sizes(all_keys: DataFrame) -> DataFrame:
     """key_type, key, n: counted before the shuffle, so a hot key is one row per task."""
     return all_keys.groupBy("key_type", "key").agg(F.count("*").alias("n"))

@@ -5,14 +5,16 @@ or filled in. What one can change for another is little: a created lead, a
 phone number that was missing, or the hint in the notes. So everything else is
 computed once for the whole batch:
 
-1. Pairs of a submission and a lead, or an earlier submission whose lead may
-   come to be, by the keys of blocking, each with the scores that never change.
-   Pairs that could not reach the threshold with any change are dropped.
+1. Submissions and leads that read alike in all but number and hint are a class;
+   a lead that comes to be belongs to that of its submission. Pairs of classes
+   with a common key, or a number in common, each with the scores that never
+   change. Pairs that could not reach the threshold with any change are dropped.
 2. Pairs that come to share a number only: a lead without one may get it from
    one submission and be found by it by another.
 3. Components of these pairs. Submissions of different components can't affect
    each other; those of one are gone through in order, as a stream of sorted
-   rows. What is kept meanwhile is what the batch has changed, not its rows.
+   rows. Of leads that differ in nothing that counts only the first can be
+   chosen, so what is kept meanwhile is the first by class, number and hint.
 4. The leads that were changed or created are written anew; all others stay.
 """
 
@@ -28,11 +30,11 @@ from pyspark.sql import functions as F
 from ..functions import normalize as N
 from ..schemas import SUBMISSION
 from ..storage import written
-from .attribution import source
 from . import classes
-from .blocking import PHONE_KEYS, match_keys, plain_kinds
+from .attribution import source
+from .blocking import plain_kinds
 from .components import components
-from .scoring import SCORES, THRESHOLD, WEIGHTS, feature_struct, most, phone_score, scored
+from .scoring import THRESHOLD, WEIGHTS, phone_score
 
 #: Positions in a block when new ids are dealt in order.
 _BLOCK = 100_000
@@ -104,7 +106,7 @@ def _form(text: Column) -> Column:
 
 
 def _prepared(valid: DataFrame) -> DataFrame:
-    """id (pos), f, keys and what a submission can change: once for each."""
+    """Members of classes (``id`` is pos, ``hint`` that of the message) and what a submission can change: once for each."""
     form = _form(F.col("message"))
     flags = valid.select(
         F.col("pos").alias("p"),
@@ -112,21 +114,66 @@ def _prepared(valid: DataFrame) -> DataFrame:
         ((F.coalesce("message", F.lit("")) != "") & _hint(form)).alias("hint_new"),
         ((N.strip(F.coalesce("message", F.lit(""))) != "") & _hint(form)).alias("hint_add"),
     )
-    rows = transient(valid)
-    return rows.withColumn("f", feature_struct()).join(flags, F.col("id") == F.col("p")).drop("p")
-
-
-def _candidates(pairs: DataFrame, probes: DataFrame, targets: DataFrame, threshold: float) -> DataFrame:
-    """``pairs`` (pos, target, plain) that may come to reach the threshold, with the scores that stay and what the others depend on."""
-    x = probes.select(F.col("id").alias("pos"), F.col("f").alias("a"), "again")
-    out = pairs.join(x, "pos").join(targets.select("target", "rank", F.col("f").alias("b"), "fillable"), "target")
-    a, b = F.col("a"), F.col("b")
-    phone = F.when(F.col("fillable") & (a["phone"] != "") & F.col("again"), 1.0).otherwise(phone_score(a, b))
-    out = out.withColumn("phone", phone).filter(most(a, b, F.col("phone"), F.lit(1.0)) >= threshold - 1e-9)
-    out = out.withColumns({k: SCORES[k](a, b) for k in ("email", "name", "company")})
-    total = F.col("email") * WEIGHTS["email"] + F.col("phone") * WEIGHTS["phone"] + F.col("name") * WEIGHTS["name"] + F.col("company") * WEIGHTS["company"] + WEIGHTS["notes_hint"]
-    return out.filter(total >= threshold - 1e-9).select(
-        "pos", "target", "rank", "plain", "fillable", "email", "name", "company", b["phone"].alias("number"), (a["hint"] | b["hint"]).alias("hint")
+    return classes.members(transient(valid), plain_kinds(True)).join(flags, F.col("id") == F.col("p")).drop("p")
+
+
+def _reaching(pairs: DataFrame, phone: float, threshold: float) -> DataFrame:
+    """Pairs of classes that may come to reach the threshold with ``phone``, with the scores that stay."""
+    may = F.lit(phone)
+    out = classes.with_scores(pairs.filter(classes.reach(may, F.lit(1.0)) >= threshold - 1e-9).withColumn("plain", classes.plain(pairs)))
+    total = F.col("email") * WEIGHTS["email"] + may * WEIGHTS["phone"] + F.col("name") * WEIGHTS["name"] + F.col("company") * WEIGHTS["company"] + WEIGHTS["notes_hint"]
+    return out.filter(total >= threshold - 1e-9).select("class", "target", "email", "name", "company", "plain")
+
+
+def _links(probes: DataFrame, known: DataFrame, threshold: float) -> DataFrame:
+    """class, target, email, name, company, plain: the classes where submissions of a class may find a lead."""
+    texts = lambda df, n: df.groupBy("class").agg(F.first("f").alias("f"), F.first("k").alias("k"), n.alias("n"), F.lit(n is own).alias("own"))
+    own, all_ = F.count("*"), F.lit(2)
+    both = texts(probes, own).unionByName(texts(known, all_))
+    # a class by itself counts if it has leads or more than one submission
+    both = written(both.groupBy("class").agg(F.first("f").alias("f"), F.first("k").alias("k"), F.sum("n").alias("n"), F.bool_or("own").alias("own")))
+    mine, theirs = both.filter("own").select("class", "f", "k"), both.select("class", "f", "k", "n")
+    met = (F.col("class") != F.col("target")) | (F.col("n") > 1)
+    linked = written(_reaching(classes.keyed_pairs(mine, theirs, met & (classes.reach(F.lit(0.0), F.lit(1.0)) >= threshold - 1e-9)), 0.0, threshold))
+
+    pair = ["class", "target"]
+    of_number = lambda df, n: df.filter("number <> ''").groupBy("class", classes.tail(F.col("number")).alias("tail")).agg(n.alias("n"))
+    numbers = written(of_number(probes, own))
+    their = of_number(known, all_).join(numbers.select("tail").distinct(), "tail", "left_semi").unionByName(numbers)
+    their = their.groupBy(F.col("class").alias("target"), "tail").agg(F.sum("n").alias("n"))
+    sharing = numbers.drop("n").join(their, "tail").filter(met).select(*pair).distinct().join(linked.select(*pair), pair, "left_anti")
+    direct = written(linked.unionByName(_reaching(classes.told(sharing, mine, theirs), 1.0, threshold)))
+    # a number that a lead may get from one submission leads others to it
+    fillable = known.filter("fillable").select("class").unionByName(probes.filter("NOT gives_phone").select("class")).distinct().withColumnRenamed("class", "target")
+    again = numbers.groupBy("tail").agg(F.sum("n").alias("n")).filter("n > 1").select("tail")
+    numbers = numbers.select("class", "tail").join(again, "tail", "left_semi")
+    given = direct.select(*pair).join(fillable, "target", "left_semi").join(numbers, "class").select("tail", "target").distinct()
+    moved = given.join(numbers, "tail").select(*pair).distinct().join(direct.select(*pair), pair, "left_anti")
+    return written(direct.unionByName(_reaching(classes.told(moved, mine, theirs), 1.0, threshold)))
+
+
+def _rows(probes: DataFrame, known: DataFrame, links: DataFrame) -> DataFrame:
+    """What ``_in_order`` reads, by component: its links, then the leads that can be chosen first, then its submissions."""
+    part = written(components(links, "class", "target")).withColumnRenamed("id", "c_id")
+    placed = lambda df: df.join(part, F.col("class") == F.col("c_id")).drop("c_id")
+    leads = placed(known.select("id", "class", "number", "fillable", "hint"))
+    lead = F.struct("id", "number", "fillable", "hint")
+    # of leads that differ in nothing that counts, the first one is met first
+    first = leads.groupBy("component", "class").agg(F.min(lead).alias("one"), F.min(F.when(F.col("hint"), lead)).alias("two"))
+    first = first.select("component", "class", F.explode(F.array("one", "two")).alias("lead")).filter("lead IS NOT NULL")
+    tails = probes.filter("number <> ''").select(classes.tail(F.col("number")).alias("tail")).distinct()
+    met = leads.filter("number <> ''").withColumn("tail", classes.tail(F.col("number"))).join(tails, "tail", "left_semi")
+    met = met.groupBy("component", "class", "number", "hint", F.when(F.col("fillable"), F.col("id")).alias("own")).agg(F.min(lead).alias("lead"))
+    leads = first.unionByName(met.select("component", "class", "lead"))
+
+    def rows(df: DataFrame, kind: int, **values: Column) -> DataFrame:
+        return df.select("component", F.lit(kind).alias("kind"), *[values.get(c, F.lit(None)).cast(t).alias(c) for c, t in _ROW.items()])
+
+    col = lambda *names: {c: F.col(c) for c in names}
+    return (
+        rows(placed(links), 0, **col("class", "target", "email", "name", "company", "plain"))
+        .unionByName(rows(leads, 1, pos=F.col("lead.id"), number=F.col("lead.number"), phone=F.col("lead.fillable"), hint=F.col("lead.hint"), **col("class")))
+        .unionByName(rows(placed(probes), 2, pos=F.col("id"), phone=F.col("gives_phone"), **col("class", "number", "hint", "hint_new", "hint_add")))
     )
 
 
@@ -134,38 +181,19 @@ def _actions(valid: DataFrame, leads: DataFrame, top: int, threshold: float) ->
     """pos, target, confidence of the submissions that meet a lead (of the batch: -pos - 1); all others create one."""
     if threshold <= _WITHOUT_CONTACT:
         raise ValueError("names and companies alone must not make a match")
-    probes = _prepared(valid)
-    tail = F.right(F.col("f.phone"), F.lit(10))
-    tails = probes.filter(F.col("f.phone") != "").groupBy(tail.alias("tail")).agg((F.count("*") > 1).alias("again")).filter("again")
-    probes = written(probes.withColumn("tail", tail).join(tails, "tail", "left").withColumn("again", F.coalesce("again", F.lit(False))))
-    own = probes.select(
-        (-F.col("id") - 1).alias("target"), (F.lit(top) + 1 + F.col("id")).alias("rank"), F.col("f").withField("hint", F.col("hint_new")).alias("f"), (~F.col("gives_phone")).alias("fillable")
-    )
+    probes = written(_prepared(valid))
     empty = F.coalesce("phone_number", F.lit("")) == ""
-    targets = leads.select(F.col("id").alias("target"), F.col("id").alias("rank"), feature_struct().alias("f"), empty.alias("fillable")).unionByName(own)
-
-    mine = written(match_keys(probes))
-    theirs = match_keys(leads).unionByName(mine.withColumn("id", -F.col("id") - 1)).withColumnRenamed("id", "target")
-    before = (F.col("target") >= 0) | (-F.col("target") - 1 < F.col("pos"))
-    pairs = mine.withColumnRenamed("id", "pos").join(theirs, ["key_type", "key"]).filter(before)
-    pairs = pairs.groupBy("pos", "target").agg(F.max(~F.col("key_type").isin(*PHONE_KEYS)).alias("plain"))
-    direct = written(_candidates(pairs, probes, targets, threshold))
-    # a number that a lead may get from one submission leads others to it
-    numbers = probes.filter("again").select(F.col("id").alias("pos"), "tail")
-    given = direct.filter("fillable").join(numbers, "pos").groupBy("tail", "target").agg(F.min("pos").alias("first"))
-    moved = given.join(numbers, "tail").filter((F.col("pos") > F.col("first")) & before).select("pos", "target", F.lit(False).alias("plain")).distinct()
-    moved = moved.join(direct.select("pos", "target"), ["pos", "target"], "left_anti")
-    found = written(direct.unionByName(_candidates(moved, probes, targets, threshold)))
+    known = written(classes.members(leads, plain_kinds(True), empty.alias("fillable")))
+    rows = _rows(probes, known, _links(probes, known, threshold))
+    rows = rows.repartition("component").sortWithinPartitions("component", "kind", "pos").select("component", "kind", *_ROW)
+    return rows.mapInArrow(_in_order(threshold, top), "pos bigint, target bigint, confidence double")
 
-    part = written(components(found.select((-F.col("pos") - 1).alias("me"), "target"), "me", "target"))
-    me = probes.select(F.col("id").alias("pos"), F.col("f.phone").alias("own_number"), "gives_phone", "hint_add")
-    me = me.join(part, -F.col("pos") - 1 == F.col("id")).drop("id")
-    rows = me.join(found, "pos", "left").select("component", "pos", *_ROW)
-    rows = rows.repartition("component").sortWithinPartitions("component", "pos", "rank")
-    return rows.mapInArrow(_in_order(threshold), "pos bigint, target bigint, confidence double")
 
-
-_ROW = ("own_number", "gives_phone", "hint_add", "target", "rank", "plain", "fillable", "email", "name", "company", "number", "hint")
+#: Columns after component and kind; ``phone``: whether a lead lacks a number, or a submission gives one.
+_ROW = {
+    "pos": "bigint", "class": "string", "target": "string", "email": "double", "name": "double", "company": "double", "plain": "boolean", "number": "string",
+    "phone": "boolean", "hint": "boolean", "hint_new": "boolean", "hint_add": "boolean",
+}
 
 
 def _numbers_score(x: str, y: str) -> float:
@@ -174,30 +202,70 @@ def _numbers_score(x: str, y: str) -> float:
     return 1.0 if x == y else 0.8 if len(x) >= 10 and len(y) >= 10 and x[-10:] == y[-10:] else 0.0
 
 
-def _in_order(threshold: float):
-    """Goes through sorted rows, one for each candidate of a submission; keeps what the component's submissions have changed so far."""
+class _Lead:
+    """A lead that a submission may choose."""
+
+    __slots__ = ("rank", "id", "class_", "number", "fillable", "hint")
+
+    def __init__(self, rank: int, id: int, class_: str, number: str, fillable: bool, hint: bool) -> None:
+        self.rank, self.id, self.class_, self.number, self.fillable, self.hint = rank, id, class_, number, fillable, hint
+
+
+class _Leads:
+    """Of leads by class, and by class and number: the first, and the first with a hint. One with a number that can still change is kept by itself."""
+
+    def __init__(self) -> None:
+        self.first: dict[str, list[_Lead | None]] = {}
+        self.numbered: dict[str, dict[str, dict[str, tuple[list[_Lead | None], list[_Lead]]]]] = {}
+
+    @staticmethod
+    def _least(two: list[_Lead | None], lead: _Lead) -> None:
+        if two[0] is None or lead.rank < two[0].rank:
+            two[0] = lead
+        if lead.hint and (two[1] is None or lead.rank < two[1].rank):
+            two[1] = lead
+
+    def add(self, lead: _Lead) -> None:
+        """Takes in a new lead, or one with a new hint or number."""
+        self._least(self.first.setdefault(lead.class_, [None, None]), lead)
+        if lead.number:
+            two, apart = self.numbered.setdefault(lead.number[-10:], {}).setdefault(lead.class_, {}).setdefault(lead.number, ([None, None], []))
+            if not lead.fillable:
+                self._least(two, lead)
+            elif lead not in apart:
+                apart.append(lead)
+
+    def fill(self, lead: _Lead, number: str) -> None:
+        if lead.number:
+            self.numbered[lead.number[-10:]][lead.class_][lead.number][1].remove(lead)
+        lead.number, lead.fillable = number, False
+        self.add(lead)
+
+    def choices(self, class_: str, number: str, plain: bool) -> Iterator[tuple[float, _Lead]]:
+        """Phone score and lead, of all that may be best; a score of 0 may fall short where a choice with a number follows."""
+        if plain:
+            for lead in self.first.get(class_, ()):
+                if lead is not None:
+                    yield 0.0, lead
+        if number:
+            for theirs, (two, apart) in self.numbered.get(number[-10:], {}).get(class_, {}).items():
+                phone = _numbers_score(number, theirs)
+                if phone:
+                    for lead in (*two, *apart):
+                        if lead is not None:
+                            yield phone, lead
+
+
+def _in_order(threshold: float, top: int):
+    """Goes through sorted rows; keeps of each component its links and the leads that can be chosen."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weight = tuple(WEIGHTS[k] for k in ("email", "phone", "name", "company", "notes_hint"))
-        component = pos = None
-        made: set[int] = set()
-        filled: dict[int, str] = {}
-        hinted: set[int] = set()
-        best = me = None
+        component = None
+        links: dict[str, list[tuple]] = {}
+        there, seen = _Leads(), set()
         out: list[tuple[int, int, float]] = []
 
-        def done():
-            if best is None:
-                made.add(-pos - 1)
-                return
-            confidence, _, target, fillable = best
-            number, gives_phone, hint_add = me
-            if gives_phone and fillable and target not in filled:
-                filled[target] = number
-            if hint_add:
-                hinted.add(target)
-            out.append((pos, target, confidence))
-
         def flush() -> pa.RecordBatch:
             kinds = (pa.int64(), pa.int64(), pa.float64())
             batch = pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], kind) for k, kind in enumerate(kinds)], names=["pos", "target", "confidence"])
@@ -205,28 +273,36 @@ def _in_order(threshold: float):
             return batch
 
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("component", "pos", *_ROW)]
-            for c, p, number, gives_phone, hint_add, target, rank, plain, fillable, email, name, company, their_number, hint in zip(*columns):
-                if p != pos or c != component:
-                    if pos is not None:
-                        done()
-                    if c != component:
-                        component = c
-                        made.clear(), filled.clear(), hinted.clear()
-                    pos, best, me = p, None, (number, gives_phone, hint_add)
-                if target is None or target < 0 and target not in made:
+            columns = [batch.column(c).to_pylist() for c in ("component", "kind", *_ROW)]
+            for c, kind, pos, class_, target, email, name, company, plain, number, phone_flag, hint, hint_new, hint_add in zip(*columns):
+                if c != component:
+                    component, links, there, seen = c, {}, _Leads(), set()
+                if kind == 0:
+                    links.setdefault(class_, []).append((target, email, name, company, plain))
+                    continue
+                if kind == 1:
+                    if pos not in seen:
+                        seen.add(pos)
+                        there.add(_Lead(pos, pos, class_, number, phone_flag, hint))
                     continue
-                phone = _numbers_score(number, filled.get(target, their_number))
-                if not plain and not phone:
+                best, score = None, 0.0
+                for target, email, name, company, plain in links.get(class_, ()):
+                    for phone, lead in there.choices(target, number, plain):
+                        hints = 1.0 if hint or lead.hint else 0.0
+                        confidence = email * weight[0] + phone * weight[1] + name * weight[2] + company * weight[3] + hints * weight[4]
+                        if confidence >= threshold and (best is None or confidence > score or confidence == score and lead.rank < best.rank):
+                            best, score = lead, confidence
+                if best is None:
+                    there.add(_Lead(top + 1 + pos, -pos - 1, class_, number, not phone_flag, hint_new))
                     continue
-                hints = 1.0 if hint or target in hinted else 0.0
-                confidence = email * weight[0] + phone * weight[1] + name * weight[2] + company * weight[3] + hints * weight[4]
-                if confidence >= threshold and (best is None or confidence > best[0] or confidence == best[0] and rank < best[1]):
-                    best = confidence, rank, target, fillable
+                if hint_add and not best.hint:
+                    best.hint = True
+                    there.add(best)
+                if phone_flag and best.fillable:
+                    there.fill(best, number)
+                out.append((pos, best.id, score))
             if len(out) >= 10_000:
                 yield flush()
-        if pos is not None:
-            done()
         yield flush()
 
     return run

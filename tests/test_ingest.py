@@ -194,3 +194,11 @@ def test_best_match_of_copies_without_their_pairs(spark):
     want = {k: (k, 0.95 if k % 10 == 0 else 0.9) if k % 3 == 0 and k else (10, 0.75) for k in range(500)}
     assert {r.probe: (r.lead_id, round(r.confidence, 6)) for r in found} == want
     assert rows < 20_000  # of 250,000 pairs
+
+
+def test_ingest_of_copies_without_their_pairs(spark):
+    base, batch = copies(spark, 500)
+    out, rows = shuffled(spark, lambda: ingest(batch, base, now()).details.collect())
+    want = {k: (k, 0.95 if k % 10 == 0 else 0.9) if k % 3 == 0 and k else (10, 0.75) for k in range(500)}
+    assert {r.pos: (r.lead_id, r.match_confidence) for r in out} == want
+    assert rows < 60_000  # of 375,000 pairs
