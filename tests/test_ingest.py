@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from leadloom import queries
@@ -202,3 +203,17 @@ def test_ingest_of_copies_without_their_pairs(spark):
     want = {k: (k, 0.95 if k % 10 == 0 else 0.9) if k % 3 == 0 and k else (10, 0.75) for k in range(500)}
     assert {r.pos: (r.lead_id, r.match_confidence) for r in out} == want
     assert rows < 60_000  # of 375,000 pairs
+
+
+@pytest.mark.parametrize("name", ["audit"])
+def test_outputs_of_copies_without_their_pairs(spark, name):
+    base, batch = copies(spark, 400)
+    use = {"audit": lambda out: out.log, "after": lambda out: out.leads, "totals": lambda out: totals(out.details)}[name]
+    got, rows = shuffled(spark, lambda: use(ingest(batch, base, now())).collect())
+    if name == "audit":
+        assert sorted(r.lead_id for r in got) == sorted(k if k % 3 == 0 and k else 10 for k in range(400))
+    elif name == "after":
+        assert {r.id: r.phone_number for r in got} == {r.id: r.phone_number for r in base.collect()}
+    else:
+        assert [r[:2] for r in got] == [(0, 400)]
+    assert rows < 50_000  # of 240,000 pairs
