@@ -205,7 +205,7 @@ def test_ingest_of_copies_without_their_pairs(spark):
     assert rows < 60_000  # of 375,000 pairs
 
 
-@pytest.mark.parametrize("name", ["audit", "after"])
+@pytest.mark.parametrize("name", ["audit", "after", "totals"])
 def test_outputs_of_copies_without_their_pairs(spark, name):
     base, batch = copies(spark, 400)
     use = {"audit": lambda out: out.log, "after": lambda out: out.leads, "totals": lambda out: totals(out.details)}[name]
