@@ -20,7 +20,7 @@ def members(leads: DataFrame, kinds: dict[str, Column], *more: Column, hint: boo
     rows = leads.select("id", feature_struct().alias("all"), F.struct(*[v.alias(c) for c, v in kinds.items()]).alias("k"), *more)
     f = F.struct(*[F.col(f"all.{c}").alias(c) for c in _TEXTS], *[F.col("all.hint").alias("hint")] * hint)
     rows = rows.withColumns({"f": f, "number": F.col("all.phone"), "hint": F.col("all.hint")}).drop("all")
-    return rows.withColumn("class", F.md5(F.to_json(F.struct("f", "k"))))
+    return rows.withColumn("class", F.unhex(F.md5(F.to_json(F.struct("f", "k")))))
 
 
 def tail(number: Column) -> Column:

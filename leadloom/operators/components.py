@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import written
+from ..storage import discarded, written
 
 
 def components(edges: DataFrame, a: str = "lead_id_1", b: str = "lead_id_2") -> DataFrame:
@@ -13,11 +13,11 @@ def components(edges: DataFrame, a: str = "lead_id_1", b: str = "lead_id_2") ->
 
     Labels take the least of their neighbours', then the label of that label,
     until none changes. Every round is written to the shared folder, so lineage
-    does not grow and lost executors cost one round.
+    does not grow and lost executors cost one round; the one before is deleted.
     """
     pairs = edges.select(F.col(a).alias("x"), F.col(b).alias("y"))
     both = written(pairs.unionByName(pairs.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct())
-    labels = written(both.groupBy(F.col("x").alias("id")).agg(F.least(F.first("x"), F.min("y")).alias("component")))
+    labels = table = written(both.groupBy(F.col("x").alias("id")).agg(F.least(F.first("x"), F.min("y")).alias("component")))
     changed = True
     while changed:
         low = both.join(labels, both["y"] == labels["id"]).groupBy(F.col("x").alias("n")).agg(F.min("component").alias("low"))
@@ -26,7 +26,10 @@ def components(edges: DataFrame, a: str = "lead_id_1", b: str = "lead_id_2") ->
         label = F.least("low", "top")
         new = written(near.join(top, F.col("low") == F.col("t")).select("id", label.alias("component"), (label != F.col("component")).alias("changed")))
         changed = not new.filter("changed").isEmpty()
-        labels = new.select("id", "component")
+        discarded(table)
+        labels, table = new.select("id", "component"), new
+    discarded(both)
+    labels._leadloom_path = table._leadloom_path  # so that it can be discarded like any table
     return labels
 
 

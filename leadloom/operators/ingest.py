@@ -15,13 +15,14 @@ computed once for the whole batch:
    each other; those of one are gone through in order, as a stream of sorted
    rows. Of leads that differ in nothing that counts only the first can be
    chosen, so what is kept meanwhile is the first by class, number and hint.
-4. The leads that were changed or created are written anew; all others stay.
+4. What became of each submission is kept as numbers; outputs are made of that
+   when they are asked for. Tables that led to it are deleted on the way.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from typing import NamedTuple
+from functools import cached_property
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 from ..functions import normalize as N
 from ..schemas import SUBMISSION
-from ..storage import written
+from ..storage import discarded, written
 from . import classes
 from .attribution import source
 from .blocking import plain_kinds
@@ -40,19 +41,12 @@ from .scoring import THRESHOLD, WEIGHTS, phone_score
 _BLOCK = 100_000
 
 
-class Ingested(NamedTuple):
-    details: DataFrame
-    leads: DataFrame
-    log: DataFrame
-    changed: DataFrame
-
-
 #: What a pair without a common domain or number can reach at most.
 _WITHOUT_CONTACT = WEIGHTS["name"] + WEIGHTS["company"] + WEIGHTS["notes_hint"] + 1e-9
 
 
-def transient(subs: DataFrame) -> DataFrame:
-    """Submissions with the columns of leads that blocking and scoring read; ``id`` is pos."""
+def transient(subs: DataFrame, *more: Column | str) -> DataFrame:
+    """Submissions with the columns of leads that blocking and scoring read, and ``more``; ``id`` is pos."""
     who = N.name(F.lit(None).cast("string"), F.lit(None).cast("string"), F.col("name"))
     return subs.withColumn("__who", who).select(
         F.col("pos").alias("id"),
@@ -64,6 +58,7 @@ def transient(subs: DataFrame) -> DataFrame:
         F.col("phone").alias("phone_number"),
         N.phone(F.col("phone")).alias("phone_normalized"),
         F.col("message").alias("notes"),
+        *more,
     )
 
 
@@ -108,13 +103,12 @@ def _form(text: Column) -> Column:
 def _prepared(valid: DataFrame) -> DataFrame:
     """Members of classes (``id`` is pos, ``hint`` that of the message) and what a submission can change: once for each."""
     form = _form(F.col("message"))
-    flags = valid.select(
-        F.col("pos").alias("p"),
+    flags = (
         (F.coalesce("phone", F.lit("")) != "").alias("gives_phone"),
         ((F.coalesce("message", F.lit("")) != "") & _hint(form)).alias("hint_new"),
         ((N.strip(F.coalesce("message", F.lit(""))) != "") & _hint(form)).alias("hint_add"),
     )
-    return classes.members(transient(valid), plain_kinds(True)).join(flags, F.col("id") == F.col("p")).drop("p")
+    return classes.members(transient(valid, *flags), plain_kinds(True), "gives_phone", "hint_new", "hint_add")
 
 
 def _reaching(pairs: DataFrame, phone: float, threshold: float) -> DataFrame:
@@ -125,20 +119,38 @@ def _reaching(pairs: DataFrame, phone: float, threshold: float) -> DataFrame:
     return out.filter(total >= threshold - 1e-9).select("class", "target", "email", "name", "company", "plain")
 
 
-def _links(probes: DataFrame, known: DataFrame, threshold: float) -> DataFrame:
-    """class, target, email, name, company, plain: the classes where submissions of a class may find a lead."""
-    texts = lambda df, n: df.groupBy("class").agg(F.first("f").alias("f"), F.first("k").alias("k"), n.alias("n"), F.lit(n is own).alias("own"))
+def _texts(probes: DataFrame, known: DataFrame) -> DataFrame:
+    """class, f, k, n, own of each class: ``n`` is over 1 if it has leads or more than one submission, ``own`` says whether it has submissions."""
+    of = lambda df, n, own: df.select("class", "f", "k", F.lit(n).alias("n"), F.lit(own).alias("own"))
+    both = of(probes, 1, True).unionByName(of(known, 2, False))
+    return both.groupBy("class").agg(F.first("f").alias("f"), F.first("k").alias("k"), F.sum("n").alias("n"), F.bool_or("own").alias("own"))
+
+
+def _meeting(texts: DataFrame) -> DataFrame:
+    """Those of ``texts`` that have a key by which a submission may meet a lead, told by hashes of keys alone (what has none in truth does no harm)."""
+    keys = F.array_compact(F.array(*[F.when(F.col("k")[c].isNotNull(), F.xxhash64(F.lit(i), F.col("k")[c])) for i, c in enumerate(texts.schema["k"].dataType.names)]))
+    each = texts.select("class", "n", "own", F.explode(keys).alias("h"))
+    useful = each.groupBy("h").agg(F.bool_or("own").alias("own"), F.count("*").alias("m"), F.max("n").alias("n")).filter("own AND (m > 1 OR n > 1)").select("h")
+    some = written(each.select("class", "h").join(useful, "h", "left_semi").select("class").distinct())
+    out = written(texts.join(some, "class", "left_semi"))
+    discarded(some)
+    return out
+
+
+def _links(probes: DataFrame, known: DataFrame, both: DataFrame, threshold: float) -> DataFrame:
+    """class, target, email, name, company, plain: the classes where submissions of a class may find a lead. ``both``: ``_texts`` of them."""
     own, all_ = F.count("*"), F.lit(2)
-    both = texts(probes, own).unionByName(texts(known, all_))
+    sides = lambda df: (df.filter("own").select("class", "f", "k"), df.select("class", "f", "k", "n"))
+    mine, theirs = sides(both)
     # a class by itself counts if it has leads or more than one submission
-    both = written(both.groupBy("class").agg(F.first("f").alias("f"), F.first("k").alias("k"), F.sum("n").alias("n"), F.bool_or("own").alias("own")))
-    mine, theirs = both.filter("own").select("class", "f", "k"), both.select("class", "f", "k", "n")
     met = (F.col("class") != F.col("target")) | (F.col("n") > 1)
-    linked = written(_reaching(classes.keyed_pairs(mine, theirs, met & (classes.reach(F.lit(0.0), F.lit(1.0)) >= threshold - 1e-9)), 0.0, threshold))
+    meeting = _meeting(both)
+    linked = written(_reaching(classes.keyed_pairs(*sides(meeting), met & (classes.reach(F.lit(0.0), F.lit(1.0)) >= threshold - 1e-9)), 0.0, threshold))
+    discarded(meeting)
 
     pair = ["class", "target"]
     of_number = lambda df, n: df.filter("number <> ''").groupBy("class", classes.tail(F.col("number")).alias("tail")).agg(n.alias("n"))
-    numbers = written(of_number(probes, own))
+    numbers = number_table = written(of_number(probes, own))
     their = of_number(known, all_).join(numbers.select("tail").distinct(), "tail", "left_semi").unionByName(numbers)
     their = their.groupBy(F.col("class").alias("target"), "tail").agg(F.sum("n").alias("n"))
     sharing = numbers.drop("n").join(their, "tail").filter(met).select(*pair).distinct().join(linked.select(*pair), pair, "left_anti")
@@ -149,12 +161,14 @@ def _links(probes: DataFrame, known: DataFrame, threshold: float) -> DataFrame:
     numbers = numbers.select("class", "tail").join(again, "tail", "left_semi")
     given = direct.select(*pair).join(fillable, "target", "left_semi").join(numbers, "class").select("tail", "target").distinct()
     moved = given.join(numbers, "tail").select(*pair).distinct().join(direct.select(*pair), pair, "left_anti")
-    return written(direct.unionByName(_reaching(classes.told(moved, mine, theirs), 1.0, threshold)))
+    out = written(direct.unionByName(_reaching(classes.told(moved, mine, theirs), 1.0, threshold)))
+    discarded(linked, direct, number_table)
+    return out
 
 
-def _rows(probes: DataFrame, known: DataFrame, links: DataFrame) -> DataFrame:
+def _rows(probes: DataFrame, known: DataFrame, links: DataFrame, part: DataFrame) -> DataFrame:
     """What ``_in_order`` reads, by component: its links, then the leads that can be chosen first, then its submissions."""
-    part = written(components(links, "class", "target")).withColumnRenamed("id", "c_id")
+    part = part.withColumnRenamed("id", "c_id")
     placed = lambda df: df.join(part, F.col("class") == F.col("c_id")).drop("c_id")
     leads = placed(known.select("id", "class", "number", "fillable", "hint"))
     lead = F.struct("id", "number", "fillable", "hint")
@@ -181,17 +195,28 @@ def _actions(valid: DataFrame, leads: DataFrame, top: int, threshold: float) ->
     """pos, target, confidence of the submissions that meet a lead (of the batch: -pos - 1); all others create one."""
     if threshold <= _WITHOUT_CONTACT:
         raise ValueError("names and companies alone must not make a match")
-    probes = written(_prepared(valid))
+    whole = written(_prepared(valid))
     empty = F.coalesce("phone_number", F.lit("")) == ""
-    known = written(classes.members(leads, plain_kinds(True), empty.alias("fillable")))
-    rows = _rows(probes, known, _links(probes, known, threshold))
+    whole_known = written(classes.members(leads, plain_kinds(True), empty.alias("fillable")))
+    both = written(_texts(whole, whole_known))
+    # from here on texts and keys are those of classes
+    probes = written(whole.drop("f", "k"))
+    discarded(whole)
+    known = written(whole_known.drop("f", "k"))
+    discarded(whole_known)
+    links = _links(probes, known, both, threshold)
+    discarded(both)
+    part = components(links, "class", "target")
+    rows = _rows(probes, known, links, part)
     rows = rows.repartition("component").sortWithinPartitions("component", "kind", "pos").select("component", "kind", *_ROW)
-    return rows.mapInArrow(_in_order(threshold, top), "pos bigint, target bigint, confidence double")
+    out = written(rows.mapInArrow(_in_order(threshold, top), "pos bigint, target bigint, confidence double"))
+    discarded(probes, known, links, part)
+    return out
 
 
 #: Columns after component and kind; ``phone``: whether a lead lacks a number, or a submission gives one.
 _ROW = {
-    "pos": "bigint", "class": "string", "target": "string", "email": "double", "name": "double", "company": "double", "plain": "boolean", "number": "string",
+    "pos": "bigint", "class": "binary", "target": "binary", "email": "double", "name": "double", "company": "double", "plain": "boolean", "number": "string",
     "phone": "boolean", "hint": "boolean", "hint_new": "boolean", "hint_add": "boolean",
 }
 
@@ -207,7 +232,7 @@ class _Lead:
 
     __slots__ = ("rank", "id", "class_", "number", "fillable", "hint")
 
-    def __init__(self, rank: int, id: int, class_: str, number: str, fillable: bool, hint: bool) -> None:
+    def __init__(self, rank: int, id: int, class_: bytes, number: str, fillable: bool, hint: bool) -> None:
         self.rank, self.id, self.class_, self.number, self.fillable, self.hint = rank, id, class_, number, fillable, hint
 
 
@@ -215,8 +240,8 @@ class _Leads:
     """Of leads by class, and by class and number: the first, and the first with a hint. One with a number that can still change is kept by itself."""
 
     def __init__(self) -> None:
-        self.first: dict[str, list[_Lead | None]] = {}
-        self.numbered: dict[str, dict[str, dict[str, tuple[list[_Lead | None], list[_Lead]]]]] = {}
+        self.first: dict[bytes, list[_Lead | None]] = {}
+        self.numbered: dict[str, dict[bytes, dict[str, tuple[list[_Lead | None], list[_Lead]]]]] = {}
 
     @staticmethod
     def _least(two: list[_Lead | None], lead: _Lead) -> None:
@@ -241,7 +266,7 @@ class _Leads:
         lead.number, lead.fillable = number, False
         self.add(lead)
 
-    def choices(self, class_: str, number: str, plain: bool) -> Iterator[tuple[float, _Lead]]:
+    def choices(self, class_: bytes, number: str, plain: bool) -> Iterator[tuple[float, _Lead]]:
         """Phone score and lead, of all that may be best; a score of 0 may fall short where a choice with a number follows."""
         if plain:
             for lead in self.first.get(class_, ()):
@@ -262,7 +287,7 @@ def _in_order(threshold: float, top: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weight = tuple(WEIGHTS[k] for k in ("email", "phone", "name", "company", "notes_hint"))
         component = None
-        links: dict[str, list[tuple]] = {}
+        links: dict[bytes, list[tuple]] = {}
         there, seen = _Leads(), set()
         out: list[tuple[int, int, float]] = []
 
@@ -308,8 +333,48 @@ def _in_order(threshold: float, top: int):
     return run
 
 
+class Ingested:
+    """What a batch did; an output is made when it is asked for, so what others need isn't made for it."""
+
+    def __init__(self, subs: DataFrame, before: DataFrame, now: Column, decided: DataFrame) -> None:
+        self._subs, self._before, self._now, self._decided = subs, before, now, decided
+
+    @cached_property
+    def details(self) -> DataFrame:
+        """pos, email, action, lead_id, match_confidence of each submission."""
+        action = F.when(F.col("skipped"), "skipped").when(F.col("created"), "created").otherwise("updated")
+        subs = self._subs.select("pos", F.coalesce("clean_email", "email").alias("email"), F.col("clean_email").isNull().alias("skipped"))
+        return subs.join(self._decided, "pos", "left").select("pos", "email", action.alias("action"), "lead_id", F.round("confidence", 4).alias("match_confidence"))
+
+    @cached_property
+    def log(self) -> DataFrame:
+        """The submissions as they came in, with the lead of each."""
+        return self._subs.join(self._decided.select("pos", "lead_id"), "pos").select(
+            "form_id", "form_name", "page_url", N.date(F.col("submitted_at")).alias("submitted_at"), F.to_json(F.struct(*SUBMISSION.names), {"ignoreNullFields": "false"}).alias("raw_payload"), "lead_id"
+        )
+
+    @cached_property
+    def _step(self) -> DataFrame:
+        return written(self._subs.join(self._decided.select("pos", "lead_id", "created"), "pos"))
+
+    def _with_step(self, before: DataFrame) -> DataFrame:
+        new = _created(self._step.filter("created"), before, self._now)
+        return _enriched(before.unionByName(new), self._step.filter("NOT created"))
+
+    @cached_property
+    def leads(self) -> DataFrame:
+        """The leads after, which are shuffled once."""
+        return self._with_step(self._before)
+
+    @cached_property
+    def changed(self) -> DataFrame:
+        """The leads that changed or are new."""
+        touched = self._decided.filter("NOT created").select(F.col("lead_id").alias("t_id")).distinct()
+        return self._with_step(self._before.join(touched, F.col("id") == F.col("t_id"), "left_semi"))
+
+
 def ingest(subs: DataFrame, leads: DataFrame, now: Column, threshold: float = THRESHOLD) -> Ingested:
-    """``details`` (pos, email, action, lead_id, match_confidence), the leads after, the form log, and the leads that changed or are new.
+    """``details``, the ``leads`` after, the form ``log``, and the leads that ``changed`` or are new.
 
     ``subs``: pos and the columns of a submission. ``now``: creation time of
     leads whose submission has none. Ids of new leads follow the greatest id,
@@ -318,29 +383,16 @@ def ingest(subs: DataFrame, leads: DataFrame, now: Column, threshold: float = TH
     subs = written(subs.withColumn("clean_email", N.email(F.col("email"))))
     valid = subs.filter(F.col("clean_email").isNotNull())
     top = leads.agg(F.max("id")).first()[0] or 0
-    acts = written(_actions(valid, leads, top, threshold)).withColumnRenamed("pos", "a_pos")
-    step = written(valid.join(acts, F.col("pos") == F.col("a_pos"), "left").drop("a_pos").withColumnRenamed("target", "lead_id"))
-    # ids of the batch are negative until they are dealt
-    details = step.select(
-        "pos", F.col("clean_email").alias("email"), F.when(F.col("lead_id").isNull(), "created").otherwise("updated").alias("action"),
-        F.coalesce("lead_id", -F.col("pos") - 1).alias("lead_id"), F.round("confidence", 4).alias("match_confidence"),
-    )
-    skipped = subs.filter(F.col("clean_email").isNull()).select(
-        "pos", "email", F.lit("skipped").alias("action"), F.lit(None).cast("long").alias("lead_id"), F.lit(None).cast("double").alias("match_confidence")
-    )
-    details = details.unionByName(skipped)
-    ids = written(_dealt(details.filter("action = 'created'").select(F.col("lead_id").alias("temporary"), "pos"), top))
-    real = lambda df, c: df.join(ids, F.col(c) == F.col("temporary"), "left").withColumn(c, F.coalesce("final", c)).drop("temporary", "final")
-    details = real(details, "lead_id").select("pos", "email", "action", "lead_id", "match_confidence")
-    touched = step.filter("lead_id >= 0").select(F.col("lead_id").alias("t_id")).distinct()
-    old = leads.join(touched, F.col("id") == F.col("t_id"), "left_semi")
-    new = _created(step.filter(F.col("lead_id").isNull()), leads, now)
-    changed = written(real(_enriched(old.unionByName(new), step.filter(F.col("lead_id").isNotNull())), "id").select(*leads.columns))
-    after = leads.join(touched, F.col("id") == F.col("t_id"), "left_anti").unionByName(changed)
-    log = subs.join(details.filter("action <> 'skipped'").select("pos", "lead_id"), "pos").select(
-        "form_id", "form_name", "page_url", N.date(F.col("submitted_at")).alias("submitted_at"), F.to_json(F.struct(*SUBMISSION.names), {"ignoreNullFields": "false"}).alias("raw_payload"), "lead_id"
-    )
-    return Ingested(details, after, log, changed)
+    acts = _actions(valid, leads, top, threshold)
+    step = written(valid.select("pos").join(acts, "pos", "left"))
+    discarded(acts)
+    ids = written(_dealt(step.filter("target IS NULL").select("pos"), top))
+    # a target of the batch is negative until its id is dealt
+    made_by = F.when(F.col("target").isNull(), F.col("pos")).when(F.col("target") < 0, -F.col("target") - 1)
+    decided = step.withColumn("made_by", made_by).join(ids.withColumnRenamed("pos", "n_pos"), F.col("made_by") == F.col("n_pos"), "left")
+    decided = written(decided.select("pos", F.col("target").isNull().alias("created"), F.coalesce("final", "target").alias("lead_id"), "confidence"))
+    discarded(step, ids)
+    return Ingested(subs, leads, now, decided)
 
 
 def totals(details: DataFrame) -> DataFrame:
@@ -349,13 +401,13 @@ def totals(details: DataFrame) -> DataFrame:
 
 
 def _dealt(created: DataFrame, top: int) -> DataFrame:
-    """temporary, final: ids after ``top`` in the order of pos; blocks are counted first, then numbered within."""
+    """pos, final: ids after ``top`` in the order of pos; blocks are counted first, then numbered within."""
     blocks = created.withColumn("block", F.floor(F.col("pos") / _BLOCK))
     sizes = blocks.groupBy("block").agg(F.count("*").alias("n"))
     before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0))).select("block", "start")
     place = F.row_number().over(Window.partitionBy("block").orderBy("pos"))
-    return blocks.withColumn("place", place).join(starts, "block").select("temporary", (F.lit(top) + F.col("start") + F.col("place")).cast("long").alias("final"))
+    return blocks.withColumn("place", place).join(starts, "block").select("pos", (F.lit(top) + F.col("start") + F.col("place")).cast("long").alias("final"))
 
 
 def _hint(notes: Column) -> Column:
@@ -390,17 +442,16 @@ def _enriched(population: DataFrame, step: DataFrame) -> DataFrame:
 
 
 def _created(step: DataFrame, population: DataFrame, now: Column) -> DataFrame:
-    t = transient(step).select(F.col("id").alias("t_pos"), "first_name", "last_name", "full_name", "company_name", F.col("email").alias("t_email"), "phone_normalized")
-    rows = step.join(t, F.col("pos") == F.col("t_pos"))
+    rows = transient(step, *[c for c in step.columns if c != "email"])
     found = source(F.col("message"))
     given = F.coalesce(F.col("message"), F.lit("")) != ""
     values = {
-        "id": -F.col("pos") - 1,
+        "id": F.col("lead_id"),
         "first_name": F.col("first_name"),
         "last_name": F.col("last_name"),
         "full_name": F.col("full_name"),
         "company_name": F.col("company_name"),
-        "email": F.col("t_email"),
+        "email": F.col("email"),
         "phone_number": F.col("phone"),
         "phone_normalized": F.col("phone_normalized"),
         "country": N.country(F.col("country")),

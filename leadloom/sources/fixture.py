@@ -132,9 +132,13 @@ _SOURCES = ("customer", "nation", "orders", "events")
 _tables: dict[tuple, DataFrame] = {}
 
 
+def _key(spark: SparkSession, sf_dir: str, name: str) -> tuple:
+    return (spark.sparkContext.applicationId, sf_dir, name, *[modified(spark, f"{sf_dir}/{t}.parquet") for t in _SOURCES])
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str, make) -> DataFrame:
     """The table that ``make`` gives, written once for a session as an import would, and anew if its sources have changed; queries read it as they do any table."""
-    key = (spark.sparkContext.applicationId, sf_dir, name, *[modified(spark, f"{sf_dir}/{t}.parquet") for t in _SOURCES])
+    key = _key(spark, sf_dir, name)
     if key not in _tables:
         _tables[key] = written(make())
     return _tables[key]
@@ -151,8 +155,12 @@ def leads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def attributed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The table of imported leads with sources."""
-    return _table(spark, sf_dir, "attributed", lambda: attribute_missing(leads(spark, sf_dir)))
+    """The table of imported leads with sources; that of leads without is not made for it, but read where there is one."""
+    def make() -> DataFrame:
+        known = _tables.get(_key(spark, sf_dir, "leads"))
+        return attribute_missing(imported(spark, sf_dir) if known is None else known)
+
+    return _table(spark, sf_dir, "attributed", make)
 
 
 def submissions(spark: SparkSession, sf_dir: str) -> DataFrame:

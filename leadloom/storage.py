@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -10,6 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 #: Folders that this process has written, in order, by application.
 _made: dict[str, list[str]] = {}
 
+#: Whether Spark deletes the shuffles of a job as soon as the job ends, not when the driver happens to collect garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_dir(spark: SparkSession) -> str:
     """``spark.checkpoint.dir`` of the session.
@@ -27,13 +31,37 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+@contextlib.contextmanager
+def _shuffles_deleted(spark: SparkSession):
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, before)
+
+
 def written(df: DataFrame, **options: str) -> DataFrame:
-    """``df`` as a table in the shared folder, without lineage; ``options`` are those of the writer."""
+    """``df`` as a table in the shared folder, without lineage; ``options`` are those of the writer. Shuffles that led to it are deleted at once."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/leads-{uuid.uuid4().hex}"
     _made.setdefault(spark.sparkContext.applicationId, []).append(path)
-    df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    with _shuffles_deleted(spark):
+        df.write.options(**({"compression": "zstd"} | options)).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._leadloom_path = path
+    return out
+
+
+def discarded(*tables: DataFrame) -> None:
+    """Deletes tables as ``written`` returned them; frames that read them must not be used any more."""
+    for table in tables:
+        spark, path = table.sparkSession, table._leadloom_path
+        system, p = _path(spark, path)
+        system.delete(p, True)
+        made = _made.get(spark.sparkContext.applicationId, [])
+        if path in made:
+            made.remove(path)
 
 
 def _path(spark: SparkSession, path: str):

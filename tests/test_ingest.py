@@ -1,9 +1,10 @@
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
-from leadloom import queries
+from leadloom import queries, storage
 from leadloom.functions import normalize as N
 from leadloom.operators.attribution import source
 from leadloom.operators.blocking import keys
@@ -217,3 +218,28 @@ def test_outputs_of_copies_without_their_pairs(spark, name):
     else:
         assert [r[:2] for r in got] == [(0, 400)]
     assert rows < 50_000  # of 240,000 pairs
+
+
+def tables_left(spark, name):
+    """How many tables an ingest and one of its outputs leave."""
+    base, batch = copies(spark, 20)
+    since = storage.mark(spark)
+    out = ingest(batch, base, now())
+    {"audit": lambda: out.log, "after": lambda: out.leads, "totals": lambda: totals(out.details)}[name]().collect()
+    return storage.mark(spark) - since
+
+
+def test_audit_leaves_no_tables_of_its_way(spark):
+    assert tables_left(spark, "audit") == 2  # submissions, and what became of each
+
+
+def test_written_leaves_no_shuffles(spark):
+    files = lambda: {f for f in (x.getName() for x in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles())) if f.startswith("shuffle_")}
+    before = files()
+    rows = spark.range(1000).groupBy((F.col("id") % 100).alias("k")).count()
+    table = storage.written(rows)
+    end = time.time() + 10
+    while files() - before and time.time() < end:
+        time.sleep(0.1)
+    assert not files() - before
+    assert table.count() == 100
