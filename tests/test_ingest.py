@@ -237,6 +237,10 @@ def test_leads_after_leave_no_tables_of_their_way(spark):
     assert tables_left(spark, "after") == 3  # and the submissions with what became of them
 
 
+def test_totals_leave_no_tables_of_their_way(spark):
+    assert tables_left(spark, "totals") == 2
+
+
 def test_written_leaves_no_shuffles(spark):
     files = lambda: {f for f in (x.getName() for x in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles())) if f.startswith("shuffle_")}
     before = files()
