@@ -126,48 +126,65 @@ def _texts(probes: DataFrame, known: DataFrame) -> DataFrame:
     return both.groupBy("class").agg(F.first("f").alias("f"), F.first("k").alias("k"), F.sum("n").alias("n"), F.bool_or("own").alias("own"))
 
 
-def _meeting(texts: DataFrame) -> DataFrame:
-    """Those of ``texts`` that have a key by which a submission may meet a lead, told by hashes of keys alone (what has none in truth does no harm)."""
+def _ends(probes: DataFrame, known: DataFrame) -> DataFrame:
+    """class, tail, n (as in ``_texts``), mine (submissions only): ends of numbers that a submission has in common with a lead or another submission."""
+    of = lambda df, n, mine: df.filter("number <> ''").select("class", classes.tail(F.col("number")).alias("tail"), F.lit(n).alias("n"), F.lit(mine).alias("mine"))
+    both = of(probes, 1, 1).unionByName(of(known, 2, 0))
+    shared = both.groupBy("tail").agg(F.sum("n").alias("n"), F.sum("mine").alias("mine")).filter("n > 1 AND mine > 0").select("tail")
+    return both.join(shared, "tail", "left_semi").groupBy("class", "tail").agg(F.sum("n").alias("n"), F.sum("mine").alias("mine"))
+
+
+def _meeting(texts: DataFrame, numbered: DataFrame, fillable: DataFrame) -> DataFrame:
+    """Those of ``texts`` by which a submission may meet a lead; ``keyed`` and ``numbered`` say by what, ``fillable`` whether a member may get a number.
+
+    Keys are told by hashes alone (what has none in truth does no harm); the
+    texts of all other classes go no further.
+    """
     keys = F.array_compact(F.array(*[F.when(F.col("k")[c].isNotNull(), F.xxhash64(F.lit(i), F.col("k")[c])) for i, c in enumerate(texts.schema["k"].dataType.names)]))
     each = texts.select("class", "n", "own", F.explode(keys).alias("h"))
     useful = each.groupBy("h").agg(F.bool_or("own").alias("own"), F.count("*").alias("m"), F.max("n").alias("n")).filter("own AND (m > 1 OR n > 1)").select("h")
-    some = written(each.select("class", "h").join(useful, "h", "left_semi").select("class").distinct())
-    out = written(texts.join(some, "class", "left_semi"))
+    keyed = each.select("class", "h").join(useful, "h", "left_semi")
+    parts = {"keyed": keyed, "numbered": numbered, "fillable": fillable}
+    each = [df.select("class", *[F.lit(flag == f).alias(f) for f in parts]) for flag, df in parts.items()]
+    some = written(each[0].unionByName(each[1]).unionByName(each[2]).groupBy("class").agg(*[F.bool_or(f).alias(f) for f in parts]).filter("keyed OR numbered"))
+    out = written(texts.join(some, "class"))
     discarded(some)
     return out
 
 
 def _links(probes: DataFrame, known: DataFrame, both: DataFrame, threshold: float) -> DataFrame:
-    """class, target, email, name, company, plain: the classes where submissions of a class may find a lead. ``both``: ``_texts`` of them."""
-    own, all_ = F.count("*"), F.lit(2)
-    sides = lambda df: (df.filter("own").select("class", "f", "k"), df.select("class", "f", "k", "n"))
-    mine, theirs = sides(both)
+    """class, target, email, name, company, plain: the classes where submissions of a class may find a lead. ``both``: ``_texts`` of them, deleted on the way."""
     # a class by itself counts if it has leads or more than one submission
     met = (F.col("class") != F.col("target")) | (F.col("n") > 1)
-    meeting = _meeting(both)
-    linked = written(_reaching(classes.keyed_pairs(*sides(meeting), met & (classes.reach(F.lit(0.0), F.lit(1.0)) >= threshold - 1e-9)), 0.0, threshold))
-    discarded(meeting)
+    fillable = known.filter("fillable").select("class").unionByName(probes.filter("NOT gives_phone").select("class")).distinct()
+    ends = written(_ends(probes, known))
+    meeting = _meeting(both, ends, fillable)
+    discarded(both)
+    mine = lambda flag: meeting.filter(f"own AND {flag}").select("class", "f", "k")
+    theirs = lambda flag: meeting.filter(flag).select("class", "f", "k", "n")
+    linked = written(_reaching(classes.keyed_pairs(mine("keyed"), theirs("keyed"), met & (classes.reach(F.lit(0.0), F.lit(1.0)) >= threshold - 1e-9)), 0.0, threshold))
 
     pair = ["class", "target"]
-    of_number = lambda df, n: df.filter("number <> ''").groupBy("class", classes.tail(F.col("number")).alias("tail")).agg(n.alias("n"))
-    numbers = number_table = written(of_number(probes, own))
-    their = of_number(known, all_).join(numbers.select("tail").distinct(), "tail", "left_semi").unionByName(numbers)
-    their = their.groupBy(F.col("class").alias("target"), "tail").agg(F.sum("n").alias("n"))
+    numbers = ends.filter("mine > 0").select("class", "tail", F.col("mine").alias("n"))
+    their = ends.select(F.col("class").alias("target"), "tail", "n")
     sharing = numbers.drop("n").join(their, "tail").filter(met).select(*pair).distinct().join(linked.select(*pair), pair, "left_anti")
-    direct = written(linked.unionByName(_reaching(classes.told(sharing, mine, theirs), 1.0, threshold)))
+    direct = written(linked.unionByName(_reaching(classes.told(sharing, mine("numbered"), theirs("numbered")), 1.0, threshold)))
+    discarded(linked)
     # a number that a lead may get from one submission leads others to it
-    fillable = known.filter("fillable").select("class").unionByName(probes.filter("NOT gives_phone").select("class")).distinct().withColumnRenamed("class", "target")
     again = numbers.groupBy("tail").agg(F.sum("n").alias("n")).filter("n > 1").select("tail")
     numbers = numbers.select("class", "tail").join(again, "tail", "left_semi")
-    given = direct.select(*pair).join(fillable, "target", "left_semi").join(numbers, "class").select("tail", "target").distinct()
+    given = direct.select(*pair).join(meeting.filter("fillable").select(F.col("class").alias("target")), "target", "left_semi").join(numbers, "class").select("tail", "target").distinct()
     moved = given.join(numbers, "tail").select(*pair).distinct().join(direct.select(*pair), pair, "left_anti")
-    out = written(direct.unionByName(_reaching(classes.told(moved, mine, theirs), 1.0, threshold)))
-    discarded(linked, direct, number_table)
+    out = written(direct.unionByName(_reaching(classes.told(moved, mine("numbered"), theirs("fillable")), 1.0, threshold)))
+    discarded(direct, ends, meeting)
     return out
 
 
-def _rows(probes: DataFrame, known: DataFrame, links: DataFrame, part: DataFrame) -> DataFrame:
-    """What ``_in_order`` reads, by component: its links, then the leads that can be chosen first, then its submissions."""
+def _rows(probes: DataFrame, known: DataFrame, links: DataFrame, part: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """What ``_in_order`` reads, by component: its links, then the leads that can be chosen first, then its submissions; and the tables that it is made of.
+
+    Leads and submissions are placed one after the other, so that the shuffles of one are gone before the next; ``probes`` and ``known`` are deleted.
+    """
     part = part.withColumnRenamed("id", "c_id")
     placed = lambda df: df.join(part, F.col("class") == F.col("c_id")).drop("c_id")
     leads = placed(known.select("id", "class", "number", "fillable", "hint"))
@@ -178,17 +195,21 @@ def _rows(probes: DataFrame, known: DataFrame, links: DataFrame, part: DataFrame
     tails = probes.filter("number <> ''").select(classes.tail(F.col("number")).alias("tail")).distinct()
     met = leads.filter("number <> ''").withColumn("tail", classes.tail(F.col("number"))).join(tails, "tail", "left_semi")
     met = met.groupBy("component", "class", "number", "hint", F.when(F.col("fillable"), F.col("id")).alias("own")).agg(F.min(lead).alias("lead"))
-    leads = first.unionByName(met.select("component", "class", "lead"))
+    leads = written(first.unionByName(met.select("component", "class", "lead")))
+    discarded(known)
+    asking = written(placed(probes))
+    discarded(probes)
 
     def rows(df: DataFrame, kind: int, **values: Column) -> DataFrame:
         return df.select("component", F.lit(kind).alias("kind"), *[values.get(c, F.lit(None)).cast(t).alias(c) for c, t in _ROW.items()])
 
     col = lambda *names: {c: F.col(c) for c in names}
-    return (
+    out = (
         rows(placed(links), 0, **col("class", "target", "email", "name", "company", "plain"))
         .unionByName(rows(leads, 1, pos=F.col("lead.id"), number=F.col("lead.number"), phone=F.col("lead.fillable"), hint=F.col("lead.hint"), **col("class")))
-        .unionByName(rows(placed(probes), 2, pos=F.col("id"), phone=F.col("gives_phone"), **col("class", "number", "hint", "hint_new", "hint_add")))
+        .unionByName(rows(asking, 2, pos=F.col("id"), phone=F.col("gives_phone"), **col("class", "number", "hint", "hint_new", "hint_add")))
     )
+    return out, [leads, asking]
 
 
 def _actions(valid: DataFrame, leads: DataFrame, top: int, threshold: float) -> DataFrame:
@@ -205,12 +226,11 @@ def _actions(valid: DataFrame, leads: DataFrame, top: int, threshold: float) ->
     known = written(whole_known.drop("f", "k"))
     discarded(whole_known)
     links = _links(probes, known, both, threshold)
-    discarded(both)
     part = components(links, "class", "target")
-    rows = _rows(probes, known, links, part)
+    rows, placed = _rows(probes, known, links, part)
     rows = rows.repartition("component").sortWithinPartitions("component", "kind", "pos").select("component", "kind", *_ROW)
     out = written(rows.mapInArrow(_in_order(threshold, top), "pos bigint, target bigint, confidence double"))
-    discarded(probes, known, links, part)
+    discarded(*placed, links, part)
     return out
 
 

@@ -206,6 +206,20 @@ def test_ingest_of_copies_without_their_pairs(spark):
     assert rows < 60_000  # of 375,000 pairs
 
 
+def test_totals_without_texts_of_leads_that_meet_nobody(spark):
+    base = leads(spark, [person(k, f"Ada{k}", "Berg", f"One{k}", f"a{k}@one{k}.com", f"+1 555 {k:07}") for k in range(1, 2001)])
+    rows = [{"email": f"b{k}@two{k}.com", "name": f"Bo{k} Lee", "company": f"Two{k}", "phone": f"+44 20 {k:08}"} for k in range(2000)]
+    rows += [{"email": "a7@one7.com", "name": "Ada7 Berg", "company": "One7", "phone": "+1 555 0000007"}]
+    joins = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with large tables
+    try:
+        got, n = shuffled(spark, lambda: totals(ingest(subs(spark, rows), base, now()).details).collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", joins)
+    assert [r[:2] for r in got] == [(2000, 1)]
+    assert n < 70_000  # 82,058 with the texts of all
+
+
 @pytest.mark.parametrize("name", ["audit", "after", "totals"])
 def test_outputs_of_copies_without_their_pairs(spark, name):
     base, batch = copies(spark, 400)
