@@ -353,6 +353,10 @@ def _in_order(threshold: float, top: int):
     return run
 
 
+#: Columns of a submission that leads are made of.
+_OF_LEADS = ("form_name", "submitted_at", "name", "email", "phone", "company", "country", "message")
+
+
 class Ingested:
     """What a batch did; an output is made when it is asked for, so what others need isn't made for it."""
 
@@ -375,7 +379,7 @@ class Ingested:
 
     @cached_property
     def _step(self) -> DataFrame:
-        return written(self._subs.join(self._decided.select("pos", "lead_id", "created"), "pos"))
+        return written(self._subs.select("pos", *_OF_LEADS).join(self._decided.select("pos", "lead_id", "created"), "pos"))
 
     def _with_step(self, before: DataFrame) -> DataFrame:
         new = _created(self._step.filter("created"), before, self._now)

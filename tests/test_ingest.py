@@ -1,5 +1,6 @@
 import random
 import time
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -220,6 +221,16 @@ def test_totals_without_texts_of_leads_that_meet_nobody(spark):
     assert n < 70_000  # 82,058 with the texts of all
 
 
+def test_leads_after_without_columns_that_no_lead_has(spark):
+    base, batch = copies(spark, 200)
+    batch = batch.withColumn("page_url", F.expr("array_join(transform(sequence(1, 200), i -> md5(pos || '-' || i)), '')"))
+    out = ingest(batch, base, now())
+    assert out.leads.count() == 200
+    table = Path(storage._made[spark.sparkContext.applicationId][-1])
+    got = sum(x.stat().st_size for x in table.glob("*.parquet"))
+    assert 0 < got < 100_000  # of 640,000 at least
+
+
 @pytest.mark.parametrize("name", ["audit", "after", "totals"])
 def test_outputs_of_copies_without_their_pairs(spark, name):
     base, batch = copies(spark, 400)
